@@ -6,7 +6,7 @@ import importlib
 
 from stockloom.catalog.registry import QUERIES, Query
 
-MODULES = ["quality", "audits"]
+MODULES = ["sources", "quality", "audits", "cleaning", "demand", "segments"]
 
 
 def load() -> dict[str, Query]:
