@@ -6,7 +6,7 @@ import importlib
 
 from stockloom.catalog.registry import QUERIES, Query
 
-MODULES = ["sources", "quality", "audits", "cleaning", "demand", "segments"]
+MODULES = ["sources", "quality", "audits", "cleaning", "demand", "segments", "features", "trends"]
 
 
 def load() -> dict[str, Query]:
