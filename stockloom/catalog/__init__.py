@@ -6,7 +6,22 @@ import importlib
 
 from stockloom.catalog.registry import QUERIES, Query
 
-MODULES = ["sources", "quality", "audits", "cleaning", "demand", "segments", "features", "trends"]
+MODULES = [
+    "sources",
+    "quality",
+    "audits",
+    "cleaning",
+    "demand",
+    "segments",
+    "features",
+    "trends",
+    "forecasts",
+    "anomalies",
+    "inventory",
+    "market",
+    "messages",
+    "streams",
+]
 
 
 def load() -> dict[str, Query]:

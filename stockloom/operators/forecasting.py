@@ -70,7 +70,9 @@ def fixed_origin(demand: DataFrame, first: str, cut: str, keys: list[str] = SERI
 # ---- intermittent demand --------------------------------------------------
 
 
-def sbc_classify(demand: DataFrame, first: str, cut: str, keys: list[str] = SERIES_KEY) -> DataFrame:
+def sbc_classify(
+    demand: DataFrame, first: str, cut: str, keys: list[str] = SERIES_KEY, mean_digits: int = 2
+) -> DataFrame:
     """Demand class of each series by interval between sales and size variation.
 
     A series without sales before the cut counts as intermittent.
@@ -91,8 +93,8 @@ def sbc_classify(demand: DataFrame, first: str, cut: str, keys: list[str] = SERI
         F.round((days - F.col("n")) / days * 100, 2).alias("zero_sales_pct"),
         F.round(adi, 3).alias("adi"),
         F.round(cv2, 3).alias("cv2"),
-        F.round(F.coalesce("mean", F.lit(0.0)), 2).alias("mean_non_zero_demand"),
-        F.round(F.coalesce("total", F.lit(0.0)) / days, 2).alias("overall_mean_daily_demand"),
+        F.round(F.coalesce("mean", F.lit(0.0)), mean_digits).alias("mean_non_zero_demand"),
+        F.round(F.coalesce("total", F.lit(0.0)) / days, mean_digits).alias("overall_mean_daily_demand"),
         F.when(none, "Intermittent")
         .when(frequent & smooth_sizes, "Smooth")
         .when(smooth_sizes, "Intermittent")

@@ -214,7 +214,7 @@ def volatility_status(policy: DataFrame) -> DataFrame:
     rop = F.col("reorder_point")
     return policy.withColumns(
         {
-            "cv": F.round(cv, 4),
+            "cv": F.round(cv, 6),
             "status": F.when((cv > 0.35) | (rop > 20000), "HIGH_VOLATILITY")
             .when((cv > 0.20) | (rop > 10000), "ATTENTION_NEEDED")
             .otherwise("SAFE"),
