@@ -129,7 +129,7 @@ def _(t):
     TRUE AS quantity_match, TRUE AS revenue_match FROM sales""",
 )
 def _(t):
-    return a.reconcile(t.sales, demand.daily_demand(t.sales, ["date_", "product_id", "city_name"]))
+    return a.reconcile(t.sales, demand.daily_demand(t.sales))
 
 
 @query(

@@ -25,7 +25,7 @@ def enriched(t):
     FROM enriched GROUP BY 1, 2, 3, 4, 5, 6, 7""",
 )
 def _(t):
-    return d.daily_demand(enriched(t)).withColumn("daily_revenue", F.round("daily_revenue", 2))
+    return d.named_daily_demand(t.sales, t.products).withColumn("daily_revenue", F.round("daily_revenue", 2))
 
 
 @query(
@@ -62,7 +62,7 @@ def _(t):
     ROUND(SUM({REV}), 2) AS total_revenue FROM enriched""",
 )
 def _(t):
-    return d.overview(enriched(t))
+    return d.overview(t.sales, t.products)
 
 
 @query(
@@ -87,7 +87,7 @@ def _(t):
     ROUND(total_quantity / (SELECT SUM(total_quantity) FROM k) * 100, 2) AS quantity_share_pct FROM k""",
 )
 def _(t):
-    return d.category_kpis(enriched(t))
+    return d.category_kpis(t.sales, t.products)
 
 
 def _top_sql(levels: list[str], n: int) -> str:
@@ -102,12 +102,12 @@ def _top_sql(levels: list[str], n: int) -> str:
 
 @query("agg07_top_l0_l1", _top_sql(["l0_category", "l1_category"], 20))
 def _(t):
-    return d.category_top(enriched(t), ["l0_category", "l1_category"], 20)
+    return d.category_top(t.sales, t.products, ["l0_category", "l1_category"], 20)
 
 
 @query("agg07_top_l2", _top_sql(["l2_category"], 15))
 def _(t):
-    return d.category_top(enriched(t), ["l2_category"], 15)
+    return d.category_top(t.sales, t.products, ["l2_category"], 15)
 
 
 def _products_sql(order: str, n: int) -> str:
@@ -118,17 +118,17 @@ def _products_sql(order: str, n: int) -> str:
 
 @query("agg08_top_products_by_quantity", _products_sql("total_quantity DESC", 20))
 def _(t):
-    return d.top_products(enriched(t), "total_quantity", 20)
+    return d.top_products(t.sales, t.products, "total_quantity", 20)
 
 
 @query("agg08_top_products_by_revenue", _products_sql("total_revenue DESC", 20))
 def _(t):
-    return d.top_products(enriched(t), "total_revenue", 20)
+    return d.top_products(t.sales, t.products, "total_revenue", 20)
 
 
 @query("agg09_low_products", _products_sql("total_revenue", 10))
 def _(t):
-    return d.low_products(enriched(t), 10)
+    return d.low_products(t.sales, t.products, 10)
 
 
 DAILY = f"""daily AS (SELECT date_, COUNT(*) AS transaction_rows, SUM(procured_quantity) AS daily_quantity, ROUND(SUM({REV}), 2) AS daily_revenue,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockloom.catalog.demand import TABLE
 from stockloom.catalog.registry import query
 from stockloom.catalog.views import SALES
+from stockloom.functions import word_lists as words
 from stockloom.operators import demand as d
 from stockloom.operators import messages as ms
 
@@ -51,7 +52,28 @@ def _(t):
     return ms.tag_intent(t.read("conversations"), rules=_INTENTS).select("conv_id", "turn", "intent")
 
 
-@query("txt02_business_intent")
+def _phrases(phrases):
+    return "|".join(ms.quote_literal(p) for p in phrases).replace("'", "''")
+
+
+def _business_sql() -> str:
+    plain = [w for w in words.FOLLOW_UPS if not w.endswith("?")]
+    follow = (
+        f"(regexp_matches(lower(text), '{_word(plain)}')"
+        " OR len([w FOR w IN regexp_split_to_array(lower(text), '\\s+') IF w <> '']) <= 4)"
+    )
+    cases = []
+    for name, phrases in words.BUSINESS_INTENTS.items():
+        condition = f"regexp_matches(lower(text), '{_phrases(phrases)}')"
+        if name == "why_inquiry":
+            condition = f"(regexp_matches(lower(text), '{words.BARE_WHY}') OR ({follow} AND {condition}))"
+        elif name == "city_performance":
+            condition += " AND NOT regexp_matches(lower(text), 'product|sku')"
+        cases.append(f"WHEN {condition} THEN '{name}'")
+    return f"CASE {' '.join(cases)} ELSE '{words.DEFAULT_BUSINESS_INTENT}' END"
+
+
+@query("txt02_business_intent", f"SELECT conv_id, turn, {_business_sql()} AS intent FROM conversations")
 def _(t):
     return ms.tag_business_intent(t.read("conversations")).select("conv_id", "turn", "intent")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date spellings, first that fits wins.
-DATE_FORMATS = ["yyyy-M-d", "d-M-yyyy", "yyyy/M/d", "d/M/yyyy"]
+# Accepted date spellings: year first or day first, with "-" or "/".
+_YEAR_FIRST = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}$"
+_DAY_FIRST = r"^([0-9]{1,2})([-/])([0-9]{1,2})\2([0-9]{4})$"
 
 
 def col(c: Column | str) -> Column:
@@ -17,10 +18,22 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(F.trim(col(c).cast("string")), F.lit(""))
 
 
+def parse_iso_date(c: Column | str) -> Column:
+    """Date from year-month-day text only, else null."""
+    text = blank_to_null(c)
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text).try_cast("date")
+
+
 def parse_date(c: Column | str) -> Column:
-    """Date from text in any of the accepted spellings, else null."""
+    """Date from text in any of the accepted spellings, else null.
+
+    The text is brought into year-month-day order and cast, which is far
+    cheaper than trying one formatter after the other on each value.
+    """
     text = blank_to_null(c)
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in DATE_FORMATS])
+    year_first = F.when(text.rlike(_YEAR_FIRST), F.translate(text, "/", "-"))
+    day_first = F.when(text.rlike(_DAY_FIRST), F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1"))
+    return F.coalesce(year_first, day_first).try_cast("date")
 
 
 def parse_double(c: Column | str) -> Column:

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import exact_quantiles, quantile_values
-from stockloom.functions.scalars import blank_to_null, parse_double, parse_id, parse_int, product_label
+from stockloom.functions.scalars import (
+    blank_to_null,
+    parse_double,
+    parse_id,
+    parse_int,
+    parse_iso_date,
+    product_label,
+)
 from stockloom.operators.validation import latest_per_key
 from stockloom.schemas import PRODUCTS, SALES_COLUMNS, SALES_ESSENTIALS, SALES_MEASURES, SERIES_KEY
 
@@ -20,7 +27,7 @@ UNRESOLVED = "UNRESOLVED_NO_HISTORY"
 def coerce_sales(raw: DataFrame) -> DataFrame:
     """Contract columns with proper types; what does not parse becomes null."""
     return raw.select(*SALES_COLUMNS).withColumns(
-        {"date_": F.try_to_date(blank_to_null("date_"), "yyyy-MM-dd"), "product_id": parse_id("product_id")}
+        {"date_": parse_iso_date("date_"), "product_id": parse_id("product_id")}
         | {c: parse_double(c) for c in SALES_MEASURES}
     )
 

@@ -18,7 +18,7 @@ from stockloom.functions.scalars import (
 )
 from stockloom.schemas import GRAIN, SERIES_KEY
 
-DEMAND_KEYS = ["date_", "product_id", "product_name", "city_name", "l0_category", "l1_category", "l2_category"]
+ATTRIBUTES = ["product_name", "l0_category", "l1_category", "l2_category"]
 # Labels of sales without a product record.
 UNMATCHED_PRODUCTS, UNMATCHED, UNMATCHED_PRODUCT = "UNMATCHED_PRODUCTS", "UNMATCHED", "UNMATCHED_PRODUCT"
 
@@ -29,7 +29,7 @@ REVENUE = F.col("procured_quantity") * F.col("unit_selling_price")
 # ---- daily tables ---------------------------------------------------------
 
 
-def daily_demand(sales: DataFrame, keys: list[str] = DEMAND_KEYS) -> DataFrame:
+def daily_demand(sales: DataFrame, keys: list[str] = GRAIN) -> DataFrame:
     """Quantity, revenue and exact order count per day; null keys form groups."""
     return sales.groupBy(*keys).agg(
         F.sum(QTY).alias("daily_quantity"),
@@ -38,6 +38,11 @@ def daily_demand(sales: DataFrame, keys: list[str] = DEMAND_KEYS) -> DataFrame:
     )
 
 
+def named_daily_demand(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Daily demand with product name and categories, unmatched ones kept."""
+    return daily_demand(sales).join(products.select("product_id", *ATTRIBUTES), "product_id", "left")
+
+
 def daily_demand_simple(cleaned: DataFrame) -> DataFrame:
     """Quantity with mean price and cost per day, product and city."""
     if "city_name" not in cleaned.columns:
@@ -65,27 +70,35 @@ def demand_table(sales: DataFrame) -> DataFrame:
 
 
 # ---- overview -------------------------------------------------------------
+#
+# Product attributes depend on the product alone, so sales are summed per
+# product first and the master is joined to those few rows, never to the facts.
 
 
-def _reduce(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums at a finer grain, so that distinct counts run on few rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(QTY).alias("qty"), F.sum(REVENUE).alias("rev"))
-
-
-def overview(enriched: DataFrame) -> DataFrame:
-    grain = ["product_id", "city_name", "date_", "l0_category", "l1_category", "l2_category"]
-    return _reduce(enriched, grain).agg(
-        F.sum("n").alias("total_rows"),
-        F.countDistinct("product_id").alias("total_products"),
-        F.countDistinct("city_name").alias("total_cities"),
-        F.countDistinct("date_").alias("unique_dates"),
-        F.min("date_").alias("min_date"),
-        F.max("date_").alias("max_date"),
-        F.countDistinct("l0_category").alias("unique_l0"),
-        F.countDistinct("l1_category").alias("unique_l1"),
-        F.countDistinct("l2_category").alias("unique_l2"),
-        F.sum("qty").alias("total_quantity"),
-        F.round(F.sum("rev"), 2).alias("total_revenue"),
+def overview(sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Size, period and totals of the data set."""
+    levels = ["l0_category", "l1_category", "l2_category"]
+    named = sales.select("product_id").distinct().join(products.select("product_id", *levels), "product_id", "left")
+    known = named.agg(F.struct(*[F.countDistinct(c).alias(c) for c in levels]).alias("c")).scalar()
+    return (
+        sales.agg(
+            F.count(F.lit(1)).alias("total_rows"),
+            F.countDistinct("product_id").alias("total_products"),
+            F.countDistinct("city_name").alias("total_cities"),
+            F.countDistinct("date_").alias("unique_dates"),
+            F.min("date_").alias("min_date"),
+            F.max("date_").alias("max_date"),
+            F.sum(QTY).alias("total_quantity"),
+            F.round(F.sum(REVENUE), 2).alias("total_revenue"),
+        )
+        .withColumn("_known", known)
+        .select(
+            "*",
+            F.col("_known.l0_category").alias("unique_l0"),
+            F.col("_known.l1_category").alias("unique_l1"),
+            F.col("_known.l2_category").alias("unique_l2"),
+        )
+        .drop("_known")
     )
 
 
@@ -101,59 +114,58 @@ def _add_shares(df: DataFrame) -> DataFrame:
 
 
 def city_kpis(sales: DataFrame) -> DataFrame:
+    """Totals, averages per active day and shares of each city.
+
+    The distinct counts shuffle by (city, value), not by city, so a city with
+    most of the sales is spread like the others.
+    """
     days = F.countDistinct("date_")
-    kpis = (
-        _reduce(sales, ["city_name", "product_id", "date_"])
-        .groupBy("city_name")
-        .agg(
-            F.sum("n").alias("transaction_rows"),
-            F.sum("qty").alias("total_quantity"),
-            F.round(F.sum("rev"), 2).alias("total_revenue"),
-            F.countDistinct("product_id").alias("unique_products"),
-            F.round(F.sum("qty") / days, 1).alias("avg_daily_quantity"),
-            F.round(F.sum("rev") / days, 2).alias("avg_daily_revenue"),
-        )
+    kpis = sales.groupBy("city_name").agg(
+        F.count(F.lit(1)).alias("transaction_rows"),
+        F.sum(QTY).alias("total_quantity"),
+        F.round(F.sum(REVENUE), 2).alias("total_revenue"),
+        F.countDistinct("product_id").alias("unique_products"),
+        F.round(F.sum(QTY) / days, 1).alias("avg_daily_quantity"),
+        F.round(F.sum(REVENUE) / days, 2).alias("avg_daily_revenue"),
     )
     return _add_shares(kpis)
 
 
-def _category_sums(enriched: DataFrame, levels: list[str], label: str) -> DataFrame:
-    named = enriched.withColumns({c: F.coalesce(c, F.lit(label)) for c in levels})
-    return (
-        _reduce(named, [*levels, "product_id"])
-        .groupBy(*levels)
-        .agg(
-            F.sum("n").alias("transaction_rows"),
-            F.sum("qty").alias("total_quantity"),
-            F.round(F.sum("rev"), 2).alias("total_revenue"),
-            F.countDistinct("product_id").alias("unique_products"),
-        )
+def product_totals(sales: DataFrame) -> DataFrame:
+    """Rows, quantity and revenue per product."""
+    return sales.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("transaction_rows"),
+        F.sum(QTY).alias("total_quantity"),
+        F.sum(REVENUE).alias("total_revenue"),
+    )
+
+
+def _category_sums(sales: DataFrame, products: DataFrame, levels: list[str], label: str) -> DataFrame:
+    named = product_totals(sales).join(products.select("product_id", *levels), "product_id", "left")
+    return named.groupBy(*[F.coalesce(c, F.lit(label)).alias(c) for c in levels]).agg(
+        F.sum("transaction_rows").alias("transaction_rows"),
+        F.sum("total_quantity").alias("total_quantity"),
+        F.round(F.sum("total_revenue"), 2).alias("total_revenue"),
+        F.count("product_id").alias("unique_products"),
     )
 
 
-def category_kpis(enriched: DataFrame, level: str = "l0_category") -> DataFrame:
-    return _add_shares(_category_sums(enriched, [level], UNMATCHED_PRODUCTS))
+def category_kpis(sales: DataFrame, products: DataFrame, level: str = "l0_category") -> DataFrame:
+    return _add_shares(_category_sums(sales, products, [level], UNMATCHED_PRODUCTS))
 
 
-def category_top(enriched: DataFrame, levels: list[str], n: int) -> DataFrame:
+def category_top(sales: DataFrame, products: DataFrame, levels: list[str], n: int) -> DataFrame:
     """Best categories by revenue, with their share of all revenue."""
     return (
-        _add_shares(_category_sums(enriched, levels, UNMATCHED))
+        _add_shares(_category_sums(sales, products, levels, UNMATCHED))
         .orderBy(F.desc("total_revenue"), *levels)
         .limit(n)
         .drop("quantity_share_pct")
     )
 
 
-def product_totals(enriched: DataFrame) -> DataFrame:
-    """Revenue and quantity per product."""
-    return enriched.groupBy("product_id", "product_name", "l0_category").agg(
-        F.sum(QTY).alias("total_quantity"), F.round(F.sum(REVENUE), 2).alias("total_revenue")
-    )
-
-
-def _display(totals: DataFrame) -> DataFrame:
-    return totals.select(
+def _display(totals: DataFrame, products: DataFrame) -> DataFrame:
+    return totals.join(products.select("product_id", "product_name", "l0_category"), "product_id", "left").select(
         "product_id",
         F.coalesce("product_name", F.lit(UNMATCHED_PRODUCT)).alias("product_name"),
         F.coalesce("l0_category", F.lit(UNMATCHED)).alias("category"),
@@ -162,12 +174,14 @@ def _display(totals: DataFrame) -> DataFrame:
     )
 
 
-def top_products(enriched: DataFrame, by: str = "total_revenue", n: int = 20) -> DataFrame:
-    return _display(product_totals(enriched).orderBy(F.desc(by), "product_id").limit(n))
+def top_products(sales: DataFrame, products: DataFrame, by: str = "total_revenue", n: int = 20) -> DataFrame:
+    totals = product_totals(sales).withColumn("total_revenue", F.round("total_revenue", 2))
+    return _display(totals.orderBy(F.desc(by), "product_id").limit(n), products)
 
 
-def low_products(enriched: DataFrame, n: int = 10) -> DataFrame:
-    return _display(product_totals(enriched).orderBy("total_revenue", "product_id").limit(n))
+def low_products(sales: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
+    totals = product_totals(sales).withColumn("total_revenue", F.round("total_revenue", 2))
+    return _display(totals.orderBy("total_revenue", "product_id").limit(n), products)
 
 
 # ---- calendar views -------------------------------------------------------
@@ -244,18 +258,23 @@ def price_discount_stats(sales: DataFrame) -> DataFrame:
     probs = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p99": 0.99}
     prices = quantile_values(sales, "unit_selling_price", probs)
     given = quantile_values(sales.where("total_discount_amount > 0"), "total_discount_amount", {"median": 0.5})
-    return sales.agg(
-        F.round(F.avg(price), 2).alias("mean_price"),
-        F.round(F.max(price), 2).alias("max_price"),
-        F.round(F.sum(discount), 2).alias("total_discount_given"),
-        count_if(discount > 0).alias("discounted_rows"),
-        count_if(discount == 0).alias("zero_discount_rows"),
-        F.round(F.avg(F.when(discount > 0, discount)), 2).alias("mean_discount_when_present"),
-        F.round(F.max(discount), 2).alias("max_discount"),
-    ).select(
-        "*",
-        *[F.round(prices[k], 2).alias(f"{k}_price") for k in probs],
-        F.round(given["median"], 2).alias("median_discount_when_present"),
+    return (
+        sales.agg(
+            F.round(F.avg(price), 2).alias("mean_price"),
+            F.round(F.max(price), 2).alias("max_price"),
+            F.round(F.sum(discount), 2).alias("total_discount_given"),
+            count_if(discount > 0).alias("discounted_rows"),
+            count_if(discount == 0).alias("zero_discount_rows"),
+            F.round(F.avg(F.when(discount > 0, discount)), 2).alias("mean_discount_when_present"),
+            F.round(F.max(discount), 2).alias("max_discount"),
+        )
+        .withColumns({"_prices": prices, "_given": given})
+        .select(
+            "*",
+            *[F.round(F.col(f"_prices.{k}"), 2).alias(f"{k}_price") for k in probs],
+            F.round("_given.median", 2).alias("median_discount_when_present"),
+        )
+        .drop("_prices", "_given")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.functions.sampling import hash_sample
 from stockloom.functions.scalars import day_of_week, is_weekend
 from stockloom.schemas import SERIES_KEY
 
@@ -163,4 +164,4 @@ def feature_audit(grid: DataFrame, first: str, last: str, keys: list[str] = SERI
 
 def cap_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """A repeatable sample of at most ``n`` rows, the same on any partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return hash_sample(df, n, keys, seed)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import quantile_values
+from stockloom.functions.sampling import hash_sample
 from stockloom.session import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, size int"
@@ -95,15 +96,9 @@ def fit_forest(
     pool: int = 8192,
     seed: int = 42,
 ) -> Forest:
-    """Grow the trees on hash-chosen samples of a hash-chosen pool of rows.
-
-    The share of rows that can enter the pool is set from the row count, so
-    only about twice the pool is ever sorted.
-    """
+    """Grow the trees on hash-chosen samples of a hash-chosen pool of rows."""
     rows = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in inputs])
-    share = min(1.0, 2.0 * pool / max(rows.count(), 1))
-    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    pooled = rows.withColumn("_place", place).where(F.col("_place") < share).orderBy("_place", *keys).limit(pool)
+    pooled = hash_sample(rows, pool, keys, seed)
     order = Window.partitionBy("tree").orderBy(F.xxhash64(*keys, "tree", F.lit(seed)), *keys)
     chosen = (
         pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
@@ -143,9 +138,11 @@ def isolation_forest(
 ) -> DataFrame:
     """Flag the most isolated share of rows and scale their score to [0, 1].
 
-    Scores are written once, so threshold and result come from the same values.
+    The input is written once and read for counting, growing and scoring; the
+    scores are written once, so threshold and result come from the same values.
     """
-    scored = materialize(score_rows(df, fit_forest(df, inputs, keys, trees=trees, seed=seed)))
+    rows = materialize(df)
+    scored = materialize(score_rows(rows, fit_forest(rows, inputs, keys, trees=trees, seed=seed)))
     cut = quantile_values(scored, "iso_score", {"cut": 1 - contamination})["cut"]
     span = scored.agg(F.struct(F.min("iso_score").alias("lo"), F.max("iso_score").alias("hi")).alias("s")).scalar()
     width = F.when(span["hi"] > span["lo"], span["hi"] - span["lo"]).otherwise(1.0)

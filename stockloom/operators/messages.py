@@ -15,18 +15,18 @@ from stockloom.functions import word_lists as words
 from stockloom.functions.running import carry_last
 
 
-def _quote(text: str) -> str:
+def quote_literal(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
 
 def has_word(c: Column, terms: list[str]) -> Column:
     """Does the text contain one of the terms as whole words?"""
-    return c.rlike(r"(?U)\b(?:" + "|".join(_quote(w) for w in terms) + r")\b")
+    return c.rlike(r"(?U)\b(?:" + "|".join(quote_literal(w) for w in terms) + r")\b")
 
 
 def has_phrase(c: Column, phrases: list[str]) -> Column:
     """Does the text contain one of the phrases anywhere?"""
-    return c.rlike("|".join(_quote(p) for p in phrases))
+    return c.rlike("|".join(quote_literal(p) for p in phrases))
 
 
 def tag_language(
@@ -69,7 +69,7 @@ def is_follow_up(text: str = "text", triggers: list[str] = words.FOLLOW_UPS) ->
     matched = has_word(lower, bare)
     if asked:
         # A word boundary after "?" needs a word character right behind it.
-        matched = matched | lower.rlike(r"(?U)\b(?:" + "|".join(_quote(w) for w in asked) + r")\b")
+        matched = matched | lower.rlike(r"(?U)\b(?:" + "|".join(quote_literal(w) for w in asked) + r")\b")
     tokens = F.filter(F.split(lower, r"\s+"), lambda w: w != "")
     return matched | (F.size(tokens) <= 4)
 

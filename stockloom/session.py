@@ -47,7 +47,7 @@ def scratch_root(spark: SparkSession) -> str:
     On a cluster this is the shared folder in ``spark.checkpoint.dir``; a
     machine-local folder is used only when Spark itself runs on one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
