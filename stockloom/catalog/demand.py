@@ -236,7 +236,7 @@ abc AS (SELECT *, CASE WHEN ROUND(cumulative_pct, 9) <= 80 THEN 'A' WHEN ROUND(c
 
 def _abc(t):
     totals = t.sales.groupBy("product_id").agg(
-        F.round(F.sum(d.REVENUE), 2).alias("revenue"), F.sum(d.QTY).alias("quantity")
+        F.round(F.sum(d.revenue()), 2).alias("revenue"), F.sum(d.quantity()).alias("quantity")
     )
     return d.abc_classify(totals, "revenue")
 
@@ -348,7 +348,7 @@ _ORDERS = f"""{_VARIED}, {_COSTS}, g AS (SELECT product_id, ROUND(MIN_BY(unit_co
 
 
 def _orders(t):
-    quantities = t.sales.groupBy("product_id", "city_name").agg(F.sum(d.QTY).alias("recommended_order_qty"))
+    quantities = t.sales.groupBy("product_id", "city_name").agg(F.sum(d.quantity()).alias("recommended_order_qty"))
     return cleaning.unit_cost(quantities, costs_of(t))
 
 

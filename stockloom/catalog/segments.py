@@ -34,7 +34,10 @@ abc AS (SELECT *, CASE WHEN ROUND(cum, 9) <= 80 THEN 'A' WHEN ROUND(cum, 9) <= 9
 segments AS (SELECT *, abc_class || ' | ' || demand_volume || ' | ' || volatility || ' | ' || demand_pattern AS segment FROM abc)"""
 
 _STATS_OUT = "product_id, total_demand, ROUND(avg_daily_demand, 6) AS avg_daily_demand, ROUND(std_daily_demand, 6) AS std_daily_demand, ROUND(cv, 6) AS cv"
-_ROUNDED = {c: F.round(c, 6) for c in ["avg_daily_demand", "std_daily_demand", "cv"]}
+
+
+def _rounded(*columns):
+    return {c: F.round(c, 6) for c in ["avg_daily_demand", "std_daily_demand", "cv", *columns]}
 
 
 def _stats(t):
@@ -47,12 +50,12 @@ def _stats(t):
     ROUND(demand_day_ratio, 6) AS demand_day_ratio FROM stats""",
 )
 def _(t):
-    return _stats(t).withColumns(_ROUNDED | {"demand_day_ratio": F.round("demand_day_ratio", 6)})
+    return _stats(t).withColumns(_rounded("demand_day_ratio"))
 
 
 @query("agg21_own_span_stats", f"WITH {SALES}, {_SPAN} SELECT {_STATS_OUT}, active_demand_days, zero_demand_days FROM own")
 def _(t):
-    return s.product_stats_own_span(t.sales).withColumns(_ROUNDED)
+    return s.product_stats_own_span(t.sales).withColumns(_rounded())
 
 
 @query("agg22_volume_class", f"WITH {SALES}, {_SEGMENTS} SELECT product_id, demand_volume FROM segments")

@@ -22,8 +22,13 @@ ATTRIBUTES = ["product_name", "l0_category", "l1_category", "l2_category"]
 # Labels of sales without a product record.
 UNMATCHED_PRODUCTS, UNMATCHED, UNMATCHED_PRODUCT = "UNMATCHED_PRODUCTS", "UNMATCHED", "UNMATCHED_PRODUCT"
 
-QTY = F.col("procured_quantity")
-REVENUE = F.col("procured_quantity") * F.col("unit_selling_price")
+
+def quantity() -> Column:
+    return F.col("procured_quantity")
+
+
+def revenue() -> Column:
+    return F.col("procured_quantity") * F.col("unit_selling_price")
 
 
 # ---- daily tables ---------------------------------------------------------
@@ -32,8 +37,8 @@ REVENUE = F.col("procured_quantity") * F.col("unit_selling_price")
 def daily_demand(sales: DataFrame, keys: list[str] = GRAIN) -> DataFrame:
     """Quantity, revenue and exact order count per day; null keys form groups."""
     return sales.groupBy(*keys).agg(
-        F.sum(QTY).alias("daily_quantity"),
-        F.sum(REVENUE).alias("daily_revenue"),
+        F.sum(quantity()).alias("daily_quantity"),
+        F.sum(revenue()).alias("daily_revenue"),
         F.countDistinct("order_id").alias("order_count"),
     )
 
@@ -51,7 +56,7 @@ def daily_demand_simple(cleaned: DataFrame) -> DataFrame:
         cleaned.dropna(subset=GRAIN)
         .groupBy(*GRAIN)
         .agg(
-            F.sum(QTY).alias("daily_quantity"),
+            F.sum(quantity()).alias("daily_quantity"),
             F.avg("unit_selling_price").alias("avg_selling_price"),
             F.avg("recovered_landing_price").alias("recovered_landing_price"),
         )
@@ -61,8 +66,8 @@ def daily_demand_simple(cleaned: DataFrame) -> DataFrame:
 def demand_table(sales: DataFrame) -> DataFrame:
     """The stored daily demand layout."""
     return sales.groupBy(*GRAIN).agg(
-        F.sum(QTY).alias("total_quantity"),
-        F.sum(REVENUE).alias("total_sales_value"),
+        F.sum(quantity()).alias("total_quantity"),
+        F.sum(revenue()).alias("total_sales_value"),
         F.sum("total_discount_amount").alias("total_discount_value"),
         F.avg("unit_selling_price").alias("avg_unit_price"),
         F.countDistinct("order_id").alias("order_count"),
@@ -88,8 +93,8 @@ def overview(sales: DataFrame, products: DataFrame) -> DataFrame:
             F.countDistinct("date_").alias("unique_dates"),
             F.min("date_").alias("min_date"),
             F.max("date_").alias("max_date"),
-            F.sum(QTY).alias("total_quantity"),
-            F.round(F.sum(REVENUE), 2).alias("total_revenue"),
+            F.sum(quantity()).alias("total_quantity"),
+            F.round(F.sum(revenue()), 2).alias("total_revenue"),
         )
         .withColumn("_known", known)
         .select(
@@ -122,11 +127,11 @@ def city_kpis(sales: DataFrame) -> DataFrame:
     days = F.countDistinct("date_")
     kpis = sales.groupBy("city_name").agg(
         F.count(F.lit(1)).alias("transaction_rows"),
-        F.sum(QTY).alias("total_quantity"),
-        F.round(F.sum(REVENUE), 2).alias("total_revenue"),
+        F.sum(quantity()).alias("total_quantity"),
+        F.round(F.sum(revenue()), 2).alias("total_revenue"),
         F.countDistinct("product_id").alias("unique_products"),
-        F.round(F.sum(QTY) / days, 1).alias("avg_daily_quantity"),
-        F.round(F.sum(REVENUE) / days, 2).alias("avg_daily_revenue"),
+        F.round(F.sum(quantity()) / days, 1).alias("avg_daily_quantity"),
+        F.round(F.sum(revenue()) / days, 2).alias("avg_daily_revenue"),
     )
     return _add_shares(kpis)
 
@@ -135,8 +140,8 @@ def product_totals(sales: DataFrame) -> DataFrame:
     """Rows, quantity and revenue per product."""
     return sales.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("transaction_rows"),
-        F.sum(QTY).alias("total_quantity"),
-        F.sum(REVENUE).alias("total_revenue"),
+        F.sum(quantity()).alias("total_quantity"),
+        F.sum(revenue()).alias("total_revenue"),
     )
 
 
@@ -192,8 +197,8 @@ def daily_trend(sales: DataFrame) -> DataFrame:
         sales.groupBy("date_")
         .agg(
             F.count(F.lit(1)).alias("transaction_rows"),
-            F.sum(QTY).alias("daily_quantity"),
-            F.round(F.sum(REVENUE), 2).alias("daily_revenue"),
+            F.sum(quantity()).alias("daily_quantity"),
+            F.round(F.sum(revenue()), 2).alias("daily_revenue"),
         )
         .withColumns(
             {
@@ -286,7 +291,7 @@ def pareto(sales: DataFrame) -> DataFrame:
 
     Equal values share one cumulative value, as a range frame would give.
     """
-    totals = sales.groupBy("product_id").agg(F.sum(REVENUE).alias("revenue"), F.sum(QTY).alias("quantity"))
+    totals = sales.groupBy("product_id").agg(F.sum(revenue()).alias("revenue"), F.sum(quantity()).alias("quantity"))
     ranked = ordered_totals(totals, [F.desc("revenue"), F.asc("product_id")], {"_cum": "revenue"})
     revenue_curve = ranked.groupBy("revenue").agg((F.max("_cum") / F.max("revenue_total")).alias("cum_revenue_share"))
     volumes = ranked.groupBy("quantity").agg(F.sum("quantity").alias("volume"))

@@ -30,14 +30,15 @@ def _with_zeros(days: Column) -> dict[str, Column]:
     }
 
 
-_BASE = [
-    F.sum("_day").alias("total_demand"),
-    F.count(F.lit(1)).alias("_m"),
-    F.avg("_day").alias("_mean"),
-    F.var_pop("_day").alias("_var"),
-    F.count_if(F.col("_day") > 0).alias("active_days"),
-    F.count_if(F.col("_day") != 0).alias("_nonzero"),
-]
+def _active_day_stats() -> list[Column]:
+    return [
+        F.sum("_day").alias("total_demand"),
+        F.count(F.lit(1)).alias("_m"),
+        F.avg("_day").alias("_mean"),
+        F.var_pop("_day").alias("_var"),
+        F.count_if(F.col("_day") > 0).alias("active_days"),
+        F.count_if(F.col("_day") != 0).alias("_nonzero"),
+    ]
 
 
 def product_stats(sales: DataFrame, first: str, last: str, value: str = "procured_quantity") -> DataFrame:
@@ -45,7 +46,7 @@ def product_stats(sales: DataFrame, first: str, last: str, value: str = "procure
     low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
     days = F.datediff(high, low) + 1
     inside = _daily(sales, value).where(F.col("date_").between(low, high))
-    stats = inside.groupBy("product_id").agg(*_BASE)
+    stats = inside.groupBy("product_id").agg(*_active_day_stats())
     return stats.select(
         "product_id",
         "total_demand",
@@ -61,7 +62,7 @@ def product_stats_own_span(sales: DataFrame, value: str = "procured_quantity") -
     stats = (
         _daily(sales.where(F.col("date_").isNotNull()), value)
         .groupBy("product_id")
-        .agg(*_BASE, (F.datediff(F.max("date_"), F.min("date_")) + 1).alias("_days"))
+        .agg(*_active_day_stats(), (F.datediff(F.max("date_"), F.min("date_")) + 1).alias("_days"))
     )
     days = F.col("_days")
     return stats.select(

@@ -102,7 +102,7 @@ class Tables:
             )
 
         day = F.col("order_date")
-        return self.lines.select(
+        text_row = F.struct(
             F.when(part % 53 == 0, F.lit(""))
             .when(part % 59 == 0, F.lit("31-31-2000"))
             .when(line == 2, F.date_format(day, "dd-MM-yyyy"))
@@ -129,10 +129,11 @@ class Tables:
             F.when(F.col("l_returnflag") == "R", F.lit(""))
             .otherwise(whole(F.col("p_retailprice")))
             .alias("total_weighted_landing_price"),
-            F.explode(F.when(F.col("l_discount") > 0.095, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias(
-                "_copy"
-            ),
-        ).drop("_copy")
+        )
+        # The text is built once per line, as generator output: what reads it
+        # cannot pull the expressions apart again.
+        copies = F.when(F.col("l_discount") > 0.095, 2).otherwise(1)
+        return self.lines.select(F.explode(F.array_repeat(text_row, copies)).alias("row")).select("row.*")
 
     @cached_property
     def panel_lines(self) -> DataFrame:

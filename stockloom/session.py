@@ -26,17 +26,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, conf: dict[str, str] | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stockloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
@@ -47,14 +51,14 @@ def scratch_root(spark: SparkSession) -> str:
     On a cluster this is the shared folder in ``spark.checkpoint.dir``; a
     machine-local folder is used only when Spark itself runs on one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="stockloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="stockloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
