@@ -281,7 +281,7 @@ _SEGMENTS = {
     "fct20_evaluate_by_segment",
     f"{_EVENTS} "
     + " UNION ALL ".join(
-        _metric(p, label, "res", f"WHERE {cond}", f"'{seg}' AS segment,")
+        _metric(p, label, "res", f"WHERE {cond} GROUP BY 1", f"'{seg}' AS segment,")
         for seg, cond in _SEGMENTS.items()
         for p, label in FIXED_MODELS.items()
     ),
