@@ -46,13 +46,12 @@ def _(t):
 
 @query(
     "dq21_extreme_prices",
-    f"""WITH {SALES} SELECT product_id, date_, city_name, ROUND(unit_selling_price, 4) AS unit_selling_price,
+    f"""WITH {SALES} SELECT product_id, date_, city_name, unit_selling_price,
     procured_quantity FROM sales WHERE unit_selling_price > 5000
     ORDER BY sales.unit_selling_price DESC, product_id, date_, city_name, procured_quantity LIMIT 20""",
 )
 def _(t):
-    rows = a.extreme_rows(t.sales, 5000, 20)
-    return rows.withColumn("unit_selling_price", F.round("unit_selling_price", 4))
+    return a.extreme_rows(t.sales, 5000, 20)
 
 
 @query(
@@ -233,10 +232,10 @@ _PROFILE = f"""{ENRICHED}, profile AS (SELECT product_id, COUNT(*) AS total_rows
     STRING_AGG(DISTINCT city_name, ', ' ORDER BY city_name) AS cities,
     COUNT(DISTINCT strftime(date_, '%Y-%m')) AS num_months,
     array_to_string(list_sort(list(DISTINCT strftime(date_, '%Y-%m'))), ', ') AS months,
-    ROUND(MIN(unit_selling_price), 4) AS min_price, ROUND(MAX(unit_selling_price), 4) AS max_price,
-    ROUND(AVG(unit_selling_price), 4) AS avg_price, ROUND(STDDEV_SAMP(unit_selling_price), 4) AS std_price,
-    MIN(procured_quantity) AS min_qty, MAX(procured_quantity) AS max_qty, ROUND(AVG(procured_quantity), 4) AS avg_qty,
-    ROUND(MEDIAN(unit_selling_price), 4) AS median_price
+    MIN(unit_selling_price) AS min_price, MAX(unit_selling_price) AS max_price,
+    ROUND(AVG(unit_selling_price), 6) AS avg_price, ROUND(STDDEV_SAMP(unit_selling_price), 6) AS std_price,
+    MIN(procured_quantity) AS min_qty, MAX(procured_quantity) AS max_qty, ROUND(AVG(procured_quantity), 6) AS avg_qty,
+    ROUND(MEDIAN(unit_selling_price), 8) AS median_price
     FROM enriched WHERE product_name IS NULL GROUP BY 1)"""
 
 

@@ -201,7 +201,7 @@ def _(t):
     return d.extreme_days(d.daily_trend(t.sales))
 
 
-_PARETO = f"""totals AS (SELECT product_id, SUM({REV}) AS revenue, SUM(procured_quantity) AS quantity FROM sales GROUP BY 1),
+_PARETO = f"""totals AS (SELECT product_id, ROUND(SUM({REV}), 4) AS revenue, SUM(procured_quantity) AS quantity FROM sales GROUP BY 1),
 pareto AS (SELECT product_id, revenue, quantity, SUM(revenue) OVER (ORDER BY revenue DESC) / (SELECT SUM(revenue) FROM totals) AS cum_revenue_share,
   SUM(quantity) OVER (ORDER BY quantity DESC) / (SELECT SUM(quantity) FROM totals) AS cum_quantity_share,
   ROW_NUMBER() OVER (ORDER BY revenue DESC, product_id) AS product_rank, COUNT(*) OVER () AS product_count FROM totals)"""

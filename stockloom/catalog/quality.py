@@ -317,8 +317,8 @@ def _audit_sql(c: str, limit, median: bool) -> str:
     med = f"ROUND(MEDIAN({c}), 4)" if median else "CAST(NULL AS DOUBLE)"
     return (
         f"SELECT '{c}' AS measure, COUNT(*) - COUNT({c}) AS null_rows, COUNT(*) FILTER ({c} < 0) AS negative_rows,"
-        f" COUNT(*) FILTER ({c} = 0) AS zero_rows, {extreme} AS extreme_rows, ROUND(MIN({c}), 4) AS min_value,"
-        f" ROUND(MAX({c}), 4) AS max_value, ROUND(AVG({c}), 4) AS avg_value, {med} AS median_value FROM sales"
+        f" COUNT(*) FILTER ({c} = 0) AS zero_rows, {extreme} AS extreme_rows, MIN({c}) AS min_value,"
+        f" MAX({c}) AS max_value, ROUND(AVG({c}), 4) AS avg_value, {med} AS median_value FROM sales"
     )
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.functions.relations import join_same_keys
+
 # Buckets per doubling of the value: about 1.1 % wide.
 BUCKETS_PER_OCTAVE = 64
 
@@ -55,7 +57,7 @@ def exact_quantiles(
     chosen = buckets.where(wanted).select(*keys, "_b", "_before", "_total")
 
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = counted.join(chosen, [*keys, "_b"]).withColumn(
+    ranked = join_same_keys(counted, chosen, [*keys, "_b"]).withColumn(
         "_end", F.col("_before") + F.sum("_n").over(in_bucket)
     )
     aggs = []

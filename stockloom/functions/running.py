@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockloom.functions.relations import join_same_keys
 from stockloom.session import materialize
 
 
@@ -75,7 +76,7 @@ def carry_last(
         Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        blocked.join(carried, [*keys, "_block"], "left")
+        join_same_keys(blocked, carried, [*keys, "_block"], "left")
         .withColumns(
             {
                 out: F.coalesce(F.last(c, ignorenulls=True).over(before_row), F.col(f"_carry_{c}"))

@@ -189,17 +189,17 @@ def unmatched_profile(enriched: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(cities), ", ").alias("cities"),
         F.size(months).cast("bigint").alias("num_months"),
         F.array_join(F.array_sort(months), ", ").alias("months"),
-        F.round(F.min(price), 4).alias("min_price"),
-        F.round(F.max(price), 4).alias("max_price"),
-        F.round(F.avg(price), 4).alias("avg_price"),
-        F.round(F.stddev_samp(price), 4).alias("std_price"),
+        F.min(price).alias("min_price"),
+        F.max(price).alias("max_price"),
+        F.round(F.avg(price), 6).alias("avg_price"),
+        F.round(F.stddev_samp(price), 6).alias("std_price"),
         F.min(qty).alias("min_qty"),
         F.max(qty).alias("max_qty"),
-        F.round(F.avg(qty), 4).alias("avg_qty"),
+        F.round(F.avg(qty), 6).alias("avg_qty"),
     )
     medians = exact_quantiles(rows, ["product_id"], "unit_selling_price", {"median_price": 0.5})
     return profile.join(
-        medians.withColumn("median_price", F.round("median_price", 4)), "product_id", "left"
+        medians.withColumn("median_price", F.round("median_price", 8)), "product_id", "left"
     )
 
 

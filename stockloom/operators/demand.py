@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import quantile_values
+from stockloom.functions.relations import join_same_keys, literal_table
 from stockloom.functions.running import ordered_totals
 from stockloom.functions.scalars import (
     count_if,
@@ -233,7 +234,7 @@ def monthly_summary(daily: DataFrame) -> DataFrame:
 def dow_summary(daily: DataFrame) -> DataFrame:
     """Monday to Sunday; weekdays without data stay, with nulls."""
     names = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-    week = daily.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "day_order int, day_name string")
+    week = literal_table(daily.sparkSession, list(enumerate(names)), ["day_order", "day_name"])
     summary = _rounded(
         _day_summary(daily, "day_name"), {"avg_daily_quantity": 4, "avg_daily_revenue": 4, "total_revenue": 2}
     )
@@ -290,26 +291,27 @@ def pareto(sales: DataFrame) -> DataFrame:
     """Products by falling revenue with cumulative revenue and quantity shares.
 
     Equal values share one cumulative value, as a range frame would give.
+    Revenue is rounded to hundredths of a cent first: the order of a
+    distributed sum is not fixed, and its float noise must not decide ranks.
     """
-    totals = sales.groupBy("product_id").agg(F.sum(revenue()).alias("revenue"), F.sum(quantity()).alias("quantity"))
+    totals = sales.groupBy("product_id").agg(
+        F.round(F.sum(revenue()), 4).alias("revenue"), F.sum(quantity()).alias("quantity")
+    )
     ranked = ordered_totals(totals, [F.desc("revenue"), F.asc("product_id")], {"_cum": "revenue"})
     revenue_curve = ranked.groupBy("revenue").agg((F.max("_cum") / F.max("revenue_total")).alias("cum_revenue_share"))
     volumes = ranked.groupBy("quantity").agg(F.sum("quantity").alias("volume"))
     quantity_curve = ordered_totals(volumes, [F.desc("quantity")], {"_cum": "volume"}).select(
         "quantity", (F.col("_cum") / F.col("volume_total")).alias("cum_quantity_share")
     )
-    return (
-        ranked.join(revenue_curve, "revenue")
-        .join(quantity_curve, "quantity")
-        .select(
-            "product_id",
-            "revenue",
-            "quantity",
-            "cum_revenue_share",
-            "cum_quantity_share",
-            F.col("row_rank").alias("product_rank"),
-            F.col("row_total").alias("product_count"),
-        )
+    shares = join_same_keys(join_same_keys(ranked, revenue_curve, ["revenue"]), quantity_curve, ["quantity"])
+    return shares.select(
+        "product_id",
+        "revenue",
+        "quantity",
+        "cum_revenue_share",
+        "cum_quantity_share",
+        F.col("row_rank").alias("product_rank"),
+        F.col("row_total").alias("product_count"),
     )
 
 

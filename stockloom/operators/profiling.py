@@ -198,8 +198,8 @@ def numeric_audit(sales: DataFrame) -> DataFrame:
                 count_if(v < 0).alias("negative_rows"),
                 count_if(v == 0).alias("zero_rows"),
                 count_if(v > limit if limit is not None else F.lit(False)).alias("extreme_rows"),
-                F.round(F.min(v), 4).alias("min_value"),
-                F.round(F.max(v), 4).alias("max_value"),
+                F.min(v).alias("min_value"),
+                F.max(v).alias("max_value"),
                 F.round(F.avg(v), 4).alias("avg_value"),
             ).alias(c)
         )

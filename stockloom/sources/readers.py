@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockloom.functions.relations import literal_table
 from stockloom.operators.cleaning import clean_products
 from stockloom.schemas import ALIAS_WORDS, ALIASES, EXTERNAL, SALES, STRAY_COLUMNS
 
@@ -40,7 +41,7 @@ def file_manifest(expected: list[str], df: DataFrame, name: str = "source_file")
     """Row count and status of every expected file stem."""
     stem = F.lower(F.regexp_replace(F.col(name), r"\.[^.]*$", ""))
     found = df.groupBy(stem.alias("file")).agg(F.count(F.lit(1)).alias("row_count"))
-    wanted = df.sparkSession.createDataFrame([(e.lower(),) for e in expected], "file string")
+    wanted = literal_table(df.sparkSession, [(e.lower(),) for e in expected], ["file"])
     return wanted.join(found, "file", "left").select(
         "file",
         F.coalesce("row_count", F.lit(0)).alias("row_count"),

@@ -97,3 +97,12 @@ def test_product_label(spark):
         "Product name is unavailable; Product ID: 8",
         "Product name is unavailable; Product ID: 9",
     ]
+
+
+def test_null_keys_are_groups_too(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    got = {r["k"]: r["m"] for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    turns = spark.createDataFrame([(None, 0, 7), (None, 1, None), (None, 2, None)], "k string, i int, v int")
+    carried = carry_last(turns, ["k"], "i", {"prev": "v"}, block=1).orderBy("i").collect()
+    assert [r["prev"] for r in carried] == [None, 7, 7]

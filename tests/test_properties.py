@@ -169,3 +169,13 @@ def test_filters_and_columns_reach_the_scan(tables):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_pareto_keeps_products_without_revenue(spark):
+    df = spark.createDataFrame(
+        [(1, 2.0, 5.0), (2, 3.0, None), (3, 1.0, 5.0), (4, 1.0, 5.0)], "product_id long, procured_quantity double, unit_selling_price double"
+    )
+    got = {r["product_id"]: r for r in demand.pareto(df).collect()}
+    assert len(got) == 4 and got[2]["product_rank"] == 4 and got[2]["revenue"] is None
+    # Equal revenues share the cumulative value.
+    assert got[3]["cum_revenue_share"] == got[4]["cum_revenue_share"] == 1.0
