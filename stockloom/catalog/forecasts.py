@@ -153,7 +153,18 @@ def _(t):
     return _out(boosted.gbt(train, f.FEATURES).predict(validation), "pred_hist_gbt")
 
 
-@query("fct11_additive_seasonal")
+# Least squares with a trend and weekday levels: the slope within weekdays.
+@query(
+    "fct11_additive_seasonal",
+    f"""WITH {GRID}, {FRAME}, train AS (SELECT * FROM features WHERE date_ < DATE '{PANEL_CUT}'),
+    daily AS (SELECT isodow(date_) AS dow, CAST(date_ - DATE '{PANEL_START}' AS DOUBLE) AS t, SUM(daily_quantity) AS y FROM train GROUP BY date_),
+    g AS (SELECT dow, AVG(t) AS mt, AVG(y) AS my FROM daily GROUP BY 1),
+    b AS (SELECT SUM((t - mt) * (y - my)) / SUM((t - mt) * (t - mt)) AS slope FROM daily JOIN g USING (dow)),
+    s AS (SELECT product_id, city_name, AVG(daily_quantity) AS level FROM train GROUP BY 1, 2)
+    SELECT date_, f.product_id, f.city_name, daily_quantity, ROUND(greatest(0.0, level * (my + slope * (CAST(date_ - DATE '{PANEL_START}' AS DOUBLE) - mt))
+      / greatest(1.0, (SELECT AVG(y) FROM daily))), 4) AS pred_prophet
+    FROM features f JOIN g ON g.dow = isodow(date_) JOIN s ON s.product_id = f.product_id AND s.city_name = f.city_name CROSS JOIN b WHERE date_ >= DATE '{PANEL_CUT}'""",
+)
 def _(t):
     train, validation = _train_validation(t)
     return _out(lm.additive_seasonal(train, validation, PANEL_START), "pred_prophet")

@@ -28,16 +28,19 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     count_name: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
     Nulls are ignored.  ``count_name`` adds the number of values used.  Groups
     without any value do not appear, so callers left-join the result.
+    ``weight`` names a column with the number of times a row counts.
     """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(n.alias("_n"))
         .withColumn("_b", _value_bucket(F.col("_v")))
     )
     # At most a few thousand buckets exist per group, whatever its row count.
@@ -71,7 +74,7 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*aggs)
 
 
-def quantile_values(df: DataFrame, value: str, probs: dict[str, float]) -> Column:
+def quantile_values(df: DataFrame, value: str, probs: dict[str, float], weight: str | None = None) -> Column:
     """All-row quantiles as one struct column, evaluated once per query."""
-    row = exact_quantiles(df, [], value, probs)
+    row = exact_quantiles(df, [], value, probs, weight=weight)
     return row.select(F.struct(*probs).alias("q")).scalar()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.scalars import clip0
+from stockloom.session import enable_checkpoints
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,7 @@ class BoostedModel:
 
 
 def _vectors(df: DataFrame, inputs: list[str]) -> DataFrame:
+    enable_checkpoints(df.sparkSession)
     return VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep").transform(df)
 
 

@@ -16,6 +16,7 @@ from stockloom.functions.scalars import (
 )
 from stockloom.operators.validation import latest_per_key
 from stockloom.schemas import PRODUCTS, SALES_COLUMNS, SALES_ESSENTIALS, SALES_MEASURES, SERIES_KEY
+from stockloom.session import materialize
 
 # Labels of the cost sources.
 ORIGINAL = "original"
@@ -54,10 +55,15 @@ def cleaning_counters(raw: DataFrame) -> DataFrame:
 
 
 def impute_prices(sales: DataFrame, default: float = 50.0) -> DataFrame:
-    """Missing price: product median, else overall median, else ``default``."""
-    medians = exact_quantiles(sales, ["product_id"], "unit_selling_price", {"_product_median": 0.5})
-    overall = quantile_values(sales, "unit_selling_price", {"median": 0.5})["median"]
-    own = F.col("unit_selling_price")
+    """Missing price: product median, else overall median, else ``default``.
+
+    Both medians come from one small table of (product, price, rows).
+    """
+    price = "unit_selling_price"
+    counted = materialize(sales.groupBy("product_id", price).agg(F.count(F.lit(1)).alias("n")))
+    medians = exact_quantiles(counted, ["product_id"], price, {"_product_median": 0.5}, weight="n")
+    overall = quantile_values(counted, price, {"median": 0.5}, weight="n")["median"]
+    own = F.col(price)
     return (
         sales.join(medians, "product_id", "left")
         .withColumn(
@@ -96,13 +102,18 @@ def clean_and_impute(sales: DataFrame) -> DataFrame:
 
 
 def cost_recovery_lookup(sales: DataFrame) -> DataFrame:
-    """Cost per series that has rows without cost: series median, else product median."""
+    """Cost per series that has rows without cost: series median, else product median.
+
+    The sales are read once into a table of (series, cost, rows), from which
+    the gaps and both medians follow.
+    """
     cost = "total_weighted_landing_price"
-    gaps = sales.where(F.col(cost).isNull()).groupBy(*SERIES_KEY).agg(F.count(F.lit(1)).alias("missing_count"))
+    counted = materialize(sales.groupBy(*SERIES_KEY, cost).agg(F.count(F.lit(1)).alias("n")))
+    gaps = counted.where(F.col(cost).isNull()).select(*SERIES_KEY, F.col("n").alias("missing_count"))
     by_series = exact_quantiles(
-        sales, SERIES_KEY, cost, {"median_lp_prod_city": 0.5}, count_name="valid_samples_prod_city"
+        counted, SERIES_KEY, cost, {"median_lp_prod_city": 0.5}, "valid_samples_prod_city", "n"
     )
-    by_product = exact_quantiles(sales, ["product_id"], cost, {"median_lp_prod": 0.5}, count_name="valid_samples_prod")
+    by_product = exact_quantiles(counted, ["product_id"], cost, {"median_lp_prod": 0.5}, "valid_samples_prod", "n")
     return (
         gaps.join(by_series, SERIES_KEY, "left")
         .join(by_product, "product_id", "left")

@@ -76,3 +76,9 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def enable_checkpoints(spark: SparkSession) -> None:
+    """Let iterative algorithms checkpoint into the scratch area."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
