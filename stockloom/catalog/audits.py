@@ -346,6 +346,16 @@ def _(t):
     return p.external_coverage(readings, ["date_", "city_name"], "1995-01-01", "2001-08-01")
 
 
+@query(
+    "dq38_rows_per_city",
+    """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date_, o_orderpriority AS city_name FROM orders)
+    SELECT city_name, COUNT(*) AS row_count FROM days GROUP BY 1""",
+)
+def _(t):
+    days = t.read("orders").select(F.to_date("o_orderdate").alias("date_"), F.col("o_orderpriority").alias("city_name"))
+    return p.rows_per(days.distinct(), "city_name")
+
+
 @query(
     "dq39_ledger_check",
     f"""WITH {PANEL}, {grid('panel', '2000-01-01', '2000-12-31')}, ledger AS (SELECT product_id, city_name, date_ AS snapshot_date,

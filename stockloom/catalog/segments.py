@@ -116,6 +116,14 @@ def _(t):
     return s.slow_mover_share(s.pattern_class(_stats(t)))
 
 
+@query(
+    "agg26_slow_mover_list",
+    f"WITH {SALES}, {_SEGMENTS} SELECT product_id, active_days, demand_pattern FROM segments WHERE demand_pattern <> 'Regular'",
+)
+def _(t):
+    return s.slow_movers(s.pattern_class(_stats(t))).select("product_id", "active_days", "demand_pattern")
+
+
 @query(
     "agg27_volatility_report",
     f"""WITH {SALES}, {_SPAN} SELECT CASE WHEN cv < 0.5 THEN 'Low' WHEN cv < 1.0 THEN 'Medium' ELSE 'High' END AS volatility_class, COUNT(*) AS products,

@@ -51,11 +51,6 @@ def parse_int(c: Column | str) -> Column:
     return parse_double(c).try_cast("int")
 
 
-def ratio(numerator: Column, denominator: Column, otherwise: float | None = None) -> Column:
-    """Quotient when the denominator is positive, ``otherwise`` elsewhere."""
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(otherwise).cast("double"))
-
-
 def pct_change(current: Column, previous: Column, digits: int = 1) -> Column:
     """Percent change against ``previous``; 0 when there is no base."""
     return F.when(previous > 0, F.bround((current - previous) / previous * 100, digits)).otherwise(F.lit(0.0))

@@ -237,10 +237,6 @@ def enrich_results(results: DataFrame, new: DataFrame) -> DataFrame:
     return normal(results).join(normal(new).select(*GRAIN, *preds), GRAIN, "left")
 
 
-def predictions(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.startswith("pred_")]
-
-
 # ---- horizons and listings ------------------------------------------------
 
 
