@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +23,19 @@ ARROW_CONF = {
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with the library's runtime settings and bounded Arrow batches."""
+    """The session with the library's runtime settings and bounded Arrow batches.
+
+    Python workers import this package, so Spark is given a zip of it once.
+    """
     configure(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not getattr(context, "_has_stockloom", False):
+        package = Path(__file__).resolve().parent.parent
+        base = os.path.join(os.path.realpath(tempfile.mkdtemp()), package.name)
+        context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+        context._has_stockloom = True
     return spark
 
 

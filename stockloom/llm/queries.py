@@ -29,3 +29,41 @@ def op10_pack_documents(spark: SparkSession, directory: str) -> DataFrame:
     from stockloom.llm.packing import pack_documents
 
     return pack_documents(table(ready(spark), directory, "documents"), vocabulary())
+
+
+@query
+def op8_simhash_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(ready(spark), directory, "documents"))
+
+
+@query
+def op7_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.language import identify
+
+    return identify(table(ready(spark), directory, "documents"))
+
+
+@query
+def op9_document_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.sketches import compare_edits
+
+    return compare_edits(table(ready(spark), directory, "documents"))
+
+
+# Host rules of the url query: (verdict, host and start of the path).
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query
+def op1_url_filter(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.urls import judge_urls
+
+    return judge_urls(table(ready(spark), directory, "pages"), URL_RULES)
