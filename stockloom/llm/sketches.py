@@ -23,6 +23,12 @@ FLOOR = 32
 _SPACES = r"[\x20\t-\r]+"
 
 
+def _let(body, *values: Column) -> Column:
+    """``body`` of ``values``, each of which is computed once per row."""
+    bound = F.struct(*[value.alias(f"v{k}") for k, value in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda row: body(*[row[f"v{k}"] for k in range(len(values))])), F.lit(0))
+
+
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-cased words (runs of signs other than ASCII spaces)."""
     words = F.filter(F.split(F.lower(text), _SPACES), lambda w: w != "")
@@ -47,7 +53,7 @@ def keep_below(hashes: Column, fraction: float = FRACTION) -> Column:
     """The sketch: distinct hashes in the lowest ``fraction`` of the range, ascending."""
     kept = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < _limit(fraction))))
     smallest = F.slice(F.array_sort(F.array_distinct(hashes)), 1, FLOOR)
-    return F.when(F.size(kept) >= FLOOR, kept).otherwise(smallest)
+    return _let(lambda found: F.when(F.size(found) >= FLOOR, found).otherwise(smallest), kept)
 
 
 def complete_up_to(sketch: Column, fraction: float = FRACTION) -> Column:
@@ -69,28 +75,36 @@ def with_sketch(df: DataFrame, text: str, out: str, width: int = SHINGLE, fracti
     )
 
 
-def _common(a: Column, b: Column, fraction: float) -> tuple[Column, Column]:
+def _below_common(body, a: Column, b: Column, fraction: float) -> Column:
+    """``body`` of the parts of two sketches up to which both are complete."""
     limit = F.least(complete_up_to(a, fraction), complete_up_to(b, fraction))
-    return F.filter(a, lambda h: h <= limit), F.filter(b, lambda h: h <= limit)
+    return _let(
+        lambda x, y, top: _let(body, F.filter(x, lambda h: h <= top), F.filter(y, lambda h: h <= top)), a, b, limit
+    )
 
 
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Sketch of two texts taken together."""
-    return keep_below(F.concat(*_common(a, b, fraction)), fraction)
+    return _below_common(lambda x, y: keep_below(F.concat(x, y), fraction), a, b, fraction)
 
 
 def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Estimated share of the shingles of ``a`` that ``b`` has; an empty ``a`` is contained."""
-    a, b = _common(a, b, fraction)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    found = lambda x, y: F.when(F.size(x) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+    return _below_common(found, a, b, fraction)
 
 
 def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Estimated Jaccard similarity; two empty sketches are alike."""
-    a, b = _common(a, b, fraction)
-    common = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - common
-    return F.when(either == 0, 1.0).otherwise(common / either)
+
+    def jaccard(x: Column, y: Column) -> Column:
+        return _let(
+            lambda common, both: F.when(both == 0, 1.0).otherwise(common / (both - common)),
+            F.size(F.array_intersect(x, y)),
+            F.size(x) + F.size(y),
+        )
+
+    return _below_common(jaccard, a, b, fraction)
 
 
 def as_text(sketch: Column) -> Column:
