@@ -67,3 +67,39 @@ def op1_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     from stockloom.llm.urls import judge_urls
 
     return judge_urls(table(ready(spark), directory, "pages"), URL_RULES)
+
+
+@query
+def op3_embedding_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.embeddings import near_vectors
+
+    return near_vectors(table(ready(spark), directory, "embeddings"))
+
+
+@query
+def op2_warc_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.warc import archive_pages, archived_records
+
+    pages = table(ready(spark), directory, "pages")
+    return archived_records(archive_pages(pages), pages.schema["page_id"].dataType)
+
+
+SQL["op2_warc_round_trip"] = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+    SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, unhex(sha1(body)) AS raw,
+           min(page_id) OVER (PARTITION BY body) AS first_page
+    FROM p
+), bits AS (
+    SELECT page_id, payload_bytes, first_page,
+           list_transform(range(0, 20), lambda i: ('0x' || substr(hex(raw), 2 * i + 1, 2))::BIGINT) AS b
+    FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 +
+           (((b[5 * k // 8 + 1] * 256 + coalesce(b[5 * k // 8 + 2], 0)) >> (11 - 5 * k % 8)) & 31))::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM bits
+"""
