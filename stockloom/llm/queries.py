@@ -103,3 +103,66 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first_page THEN first_page END AS refers_to
 FROM bits
 """
+
+
+@query
+def op4_source_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.mixing import mixture_schedule
+
+    return mixture_schedule(table(ready(spark), directory, "documents")).drop("copies")
+
+
+SQL["op4_source_mixture"] = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, length(coalesce(text, ''))::BIGINT AS size FROM documents
+), totals AS (
+    SELECT source, sum(size)::BIGINT AS total FROM docs GROUP BY source
+), parts AS (
+    SELECT source, greatest(1, ceil(total / 65536.0))::BIGINT AS blocks,
+           greatest(1, floor(1000 * pow(total, 0.75) / sum(pow(total, 0.75)) OVER () + 0.5))::BIGINT AS n,
+           row_number() OVER (ORDER BY source) AS i
+    FROM totals
+), given AS (
+    SELECT list(n ORDER BY i) AS ns, sum(n)::BIGINT AS q, count(*)::BIGINT AS k FROM parts
+), turns AS (
+    SELECT -1::BIGINT AS t, list_transform(ns, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM given
+    UNION ALL
+    SELECT t + 1, list_transform(done, lambda d, j: d + (j = best)::BIGINT), best
+    FROM (
+        SELECT t, done, list_position(due, list_min(due))::BIGINT AS best
+        FROM (
+            SELECT t, done, list_transform(ns, lambda x, j:
+                CASE WHEN done[j] * q // x <= t + 1 THEN (((done[j] + 1) * q + x - 1) // x) * k + j
+                     ELSE 9000000000000000 END) AS due
+            FROM turns, given WHERE t + 1 < q
+        )
+    )
+), slots AS (
+    SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM turns WHERE t >= 0
+), last_slot AS (
+    SELECT max((blocks - 1) // n * q + slot) + 1 AS stop
+    FROM parts JOIN slots USING (i), given WHERE j = (blocks - 1) % parts.n
+), granted AS (
+    SELECT i, any_value(stop) // any_value(q) * any_value(parts.n) + count(*) FILTER (slot < stop % q) AS granted
+    FROM parts JOIN slots USING (i), given, last_slot GROUP BY i
+), placed AS (
+    SELECT doc_id, source, size,
+           (sum(size) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+    FROM docs
+), blocked AS (
+    SELECT p.*, parts.i, parts.n, parts.blocks, g.granted, least(start // 65536, parts.blocks - 1) AS block
+    FROM placed p JOIN parts USING (source) JOIN granted g USING (i)
+), repeated AS (
+    SELECT *, unnest(range(0, (granted - 1 - block) // blocks + 1)) AS epoch FROM blocked
+)
+SELECT doc_id, source, size, start, block, epoch,
+       (epoch * blocks + block) // r.n * q + slot AS slot
+FROM repeated r JOIN slots s ON s.i = r.i AND s.j = (epoch * blocks + block) % r.n, given
+"""
+
+
+@query
+def op5_training_order(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.shards import order_documents
+
+    return order_documents(table(ready(spark), directory, "documents"), vocabulary())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.common import in_slices
+from stockloom.llm.common import file_system, in_slices
 from stockloom.session import materialize, scratch_path
 
 CHUNK_BYTES = 1 << 20
@@ -149,12 +149,6 @@ def decide(chunks: DataFrame, id_type: T.DataType, dedup_min_bytes: int = 0) ->
     )
 
 
-def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    if folder.startswith("file:"):
-        folder = "/" + folder.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(folder)
-
-
 def _head(fields: list[tuple[str, object]]) -> bytes:
     lines = ["WARC/1.1", *[f"{name}: {value}" for name, value in fields if value is not None]]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8")
@@ -226,7 +220,7 @@ def write_archives(
         return f"<urn:uuid:{uuid.uuid5(run, str(number))}>"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _file_system(folder)
+        system, base = file_system(folder)
         task, archive, written = TaskContext.get(), None, 0
 
         def opened() -> _Archive:
@@ -342,7 +336,7 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, payloads: bo
         def rows():
             for batch in batches:
                 for path in batch.column(0).to_pylist():
-                    system, name = _file_system(path)
+                    system, name = file_system(path)
                     with system.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                         for row in read_records(stream, chunk_bytes):
                             row["chunk"] = row["chunk"] if payloads else None
