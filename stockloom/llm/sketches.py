@@ -168,23 +168,24 @@ def compare_edits(
     id have no next document: an empty one takes its place.  A single document is its
     own next.  An empty table gives no rows; other columns are not read.
     """
-    all_rows = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs[text_column]).alias("text"))
-    rows = all_rows.where(F.col("doc_id").isNotNull())
-    lengths = rows.groupBy("doc_id").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("wanted"))
+    # A new name for the id gives both uses of the texts the same plan, so they share one shuffle.
+    all_rows = docs.select(docs[id_column].alias("key"), text_or_empty(docs[text_column]).alias("text"))
+    rows = all_rows.where(F.col("key").isNotNull())
+    lengths = rows.groupBy("key").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("wanted"))
     lengths = materialize(lengths)
-    wanted = following_ids(lengths, "doc_id").join(lengths, "doc_id")
-    wanted = wanted.select(F.col("doc_id").alias("wanted_by"), F.col("next_key"), "wanted")
+    wanted = following_ids(lengths, "key").join(lengths, "key")
+    wanted = wanted.select(F.col("key").alias("wanted_by"), F.col("next_key"), "wanted")
 
-    beginnings = rows.join(wanted, F.col("doc_id") == F.col("next_key"))
+    beginnings = rows.join(wanted, F.col("key") == F.col("next_key"))
     beginnings = with_sketch(beginnings, "text", "next_sketch", width, fraction)
     beginnings = beginnings.groupBy("wanted_by").agg(
         F.min(F.struct(F.expr("left(text, wanted)").alias("beginning"), "next_sketch")).alias("following")
     )
-    met = rows.join(beginnings, F.col("doc_id") == F.col("wanted_by"), "left").select(
-        "doc_id", "text", "following.beginning", "following.next_sketch"
+    met = rows.join(beginnings, F.col("key") == F.col("wanted_by"), "left").select(
+        F.col("key").alias("doc_id"), "text", "following.beginning", "following.next_sketch"
     )
-    without = all_rows.where(F.col("doc_id").isNull()).select(
-        "doc_id", "text", F.lit("").alias("beginning"), F.array().cast("array<bigint>").alias("next_sketch")
+    without = all_rows.where(F.col("key").isNull()).select(
+        F.col("key").alias("doc_id"), "text", F.lit("").alias("beginning"), F.array().cast("array<bigint>").alias("next_sketch")
     )
     return _likeness_rows(met, width, fraction).unionByName(_likeness_rows(without, width, fraction))
 
