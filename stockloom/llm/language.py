@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.common import strings, text_or_empty
+from stockloom.llm.common import fresh, strings, text_or_empty
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 5000
@@ -151,44 +151,51 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def predict_language(docs: DataFrame, models: dict[str, np.ndarray], text_column: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of its text.
+def predict_language(
+    docs: DataFrame,
+    models: dict[str, np.ndarray],
+    text_column: str = "text",
+    keep_text: bool = False,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``docs`` with the predicted language and its score, by default in place of the text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
     text when nothing was learned.  Ties go to the first language by name.  The
-    score is the cosine, cut at 0.  Repeated rows get equal answers; columns other
-    than the text are carried along untouched.
+    score is the cosine, cut at 0.  Repeated rows get equal answers; other columns are
+    carried along untouched; an empty table gives no rows.
     """
-    names = sorted(models)
+    languages = sorted(models)
     dimensions = len(next(iter(models.values()))) if models else DIMENSIONS
-    matrix = np.array([models[name] for name in names]) if names else np.zeros((0, dimensions))
-    others = [c for c in docs.columns if c != text_column]
+    matrix = np.array([models[name] for name in languages]) if languages else np.zeros((0, dimensions))
+    others = [c for c in docs.columns if keep_text or c != text_column]
     schema = T.StructType(
         [docs.schema[c] for c in others]
-        + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions)
         for batch in batches:
-            languages, scores = [], []
+            found, scores = [], []
             for text in batch.column(len(others)).to_pylist():
-                vector = profiles.bundle(text) if names and text else None
+                vector = profiles.bundle(text) if languages and text else None
                 norm = 0.0 if vector is None else float(np.linalg.norm(vector))
                 if not norm:
-                    languages.append(UNDETERMINED)
+                    found.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
                 cosines = matrix @ vector / norm
                 best = int(np.argmax(cosines))
-                languages.append(names[best])
+                found.append(languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
-                names=[*others, "lang_pred", "score"],
+                [*batch.columns[: len(others)], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                names=[*others, *names],
             )
 
-    return docs.select(*[docs[c] for c in others], docs[text_column]).mapInArrow(score, schema)
+    text = docs[text_column].alias(fresh(docs, "_text"))
+    return docs.select(*[docs[c] for c in others], text).mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -196,3 +203,31 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "lang", "text")
     models = prototypes(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"), dimensions, per_language)
     return predict_language(rows.select("doc_id", "held_out", "text"), models)
+
+
+# A text this long resembles its language clearly; below it chance decides.
+SURE_LETTERS = 200
+LEAST_SCORE = 0.5
+
+
+def keep_identified(
+    docs: DataFrame,
+    least_score: float = LEAST_SCORE,
+    sure_letters: int = SURE_LETTERS,
+    dimensions: int = DIMENSIONS,
+    per_language: int = PER_LANGUAGE,
+) -> DataFrame:
+    """The rows of ``docs`` that are in one of the languages learned from its labels.
+
+    Rejected are texts that are null or have no letter, and those of at least
+    ``sure_letters`` letters whose score is below ``least_score``.  When no row has a
+    label nothing can be learned, and only the texts without a letter are rejected.
+    """
+    models = prototypes(docs.select("doc_id", "text", "lang"), dimensions, per_language)
+    letters = F.length(F.regexp_replace(text_or_empty("text"), r"\P{L}+", ""))
+    if not models:
+        return docs.where(letters > 0)
+    names = fresh(docs, "_lang_pred"), fresh(docs, "_score")
+    judged = predict_language(docs, models, keep_text=True, names=names)
+    unlike = (letters >= sure_letters) & (F.col(names[1]) < least_score)
+    return judged.where((F.col(names[0]) != UNDETERMINED) & ~unlike).drop(*names)

@@ -166,3 +166,10 @@ def op5_training_order(spark: SparkSession, directory: str) -> DataFrame:
     from stockloom.llm.shards import order_documents
 
     return order_documents(table(ready(spark), directory, "documents"), vocabulary())
+
+
+@query
+def op6_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.html import extract_pages
+
+    return extract_pages(table(ready(spark), directory, "pages"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.common import in_slices, strings, text_or_empty
+from stockloom.llm.common import fresh, in_slices, strings, text_or_empty
 from stockloom.llm.components import Forest, connected_components
 from stockloom.session import materialize
 
@@ -233,3 +233,18 @@ def near_duplicates(
     return marked.join(of_fp, F.col("fp") == F.col("of_fp"), "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group, one row per id.
+
+    Of rows that share an id the one with the smallest text stays.  Rows without an id
+    cannot be named by a group and all stay.
+    """
+    groups = near_duplicates(docs, radius, shard_limit)
+    name = fresh(docs, "_kept_id")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    chosen = docs.join(kept, docs["doc_id"] == F.col(name), "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = chosen.groupBy("doc_id").agg(F.min_by(whole, text_or_empty("text")).alias("row")).select("row.*")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
