@@ -207,7 +207,7 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
 
 # A text this long resembles its language clearly; below it chance decides.
 SURE_LETTERS = 200
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def keep_identified(
