@@ -173,7 +173,7 @@ class _Archive:
         self.end()
 
     def begin(self, head: bytes) -> None:
-        self.zip = zlib.compressobj(level=3, wbits=31)
+        self.zip = zlib.compressobj(level=6, wbits=31)
         self.add(head)
 
     def add(self, data: bytes) -> None:
@@ -365,7 +365,9 @@ def archive_pages(
     one of them revisits; an empty table gives no file; other columns are not read.
     """
     spark = pages.sparkSession
-    chunks = materialize(chunk_table(pages, chunk_bytes, id_column, url_column, payload_column))
+    stored = scratch_path(spark, "chunks")
+    chunk_table(pages, chunk_bytes, id_column, url_column, payload_column).write.option("compression", "zstd").parquet(stored)
+    chunks = spark.read.schema(_CHUNKS).parquet(stored)
     decisions = decide(chunks, pages.schema[id_column].dataType, dedup_min_bytes)
     return materialize(write_archives(chunks, decisions, folder or scratch_path(spark, "warc"), archive_bytes))
 
