@@ -76,8 +76,12 @@ def test_single_document_is_its_own_next(odd):
     assert row.near_next == 1.0
 
 
-def test_plan_is_native_and_shares_the_text_shuffle(documents):
-    df = S.compare_edits(documents)
-    df.collect()
+def test_plan_is_native_and_shares_the_text_shuffle(llm, documents):
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = S.compare_edits(documents)
+        df.collect()
+    finally:
+        llm.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "Python" not in plan and "Arrow" not in plan
