@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import ENRICHED, LINES, PANEL, PRODUCTS, SALES, grid
+from stockloom.catalog.views import FIRST_DAY, LAST_DAY, ENRICHED, LINES, PANEL, PRODUCTS, SALES, grid
 from stockloom.functions.scalars import month_label
 from stockloom.operators import audits as a
 from stockloom.operators import cleaning, demand
@@ -358,7 +358,7 @@ def _(t):
 
 @query(
     "dq39_ledger_check",
-    f"""WITH {PANEL}, {grid('panel', '2000-01-01', '2000-12-31')}, ledger AS (SELECT product_id, city_name, date_ AS snapshot_date,
+    f"""WITH {PANEL}, {grid('panel', FIRST_DAY, LAST_DAY)}, ledger AS (SELECT product_id, city_name, date_ AS snapshot_date,
       100.0 AS opening_stock, CASE WHEN dayofmonth(date_) % 10 = 0 THEN 40.0 ELSE 0.0 END AS stock_received,
       daily_quantity AS sales_quantity FROM grid),
     c AS (SELECT *, CASE WHEN dayofmonth(snapshot_date) = 15 THEN 90.0

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import LINES, PANEL, grid
+from stockloom.catalog.views import CUT_DAY, FIRST_DAY, LAST_DAY, LINES, PANEL, grid
 from stockloom.operators import external as x
 from stockloom.operators import features as f
-from stockloom.plans.tables import PANEL_CUT, PANEL_END, PANEL_START
 
-GRID = PANEL + ",\n" + grid("panel", PANEL_START, PANEL_END)
+GRID = PANEL + ",\n" + grid("panel", FIRST_DAY, LAST_DAY)
 
 
 def _lags(*sizes):
@@ -45,7 +44,7 @@ def rounded(df, digits=6):
 
 
 def panel_grid(t):
-    return f.calendar_grid(t.panel, PANEL_START, PANEL_END)
+    return f.calendar_grid(t.panel, t.days.first, t.days.last)
 
 
 def panel_features(t):
@@ -59,13 +58,10 @@ def _(t):
 
 @query(
     "fea01_observed_days_grid",
-    f"""WITH {PANEL}, gappy AS (SELECT * FROM panel WHERE dayofmonth(date_) <= 20), {grid('gappy', PANEL_START, PANEL_END)}
-    SELECT date_, product_id, city_name, daily_quantity FROM grid WHERE dayofmonth(date_) <= 20
-    AND date_ IN (SELECT date_ FROM gappy)""",
+    f"""WITH {GRID} SELECT date_, product_id, city_name, daily_quantity FROM grid WHERE date_ IN (SELECT date_ FROM panel)""",
 )
 def _(t):
-    gappy = t.panel.where(F.dayofmonth("date_") <= 20)
-    return f.calendar_grid(gappy, PANEL_START, PANEL_END, skip_unobserved=True)
+    return f.calendar_grid(t.panel, t.days.first, t.days.last, skip_unobserved=True)
 
 
 @query(
@@ -122,11 +118,11 @@ def _(t):
 
 @query(
     "fea09_chronological_split",
-    f"""WITH {GRID}, {FRAME} SELECT CASE WHEN date_ < DATE '{PANEL_CUT}' THEN 'train' ELSE 'validation' END AS part, COUNT(*) AS row_count,
+    f"""WITH {GRID}, {FRAME} SELECT CASE WHEN date_ < {CUT_DAY} THEN 'train' ELSE 'validation' END AS part, COUNT(*) AS row_count,
     MIN(date_) AS first_date, MAX(date_) AS last_date, SUM(daily_quantity) AS quantity FROM features GROUP BY 1""",
 )
 def _(t):
-    train, validation = f.split_by_date(panel_features(t), PANEL_CUT)
+    train, validation = f.split_by_date(panel_features(t), t.days.cut)
     parts = train.withColumn("part", F.lit("train")).unionByName(validation.withColumn("part", F.lit("validation")))
     return parts.groupBy("part").agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -139,11 +135,11 @@ def _(t):
 @query(
     "fea10_feature_audit",
     f"""WITH {GRID}, s AS (SELECT COUNT(*) AS n FROM (SELECT DISTINCT product_id, city_name FROM grid))
-    SELECT (SELECT n FROM s) AS series, (SELECT n FROM s) * 366 AS expected_rows, COUNT(*) AS actual_rows, COUNT(*) FILTER (daily_quantity = 0) AS zero_rows,
+    SELECT (SELECT n FROM s) AS series, (SELECT n FROM s) * ({LAST_DAY} - {FIRST_DAY} + 1) AS expected_rows, COUNT(*) AS actual_rows, COUNT(*) FILTER (daily_quantity = 0) AS zero_rows,
     COUNT(*) - COUNT(daily_quantity) AS null_rows, MIN(date_) AS first_date, MAX(date_) AS last_date, CAST(0 AS BIGINT) AS incomplete_series FROM grid""",
 )
 def _(t):
-    return f.feature_audit(panel_grid(t), PANEL_START, PANEL_END)
+    return f.feature_audit(panel_grid(t), t.days.first, t.days.last)
 
 
 @query("fea11_cap_sample")

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from stockloom.catalog.features import FRAME, GRID, panel_features
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import EVENT_PANEL, grid
+from stockloom.catalog.views import CUT_DAY, EVENT_PANEL, FIRST_DAY, grid
 from stockloom.operators import boosted, demand
 from stockloom.operators import features as f
 from stockloom.operators import forecasting as fc
 from stockloom.operators import linear_models as lm
-from stockloom.plans.tables import PANEL_CUT, PANEL_START
 
 EVENT_START, EVENT_CUT, EVENT_END = "2024-01-01", "2024-01-25", "2024-01-30"
 _ID = "date_, product_id, city_name, daily_quantity"
@@ -28,7 +27,7 @@ BASELINES = {
 
 def baselines(t):
     """Validation rows of the panel with all simple forecasts."""
-    _, validation = f.split_by_date(panel_features(t), PANEL_CUT)
+    _, validation = f.split_by_date(panel_features(t), t.days.cut)
     return fc.seasonal_proxy(fc.moving_average(fc.seasonal_naive(fc.naive(validation))))
 
 
@@ -38,7 +37,7 @@ RESULTS = (
     + FRAME.replace("ROUND(AVG(daily_quantity)", "(AVG(daily_quantity)").replace(", 6) AS rolling_mean", ") AS rolling_mean")
     + f""",
 results AS (SELECT {_ID}, lag_1 AS pred_naive_lag1, lag_7 AS pred_seasonal_naive_lag7, rolling_mean_7 AS pred_ma_7, rolling_mean_14 AS pred_ma_14,
-  rolling_mean_28 AS pred_ma_28, greatest(lag_7 * 0.9 + rolling_mean_7 * 0.1, 0.0) AS pred_prophet FROM features WHERE date_ >= DATE '{PANEL_CUT}')"""
+  rolling_mean_28 AS pred_ma_28, greatest(lag_7 * 0.9 + rolling_mean_7 * 0.1, 0.0) AS pred_prophet FROM features WHERE date_ >= {CUT_DAY})"""
 )
 
 
@@ -67,16 +66,16 @@ def _(t):
 
 @query(
     "fct04_fixed_origin",
-    f"""WITH {GRID}, tr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id, city_name ORDER BY date_ DESC) AS rn FROM grid WHERE date_ < DATE '{PANEL_CUT}')
+    f"""WITH {GRID}, tr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id, city_name ORDER BY date_ DESC) AS rn FROM grid WHERE date_ < {CUT_DAY})
     SELECT product_id, city_name, MAX(daily_quantity) FILTER (rn = 1) AS pred_naive, ROUND(AVG(daily_quantity) FILTER (rn <= 7), 6) AS pred_ma7,
     ROUND(AVG(daily_quantity), 6) AS pred_mean FROM tr GROUP BY 1, 2""",
 )
 def _(t):
-    origin = fc.fixed_origin(t.panel, PANEL_START, PANEL_CUT)
+    origin = fc.fixed_origin(t.panel, t.days.first, t.days.cut)
     return origin.withColumns({c: F.round(c, 6) for c in ["pred_ma7", "pred_mean"]})
 
 
-EVENT_GRID = EVENT_PANEL + ",\n" + grid("event_panel", EVENT_START, EVENT_END)
+EVENT_GRID = EVENT_PANEL + ",\n" + grid("event_panel", f"DATE '{EVENT_START}'", f"DATE '{EVENT_END}'")
 SBC = f"""train AS (SELECT *, CAST(date_ - DATE '{EVENT_START}' + 1 AS BIGINT) AS t FROM grid WHERE date_ < DATE '{EVENT_CUT}'),
 s AS (SELECT product_id, city_name, COUNT(*) AS total_periods, COUNT(*) FILTER (daily_quantity > 0) AS n, AVG(daily_quantity) FILTER (daily_quantity > 0) AS m,
   STDDEV_POP(daily_quantity) FILTER (daily_quantity > 0) AS sd, AVG(daily_quantity) AS om FROM train GROUP BY 1, 2),
@@ -134,7 +133,7 @@ def _(t):
 
 
 def _train_validation(t):
-    return f.split_by_date(panel_features(t), PANEL_CUT)
+    return f.split_by_date(panel_features(t), t.days.cut)
 
 
 def _out(df, *preds):
@@ -156,18 +155,18 @@ def _(t):
 # Least squares with a trend and weekday levels: the slope within weekdays.
 @query(
     "fct11_additive_seasonal",
-    f"""WITH {GRID}, {FRAME}, train AS (SELECT * FROM features WHERE date_ < DATE '{PANEL_CUT}'),
-    daily AS (SELECT isodow(date_) AS dow, CAST(date_ - DATE '{PANEL_START}' AS DOUBLE) AS t, SUM(daily_quantity) AS y FROM train GROUP BY date_),
+    f"""WITH {GRID}, {FRAME}, train AS (SELECT * FROM features WHERE date_ < {CUT_DAY}),
+    daily AS (SELECT isodow(date_) AS dow, CAST(date_ - {FIRST_DAY} AS DOUBLE) AS t, SUM(daily_quantity) AS y FROM train GROUP BY date_),
     g AS (SELECT dow, AVG(t) AS mt, AVG(y) AS my FROM daily GROUP BY 1),
     b AS (SELECT SUM((t - mt) * (y - my)) / SUM((t - mt) * (t - mt)) AS slope FROM daily JOIN g USING (dow)),
     s AS (SELECT product_id, city_name, AVG(daily_quantity) AS level FROM train GROUP BY 1, 2)
-    SELECT date_, f.product_id, f.city_name, daily_quantity, ROUND(greatest(0.0, level * (my + slope * (CAST(date_ - DATE '{PANEL_START}' AS DOUBLE) - mt))
+    SELECT date_, f.product_id, f.city_name, daily_quantity, ROUND(greatest(0.0, level * (my + slope * (CAST(date_ - {FIRST_DAY} AS DOUBLE) - mt))
       / greatest(1.0, (SELECT AVG(y) FROM daily))), 4) AS pred_prophet
-    FROM features f JOIN g ON g.dow = isodow(date_) JOIN s ON s.product_id = f.product_id AND s.city_name = f.city_name CROSS JOIN b WHERE date_ >= DATE '{PANEL_CUT}'""",
+    FROM features f JOIN g ON g.dow = isodow(date_) JOIN s ON s.product_id = f.product_id AND s.city_name = f.city_name CROSS JOIN b WHERE date_ >= {CUT_DAY}""",
 )
 def _(t):
     train, validation = _train_validation(t)
-    return _out(lm.additive_seasonal(train, validation, PANEL_START), "pred_prophet")
+    return _out(lm.additive_seasonal(train, validation, t.days.first), "pred_prophet")
 
 
 @query("fct12_seasonal_proxy", _pred_sql("pred_prophet"))
@@ -178,8 +177,8 @@ def _(t):
 @query("fct13_tuned_trees")
 def _(t):
     features = panel_features(t)
-    earlier, validation = f.split_by_date(features, PANEL_CUT)
-    train, tune = f.split_by_date(earlier, "2000-11-01")
+    earlier, validation = f.split_by_date(features, t.days.cut)
+    train, tune = f.split_by_date(earlier, t.days.tune)
     settings = [{"maxIter": n, "maxDepth": depth} for n in (5, 10) for depth in (2, 3)]
     best, _, _ = boosted.tune_gbt(train, tune, f.FEATURES, settings)
     return _out(best.predict(validation, "pred_lgb"), "pred_lgb")
@@ -188,7 +187,7 @@ def _(t):
 @query("fct14_early_stopping")
 def _(t):
     earlier, validation = _train_validation(t)
-    train, held_out = f.split_by_date(earlier, "2000-11-01")
+    train, held_out = f.split_by_date(earlier, t.days.tune)
     model = boosted.gbt_early_stop(train, held_out, f.FEATURES, maxIter=40, stepSize=0.1)
     return _out(model.predict(validation, "pred_xgb"), "pred_xgb")
 
@@ -197,7 +196,7 @@ def _(t):
 def _(t):
     earlier, validation = _train_validation(t)
     # Weights are fitted on a period before the one they are applied to.
-    train, tune = f.split_by_date(earlier, "2000-11-01")
+    train, tune = f.split_by_date(earlier, t.days.tune)
     ridge = lm.ridge(train, f.FEATURES)
 
     def base(df):
@@ -379,12 +378,12 @@ def _(t):
 @query(
     "fct25_forecast_horizon",
     f"""WITH {GRID}, r AS (SELECT product_id, city_name, AVG(daily_quantity) AS l, STDDEV_SAMP(daily_quantity) AS s FROM grid
-      WHERE date_ < DATE '{PANEL_CUT}' AND date_ >= DATE '{PANEL_CUT}' - 28 GROUP BY 1, 2)
+      WHERE date_ < {CUT_DAY} AND date_ >= {CUT_DAY} - 28 GROUP BY 1, 2)
     SELECT product_id, city_name, CAST(d AS DATE) AS forecast_date, ROUND(l, 4) AS yhat, ROUND(greatest(0.0, l - 1.96 * s), 4) AS yhat_lower,
-    ROUND(l + 1.96 * s, 4) AS yhat_upper, TRUE AS is_future FROM r CROSS JOIN generate_series(DATE '{PANEL_CUT}', DATE '{PANEL_CUT}' + 13, INTERVAL 1 DAY) t(d)""",
+    ROUND(l + 1.96 * s, 4) AS yhat_upper, TRUE AS is_future FROM r CROSS JOIN (SELECT UNNEST(generate_series({CUT_DAY}, {CUT_DAY} + 13, INTERVAL 1 DAY)) AS d) t""",
 )
 def _(t):
-    return fc.forecast_horizon(t.panel, PANEL_CUT, 14)
+    return fc.forecast_horizon(t.panel, t.days.cut, 14)
 
 
 @query(

@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from stockloom.catalog.cleaning import _LOOKUP, varied_costs
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import PANEL, PRODUCTS, SALES, grid
+from stockloom.catalog.views import FIRST_DAY, LAST_DAY, PANEL, PRODUCTS, SALES, SPAN, grid
 from stockloom.operators import cleaning
 from stockloom.operators import demand as d
 from stockloom.operators import inventory as inv
 from stockloom.operators import trends
 from stockloom.schemas import SERIES_KEY
 
-WINDOW = ("2000-01-01", "2000-12-31")
-
 DEMAND = "demand AS (SELECT date_, product_id, city_name, SUM(procured_quantity) AS daily_quantity FROM sales GROUP BY 1, 2, 3)"
-PARAMS = f"""params AS (SELECT product_id, city_name, ROUND(AVG(daily_quantity), 2) AS mean_daily_demand, ROUND(COALESCE(STDDEV_SAMP(daily_quantity), 0.0), 2) AS std_daily_demand,
-  COUNT(*) AS active_days_in_window FROM demand WHERE date_ BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}' GROUP BY 1, 2)"""
+PARAMS = SPAN + f""",
+params AS (SELECT product_id, city_name, ROUND(AVG(daily_quantity), 2) AS mean_daily_demand, ROUND(COALESCE(STDDEV_SAMP(daily_quantity), 0.0), 2) AS std_daily_demand,
+  COUNT(*) AS active_days_in_window FROM demand WHERE date_ BETWEEN {LAST_DAY} - 29 AND {LAST_DAY} GROUP BY 1, 2)"""
 
 
 def levels(source: str, lead: int = 3, z: float = 1.645, review: int = 7, name: str = "policy") -> str:
@@ -32,7 +31,7 @@ def _demand(t):
 
 
 def params(t):
-    return inv.demand_params(_demand(t), *WINDOW)
+    return inv.demand_params(_demand(t), t.days.cut, t.days.last)
 
 
 def policy(t):
@@ -78,9 +77,9 @@ def _(t):
     return inv.recompute(policy(t), 5, 0.99, city="Asia", limit=100).select(*_NAMES)
 
 
-MOVES = PANEL + ",\n" + grid("panel", "2000-01-01", "2000-12-31") + """,
+MOVES = PANEL + ",\n" + grid("panel", FIRST_DAY, LAST_DAY) + f""",
 moves AS (SELECT product_id, city_name, date_ AS snapshot_date, CASE WHEN dayofmonth(date_) % 10 = 0 THEN 40.0 ELSE 0.0 END AS stock_received,
-  daily_quantity AS sales_quantity, CAST(date_ - DATE '2000-01-01' AS BIGINT) AS i FROM grid),
+  daily_quantity AS sales_quantity, CAST(date_ - {FIRST_DAY} AS BIGINT) AS i FROM grid),
 ledger(product_id, city_name, i, snapshot_date, opening_stock, stock_received, sales_quantity, closing_stock) AS (
   SELECT product_id, city_name, i, snapshot_date, CAST(100.0 AS DOUBLE), CAST(stock_received AS DOUBLE), sales_quantity, greatest(CAST(0.0 AS DOUBLE), 100.0 + stock_received - sales_quantity) FROM moves WHERE i = 0
   UNION ALL
@@ -98,7 +97,7 @@ def _(t):
     return ledger(t)
 
 
-_RECS = "recs AS (SELECT product_id, city_name, ROUND(AVG(daily_quantity), 2) AS avg_daily_demand FROM panel WHERE city_name <> 'ASIA' GROUP BY 1, 2)"
+_RECS = "recs AS (SELECT product_id, city_name, ROUND(AVG(daily_quantity), 2) AS avg_daily_demand FROM panel GROUP BY 1, 2)"
 COVER = f"""{MOVES}, {_RECS}, cover AS (SELECT l.*, round_even(closing_stock / greatest(1.0, COALESCE(avg_daily_demand, greatest(1.0, sales_quantity))), 1) AS days_of_cover
   FROM ledger l LEFT JOIN recs r ON l.product_id = r.product_id AND l.city_name = r.city_name)"""
 _RISK = """CASE WHEN days_of_cover <= 2 THEN 'CRITICAL_STOCKOUT' WHEN days_of_cover <= 4 THEN 'REORDER_RECOMMENDED' WHEN days_of_cover > 15 THEN 'OVERSTOCK' ELSE 'OPTIMAL' END AS stockout_risk,
@@ -108,7 +107,7 @@ _RISK = """CASE WHEN days_of_cover <= 2 THEN 'CRITICAL_STOCKOUT' WHEN days_of_co
 
 
 def _recs(t):
-    rows = t.panel.where("city_name <> 'ASIA'").groupBy(*SERIES_KEY)
+    rows = t.panel.groupBy(*SERIES_KEY)
     return rows.agg(F.round(F.avg("daily_quantity"), 2).alias("avg_daily_demand"))
 
 

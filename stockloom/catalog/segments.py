@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import SALES
+from stockloom.catalog.views import FIRST_DAY, LAST_DAY, SALES, SPAN
 from stockloom.operators import segments as s
 
-_FIXED = """days AS (SELECT product_id, date_, SUM(procured_quantity) AS q FROM sales WHERE date_ BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1, 2),
+_FIXED = SPAN + f""",
+days AS (SELECT product_id, date_, SUM(procured_quantity) AS q FROM sales GROUP BY 1, 2),
 full_ AS (SELECT p.product_id, COALESCE(q, 0.0) AS q FROM (SELECT DISTINCT product_id FROM days) p
-  CROSS JOIN generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY) t(d)
+  CROSS JOIN (SELECT UNNEST(generate_series({FIRST_DAY}, {LAST_DAY}, INTERVAL 1 DAY)) AS d) t
   LEFT JOIN days ON days.product_id = p.product_id AND days.date_ = CAST(d AS DATE)),
 stats AS (SELECT product_id, SUM(q) AS total_demand, AVG(q) AS avg_daily_demand, STDDEV_SAMP(q) AS std_daily_demand,
   CASE WHEN AVG(q) > 0 THEN STDDEV_SAMP(q) / AVG(q) ELSE 0.0 END AS cv, COUNT(*) FILTER (q > 0) AS active_days,
@@ -41,7 +42,7 @@ def _rounded(*columns):
 
 
 def _stats(t):
-    return s.product_stats(t.sales, "2000-01-01", "2000-12-31")
+    return s.product_stats(t.sales, t.days.first, t.days.last)
 
 
 @query(

@@ -59,11 +59,15 @@ raw AS (
   SELECT * EXCLUDE (l_discount) FROM raw_once
   UNION ALL SELECT * EXCLUDE (l_discount) FROM raw_once WHERE l_discount > 0.095)"""
 
-PANEL = LINES + """,
+SPAN = """days_of_data AS (
+  SELECT CAST(MIN(o_orderdate) AS DATE) AS first_day, CAST(MAX(o_orderdate) AS DATE) AS last_day FROM orders)"""
+FIRST_DAY, LAST_DAY = "(SELECT first_day FROM days_of_data)", "(SELECT last_day FROM days_of_data)"
+CUT_DAY = "(SELECT last_day - 29 FROM days_of_data)"
+
+PANEL = LINES + ",\n" + SPAN + """,
 panel AS (
   SELECT order_date AS date_, p_type AS product_id, r_name AS city_name, SUM(l_quantity) AS daily_quantity
-  FROM lines WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
-  GROUP BY 1, 2, 3)"""
+  FROM lines GROUP BY 1, 2, 3)"""
 
 EVENT_PANEL = """event_panel AS (
   SELECT CAST(ts AS DATE) AS date_, event_type AS product_id,
@@ -90,5 +94,5 @@ def grid(source: str, start: str, end: str, name: str = "grid") -> str:
     return f"""{name} AS (
   SELECT CAST(d AS DATE) AS date_, s.product_id, s.city_name, COALESCE(r.daily_quantity, 0.0) AS daily_quantity
   FROM (SELECT DISTINCT product_id, city_name FROM {source}) s
-  CROSS JOIN generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY) t(d)
+  CROSS JOIN (SELECT UNNEST(generate_series({start}, {end}, INTERVAL 1 DAY)) AS d) t
   LEFT JOIN {source} r ON r.product_id = s.product_id AND r.city_name = s.city_name AND r.date_ = CAST(d AS DATE))"""

@@ -6,14 +6,23 @@ products, daily panels, ledgers, messages) that the operators work on.
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.operators.features import calendar_grid
 
-PANEL_START, PANEL_CUT, PANEL_END = "2000-01-01", "2000-12-01", "2000-12-31"
+
+class Days(NamedTuple):
+    """Dates as text: the calendar's first day, where tuning and validation begin, its last day."""
+
+    first: str
+    tune: str
+    cut: str
+    last: str
 
 
 class Tables:
@@ -148,13 +157,18 @@ class Tables:
             F.col("l_orderkey").alias("order_id"),
         )
 
+    @cached_property
+    def days(self) -> Days:
+        """First and last day of the orders; the last 30 days are held out, the 30 before tune."""
+        first, last = self.read("orders").select(F.to_date("o_orderdate").alias("d")).agg(F.min("d"), F.max("d")).first()
+        cut = last - timedelta(days=29)
+        return Days(*map(str, (first, cut - timedelta(days=30), cut, last)))
+
     @cached_property
     def panel(self) -> DataFrame:
-        """Daily demand per part type and city inside the panel window."""
-        return (
-            self.panel_lines.where(F.col("date_").between(F.lit(PANEL_START).cast("date"), F.lit(PANEL_END).cast("date")))
-            .groupBy("date_", "product_id", "city_name")
-            .agg(F.sum("procured_quantity").alias("daily_quantity"))
+        """Daily demand per part type and city, over all days."""
+        return self.panel_lines.groupBy("date_", "product_id", "city_name").agg(
+            F.sum("procured_quantity").alias("daily_quantity")
         )
 
     @cached_property
@@ -177,7 +191,7 @@ class Tables:
     @cached_property
     def movements(self) -> DataFrame:
         """Daily stock movements of the panel: 40 pieces arrive on the 10th, 20th and 30th."""
-        return calendar_grid(self.panel, PANEL_START, PANEL_END).select(
+        return calendar_grid(self.panel, self.days.first, self.days.last).select(
             "product_id",
             "city_name",
             F.col("date_").alias("snapshot_date"),

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators import cleaning, demand, features, forecasting, inventory, segments, validation
-from stockloom.plans.tables import PANEL_CUT, PANEL_END, PANEL_START
 
 
 def rows(df):
@@ -158,8 +157,8 @@ def test_pareto_is_monotone_and_ends_at_one(tables):
 
 
 def test_panel_split_is_chronological(tables):
-    frame = features.feature_frame(features.calendar_grid(tables.panel, PANEL_START, PANEL_END))
-    train, later = features.split_by_date(frame, PANEL_CUT)
+    frame = features.feature_frame(features.calendar_grid(tables.panel, tables.days.first, tables.days.last))
+    train, later = features.split_by_date(frame, tables.days.cut)
     assert train.agg(F.max("date_")).first()[0] < later.agg(F.min("date_")).first()[0]
     assert train.count() + later.count() == frame.count()
 
