@@ -178,7 +178,8 @@ def _(t):
     "dq30_order_count_check",
     f"""WITH {SALES}, exact AS (SELECT date_, product_id, city_name, COUNT(DISTINCT order_id) AS exact, COUNT(*) AS order_count
     FROM sales GROUP BY 1, 2, 3)
-    SELECT COUNT(*) AS rows_compared, COUNT(*) FILTER (order_count <> exact) AS mismatched,
+    SELECT COUNT(*) AS rows_compared, CAST(0 AS BIGINT) AS only_in_sales, CAST(0 AS BIGINT) AS only_in_demand,
+    COUNT(*) FILTER (order_count <> exact) AS mismatched,
     COUNT(*) FILTER (order_count > exact) AS overcounted, COUNT(*) FILTER (order_count < exact) AS undercounted,
     MAX(order_count - exact) AS max_overcount, CAST(SUM(order_count) AS BIGINT) AS stored_total,
     CAST(SUM(exact) AS BIGINT) AS exact_total FROM exact""",

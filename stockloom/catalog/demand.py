@@ -157,13 +157,12 @@ def _(t):
       (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'), (5, 'Saturday'), (6, 'Sunday')) v(i, n)),
     s AS (SELECT day_name, COUNT(*) AS total_days, ROUND(AVG(daily_quantity), 4) AS avg_daily_quantity,
       ROUND(AVG(daily_revenue), 4) AS avg_daily_revenue, SUM(daily_quantity) AS total_quantity, ROUND(SUM(daily_revenue), 2) AS total_revenue
-      FROM daily WHERE day_of_week <> 6 GROUP BY 1)
+      FROM daily GROUP BY 1)
     SELECT w.day_name, day_order, total_days, avg_daily_quantity, avg_daily_revenue, total_quantity, total_revenue
     FROM week w LEFT JOIN s ON w.day_name = s.day_name""",
 )
 def _(t):
-    # Sundays are left out on purpose: their row must stay, with nulls.
-    return d.dow_summary(d.daily_trend(t.sales).where("day_of_week <> 6"))
+    return d.dow_summary(d.daily_trend(t.sales))
 
 
 @query(

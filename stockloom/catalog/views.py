@@ -78,9 +78,9 @@ EVENT_PANEL = """event_panel AS (
 
 
 def number(c: str) -> str:
-    """Text to number; blank, junk and NaN become NULL."""
+    """Text to number; blank, junk, NaN and infinite values become NULL."""
     cast = f"TRY_CAST(NULLIF(TRIM({c}), '') AS DOUBLE)"
-    return f"CASE WHEN isnan({cast}) THEN NULL ELSE {cast} END"
+    return f"CASE WHEN isfinite({cast}) THEN {cast} END"
 
 
 def day(c: str) -> str:

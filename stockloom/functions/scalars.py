@@ -37,9 +37,9 @@ def parse_date(c: Column | str) -> Column:
 
 
 def parse_double(c: Column | str) -> Column:
-    """Number from text; blank, junk and NaN become null."""
+    """Number from text; blank, junk, NaN and infinite values become null."""
     value = blank_to_null(c).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def parse_id(c: Column | str) -> Column:

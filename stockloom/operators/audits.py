@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import exact_quantiles
+from stockloom.functions.relations import join_same_keys
 from stockloom.functions.scalars import count_if, month_label
 from stockloom.schemas import GRAIN, SERIES_KEY
 
@@ -126,12 +127,17 @@ def fd_summary(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def verify_order_count(sales: DataFrame, demand: DataFrame) -> DataFrame:
-    """Compare stored order counts with exact distinct counts."""
+    """Compare stored order counts with exact distinct counts.
+
+    Null keys match null keys, as in grouping; groups of one side only are counted.
+    """
     exact = sales.groupBy(*GRAIN).agg(F.countDistinct("order_id").alias("exact"))
     diff = F.col("order_count") - F.col("exact")
-    joined = exact.join(demand.select(*GRAIN, "order_count"), GRAIN)
+    joined = join_same_keys(exact, demand.select(*GRAIN, "order_count"), GRAIN, "full")
     return joined.agg(
-        F.count(F.lit(1)).alias("rows_compared"),
+        count_if(F.col("exact").isNotNull() & F.col("order_count").isNotNull()).alias("rows_compared"),
+        count_if(F.col("order_count").isNull()).alias("only_in_sales"),
+        count_if(F.col("exact").isNull()).alias("only_in_demand"),
         count_if(diff != 0).alias("mismatched"),
         count_if(diff > 0).alias("overcounted"),
         count_if(diff < 0).alias("undercounted"),

@@ -162,12 +162,10 @@ def category_kpis(sales: DataFrame, products: DataFrame, level: str = "l0_catego
 
 def category_top(sales: DataFrame, products: DataFrame, levels: list[str], n: int) -> DataFrame:
     """Best categories by revenue, with their share of all revenue."""
-    return (
-        _add_shares(_category_sums(sales, products, levels, UNMATCHED))
-        .orderBy(F.desc("total_revenue"), *levels)
-        .limit(n)
-        .drop("quantity_share_pct")
-    )
+    sums = _category_sums(sales, products, levels, UNMATCHED)
+    whole = sums.agg(F.sum("total_revenue").alias("r")).scalar()
+    best = sums.orderBy(F.desc("total_revenue"), *levels).limit(n)
+    return best.withColumn("revenue_share_pct", percent(F.col("total_revenue"), whole))
 
 
 def _display(totals: DataFrame, products: DataFrame) -> DataFrame:

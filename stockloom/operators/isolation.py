@@ -7,6 +7,7 @@ by one task each, and the forest travels to the scoring tasks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import quantile_values
-from stockloom.functions.sampling import hash_sample
-from stockloom.session import materialize
+from stockloom.session import materialize, ship_package
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, low int, high int, size int"
 
@@ -93,15 +93,23 @@ def fit_forest(
     keys: list[str],
     trees: int = 100,
     sample: int = 256,
-    pool: int = 8192,
     seed: int = 42,
 ) -> Forest:
-    """Grow the trees on hash-chosen samples of a hash-chosen pool of rows."""
+    """Grow the trees on hash-chosen samples of all rows.
+
+    Every row has a hash place per tree; the places that count follow from the
+    number of rows, so one pass hands a tree slightly more than its sample.
+    """
     rows = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in inputs])
-    pooled = hash_sample(rows, pool, keys, seed)
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(*keys, "tree", F.lit(seed)), *keys)
+    share = min(1.0, (sample + 10 * math.sqrt(sample) + 50) / max(rows.count(), 1))
+
+    def place(tree):
+        return F.pmod(F.xxhash64(*keys, tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: place(tree) < share)
+    order = Window.partitionBy("tree").orderBy(place(F.col("tree")), *keys)
     chosen = (
-        pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        rows.withColumn("tree", F.explode(drawn))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= sample)
         .select("tree", "_rank", *inputs)
@@ -141,6 +149,7 @@ def isolation_forest(
     The input is written once and read for counting, growing and scoring; the
     scores are written once, so threshold and result come from the same values.
     """
+    ship_package(df.sparkSession)
     rows = materialize(df)
     scored = materialize(score_rows(rows, fit_forest(rows, inputs, keys, trees=trees, seed=seed)))
     cut = quantile_values(scored, "iso_score", {"cut": 1 - contamination})["cut"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,20 @@ def local_session(
     return configure(spark)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers a zip of this package, once per Spark context.
+
+    They need it wherever the job was not started from an installed package.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_has_stockloom", False):
+        return
+    package = Path(__file__).resolve().parent
+    base = os.path.join(os.path.realpath(tempfile.mkdtemp()), package.name)
+    context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+    context._has_stockloom = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 

@@ -50,13 +50,20 @@ def file_manifest(expected: list[str], df: DataFrame, name: str = "source_file")
 
 
 def resolve_aliases(df: DataFrame) -> DataFrame:
-    """Rename known spellings of the contract columns (metadata only)."""
+    """Rename known spellings of the contract columns (metadata only).
+
+    A column that already has the contract name is taken and no alias of it is.
+    """
     renames: dict[str, str] = {}
     for target, names in ALIASES.items():
+        if target in df.columns:
+            continue
         match = next((c for c in df.columns if c.lower() in names), None)
         if match is not None and match != target:
             renames[match] = target
     for target, word in ALIAS_WORDS.items():
+        if target in df.columns:
+            continue
         match = next((c for c in df.columns if word in c.lower() and c not in renames), None)
         if match is not None and match != target:
             renames[match] = target

@@ -41,22 +41,39 @@ def write_metrics(metrics: dict[str, DataFrame], path: str) -> None:
 def publish(df: DataFrame, path: str, checks: dict[str, tuple[Column, float]]) -> None:
     """Write beside the target, verify what was written, then swap.
 
-    Readers see the old table until the checks have passed.
+    Readers see the old table until the checks have passed.  Every rename is
+    checked; when the new table cannot take the place, the old one is put back.
     """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    require(expectations(spark.read.parquet(staged), checks))
+    if checks:
+        require(expectations(spark.read.parquet(staged), checks))
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, source = hadoop.Path(path), hadoop.Path(staged)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if files.exists(target):
         retired = hadoop.Path(f"{staged}.old")
-        files.rename(target, retired)
-        files.rename(source, target)
+        _rename(files, target, retired)
+        try:
+            _rename(files, source, target)
+        except Exception:
+            _rename(files, retired, target)
+            raise
         files.delete(retired, True)
     else:
-        files.rename(source, target)
+        _rename(files, source, target)
+
+
+def _rename(files, source, target) -> None:
+    if not files.rename(source, target):  # false, where other calls would raise
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def upsert_table(path: str, updates: DataFrame, keys: list[str], order: str) -> None:
+    """``upsert`` into the stored table at ``path``, published once it is whole."""
+    target = updates.sparkSession.read.parquet(path)
+    publish(upsert(target, updates, keys, order), path, {})
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -66,5 +83,8 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: str) -
 
 
 def insert_missing(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Add rows whose key is not there yet."""
-    return target.unionByName(new.join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    """Add rows whose key is not there yet; of several new rows of a key the smallest."""
+    others = [c for c in target.columns if c not in keys]
+    rows = new.groupBy(*keys).agg(F.min(F.struct(*others, F.lit(0).alias("_any"))).alias("_first"))
+    rows = rows.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in others])
+    return target.unionByName(rows.join(target.select(*keys), keys, "left_anti").select(*target.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockloom.operators.validation import accepted, rejected, validate_rows
-from stockloom.schemas import SERIES_KEY
+from stockloom.schemas import SALES_COLUMNS, SERIES_KEY
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -23,12 +23,25 @@ def stream_validate(raw: DataFrame, products: DataFrame, target: str, checkpoint
     """Split arriving text rows into accepted and rejected tables.
 
     Each micro-batch writes below its own batch number, so a batch repeated
-    after a failure overwrites its first attempt.
+    after a failure overwrites its first attempt.  The digests of the rows of
+    earlier batches are kept beside the tables: a row seen before is a repeat,
+    however the files were dealt into batches.
     """
+    row = F.sha2(F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"}), 256)
 
     def split(batch: DataFrame, number: int) -> None:
-        validated = validate_rows(batch, products).persist()
+        validated = validate_rows(batch, products).withColumn("_row", row)
+        if number:
+            seen = batch.sparkSession.read.parquet(f"{target}/seen").where(F.col("batch") < number)
+            seen = seen.select(F.col("row").alias("_row"), F.lit(True).alias("_seen")).distinct()
+            again = F.col("_seen").isNotNull() & ~F.array_contains("errors", "duplicate_row")
+            validated = validated.join(seen, "_row", "left").withColumn(
+                "errors", F.when(again, F.array_append("errors", F.lit("duplicate_row"))).otherwise(F.col("errors"))
+            )
+        validated = validated.persist()
         try:
+            rows = validated.select(F.col("_row").alias("row")).distinct()
+            rows.write.mode("overwrite").parquet(f"{target}/seen/batch={number}")
             accepted(validated).write.mode("overwrite").parquet(f"{target}/accepted/batch={number}")
             rejected(validated).write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
         finally:
@@ -68,13 +81,14 @@ def stream_dedup(source: DataFrame, keys: list[str], delay: str = "2 days", time
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available, then stop."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process everything available, then stop.
+
+    ``append`` adds what the watermark has closed; ``complete`` replaces the table
+    with all groups after each batch, the open ones included.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
