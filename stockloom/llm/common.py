@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.session import configure
+from stockloom.session import configure, ship_package
 
 # Rows and bytes of one Arrow batch between the JVM and a Python worker: texts
 # and pages are long, so batches are bounded by bytes as well.
@@ -24,19 +20,11 @@ ARROW_CONF = {
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with the library's runtime settings and bounded Arrow batches.
-
-    Python workers import this package, so Spark is given a zip of it once.
-    """
+    """The session with the library's settings, bounded Arrow batches and the package on its workers."""
     configure(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if not getattr(context, "_has_stockloom", False):
-        package = Path(__file__).resolve().parent.parent
-        base = os.path.join(os.path.realpath(tempfile.mkdtemp()), package.name)
-        context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
-        context._has_stockloom = True
+    ship_package(spark)
     return spark
 
 
