@@ -142,9 +142,13 @@ def _(t):
     return f.feature_audit(panel_grid(t), t.days.first, t.days.last)
 
 
-@query("fea11_cap_sample")
+@query(
+    "fea11_cap_sample",
+    f"""WITH {GRID}, {FRAME} SELECT * FROM features ORDER BY CAST('0x' || substr(md5(product_id || '|' || city_name || '|' ||
+    CAST(date_ AS VARCHAR) || '|42'), 1, 8) AS BIGINT), product_id, city_name, date_ LIMIT 2000""",
+)
 def _(t):
-    return f.cap_sample(panel_features(t), 2000, ["product_id", "city_name", "date_"])
+    return rounded(f.cap_sample(panel_features(t), 2000, ["product_id", "city_name", "date_"]))
 
 
 _DATES = "dates AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date_ FROM orders)"

@@ -146,6 +146,34 @@ def _(t):
     return _out(lm.predict_ridge(validation, lm.ridge(train, f.FEATURES)), "pred_ridge")
 
 
+# What a fitted model must satisfy, next to the figures of the lag-7 forecast.
+_CHECK = f"""WITH {GRID}, {FRAME}, v AS (SELECT * FROM features WHERE date_ >= {CUT_DAY})
+    SELECT COUNT(*) AS rows_scored, CAST(0 AS BIGINT) AS negative, ROUND(SUM(abs(daily_quantity - lag_7)) / SUM(daily_quantity) * 100, 2) AS wape_lag7,
+    TRUE AS better_than_lag7 FROM v"""
+
+
+def _checked(df, pred):
+    wape = {c: F.sum(F.abs(F.col("daily_quantity") - F.col(c))) / F.sum("daily_quantity") * 100 for c in (pred, "lag_7")}
+    return df.agg(
+        F.count(pred).alias("rows_scored"),
+        F.count_if(F.col(pred) < 0).alias("negative"),
+        F.round(wape["lag_7"], 2).alias("wape_lag7"),
+        (wape[pred] < wape["lag_7"]).alias("better_than_lag7"),
+    )
+
+
+@query("fct09_ridge_check", _CHECK)
+def _(t):
+    train, validation = _train_validation(t)
+    return _checked(lm.predict_ridge(validation, lm.ridge(train, f.FEATURES)), "pred_ridge")
+
+
+@query("fct10_boosted_trees_check", _CHECK)
+def _(t):
+    train, validation = _train_validation(t)
+    return _checked(boosted.gbt(train, f.FEATURES).predict(validation), "pred_hist_gbt")
+
+
 @query("fct10_boosted_trees")
 def _(t):
     train, validation = _train_validation(t)

@@ -7,12 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STEPS = 1 << 30
-
-
 def hash_place(keys: list[str], seed: int) -> Column:
-    """A fixed pseudo-random place in [0, 1) for each key."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(_STEPS)) / float(_STEPS)
+    """A fixed pseudo-random place in [0, 1) for each key: the first 32 bits of its MD5."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42, rows: int | None = None) -> DataFrame:

@@ -82,29 +82,47 @@ def demand_table(sales: DataFrame) -> DataFrame:
 
 
 def overview(sales: DataFrame, products: DataFrame) -> DataFrame:
-    """Size, period and totals of the data set."""
+    """Size, period and totals of the data set.
+
+    The facts are summed once per product, city and day; every figure, the
+    distinct counts included, follows from those rows without expanding them.
+    """
     levels = ["l0_category", "l1_category", "l2_category"]
-    named = sales.select("product_id").distinct().join(products.select("product_id", *levels), "product_id", "left")
-    known = named.agg(F.struct(*[F.countDistinct(c).alias(c) for c in levels]).alias("c")).scalar()
-    return (
-        sales.agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.countDistinct("product_id").alias("total_products"),
-            F.countDistinct("city_name").alias("total_cities"),
-            F.countDistinct("date_").alias("unique_dates"),
-            F.min("date_").alias("min_date"),
-            F.max("date_").alias("max_date"),
-            F.sum(quantity()).alias("total_quantity"),
-            F.round(F.sum(revenue()), 2).alias("total_revenue"),
-        )
-        .withColumn("_known", known)
-        .select(
-            "*",
-            F.col("_known.l0_category").alias("unique_l0"),
-            F.col("_known.l1_category").alias("unique_l1"),
-            F.col("_known.l2_category").alias("unique_l2"),
-        )
-        .drop("_known")
+    summed = sales.groupBy("product_id", "city_name", "date_").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(quantity()).alias("q"), F.sum(revenue()).alias("r")
+    )
+    per_product = summed.groupBy("product_id").agg(
+        F.sum("n").alias("n"),
+        F.sum("q").alias("q"),
+        F.sum("r").alias("r"),
+        F.min("date_").alias("lo"),
+        F.max("date_").alias("hi"),
+    )
+
+    def values(column: str) -> Column:
+        return summed.select(column).distinct().agg(F.count(column)).scalar()
+
+    named = per_product.select("product_id").join(products.select("product_id", *levels), "product_id", "left")
+    known = [
+        named.select(c).distinct().agg(F.count(c)).scalar().alias(f"unique_{c[:2]}") for c in levels
+    ]
+    return per_product.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.count("product_id").alias("total_products"),
+        F.min("lo").alias("min_date"),
+        F.max("hi").alias("max_date"),
+        F.sum("q").alias("total_quantity"),
+        F.round(F.sum("r"), 2).alias("total_revenue"),
+    ).select(
+        "total_rows",
+        "total_products",
+        values("city_name").alias("total_cities"),
+        values("date_").alias("unique_dates"),
+        "min_date",
+        "max_date",
+        "total_quantity",
+        "total_revenue",
+        *known,
     )
 
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +29,35 @@ class Moments:
 
 
 def moments(df: DataFrame, names: list[str]) -> Moments:
-    """Exact moments in one pass; the result is one row whatever the input size."""
+    """Exact moments in one pass over Arrow batches.
+
+    A task returns one row, its count, means and centred products; the driver
+    combines these k x k tables pairwise, which loses no digits to large means.
+    """
     k = len(names)
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]]
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}"))
-    row = df.dropna(subset=names).select(*[F.col(c).cast("double") for c in names]).agg(*aggs).first()
-    n = row["n"]
-    if n == 0:
+
+    def sums(batches):
+        n, means, products = 0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if len(x):
+                centre = x.mean(axis=0)
+                n, means, products = combine((n, means, products), (len(x), centre, (x - centre).T @ (x - centre)))
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "values": [[*means.tolist(), *products.ravel().tolist()]]})
+
+    def combine(one, two):
+        n, gap = one[0] + two[0], two[1] - one[1]
+        return n, one[1] + gap * (two[0] / n), one[2] + two[2] + np.outer(gap, gap) * (one[0] * two[0] / n)
+
+    rows = df.dropna(subset=names).select(*[F.col(c).cast("double") for c in names])
+    whole = (0, np.zeros(k), np.zeros((k, k)))
+    for row in rows.mapInArrow(sums, "n long, values array<double>").toLocalIterator():
+        part = np.array(row["values"])
+        whole = combine(whole, (row["n"], part[:k], part[k:].reshape(k, k)))
+    if not whole[0]:
         raise ValueError("no complete rows to fit on")
-    c = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            c[i, j] = c[j, i] = row[f"c{i}_{j}"] * n
-    return Moments(n, list(names), np.array([row[f"m{i}"] for i in range(k)]), c)
+    return Moments(whole[0], list(names), whole[1], whole[2])
 
 
 @dataclass(frozen=True)

@@ -6,41 +6,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.quantiles import quantile_values
+from stockloom.functions.relations import join_same_keys
 from stockloom.functions.scalars import blank_to_null, count_if, parse_date, parse_double
 from stockloom.schemas import SALES_COLUMNS, SALES_MEASURES
 
 
+def _value_counts(raw: DataFrame, products: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
+    """Per group: distinct values of each named column, repeats of whole rows, ids checked and matched.
+
+    Rows are turned into narrow (name, value) pairs, counted before the shuffle;
+    a whole row stands in them as its 128-bit digest.
+    """
+    row = F.md5(F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"}))
+    pairs = [F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in (values | {"row": row}).items()]
+    counted = (
+        raw.select(*by, F.inline(F.array(*pairs)))
+        .where(F.col("value").isNotNull())
+        .groupBy(*by, "name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ids = products.select(F.lit("pid").alias("name"), F.col("product_id").cast("string").alias("value")).distinct()
+    counted = counted.join(ids.withColumn("known", F.lit(True)), ["name", "value"], "left")
+    of = lambda name: F.col("name") == name
+    return counted.groupBy(*by).agg(
+        *[F.count_if(of(name)).alias(f"distinct_{name}") for name in values],
+        F.coalesce(F.sum(F.when(of("row"), F.col("n") - 1)), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.when(of("pid"), F.col("n"))), F.lit(0)).alias("ids_checked"),
+        F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("ids_matched"),
+    )
+
+
 def file_report(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Quality figures per ``source_file`` of a text sales table, with a verdict."""
-    unique = raw.groupBy("source_file", *SALES_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
-    ids = products.select(F.col("product_id").cast("string").alias("pid")).distinct()
-    rows = (
-        unique.withColumns(
-            {
-                "pid": blank_to_null("product_id"),
-                "day": parse_date("date_"),
-                "q": parse_double("procured_quantity"),
-                "p": parse_double("unit_selling_price"),
-                "d": parse_double("total_discount_amount"),
-            }
-        )
-        .join(ids.withColumn("known", F.lit(True)), "pid", "left")
+    rows = raw.withColumns(
+        {
+            "pid": blank_to_null("product_id"),
+            "day": parse_date("date_"),
+            "q": parse_double("procured_quantity"),
+            "p": parse_double("unit_selling_price"),
+            "d": parse_double("total_discount_amount"),
+        }
     )
-    n = F.col("n")
+    values = {"orders": F.col("order_id"), "carts": F.col("cart_id"), "customers": F.col("dim_customer_key")}
+    values["pid"] = blank_to_null("product_id")
+    counts = _value_counts(raw, products, values, ["source_file"])
 
     def rows_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+        return F.count_if(condition)
 
     def total(value: Column) -> Column:
-        return F.round(F.coalesce(F.sum(value * n), F.lit(0.0)), 2)
+        return F.round(F.coalesce(F.sum(value), F.lit(0.0)), 2)
 
     q, p, d = F.col("q"), F.col("p"), F.col("d")
-    report = rows.groupBy("source_file").agg(
-        F.sum("n").alias("row_count"),
-        F.countDistinct("order_id").alias("unique_orders"),
-        F.countDistinct("cart_id").alias("unique_carts"),
-        F.countDistinct("dim_customer_key").alias("unique_customers"),
-        F.countDistinct("pid").alias("unique_products"),
+    sums = rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("row_count"),
         F.min("day").alias("date_min"),
         F.max("day").alias("date_max"),
         rows_where(blank_to_null("date_").isNotNull() & F.col("day").isNull()).alias("date_parse_failures"),
@@ -54,14 +73,14 @@ def file_report(raw: DataFrame, products: DataFrame) -> DataFrame:
         rows_where(p < 0).alias("negative_price"),
         rows_where(p == 0).alias("zero_price"),
         rows_where(d < 0).alias("negative_discount"),
-        F.sum(n - 1).alias("duplicate_rows"),
         total(q).alias("quantity_sum"),
         total(q * p).alias("gross_sales_value"),
         total(d).alias("discount_sum"),
         total(q * p - d).alias("net_sales_estimate"),
-        rows_where(F.col("pid").isNotNull()).alias("ids_checked"),
-        rows_where(F.col("known")).alias("ids_matched"),
     )
+    renamed = {"distinct_orders": "unique_orders", "distinct_carts": "unique_carts", "distinct_customers": "unique_customers"}
+    renamed["distinct_pid"] = "unique_products"
+    report = join_same_keys(sums, counts.withColumnsRenamed(renamed), ["source_file"], "left")
     return (
         report.withColumn("ids_unmatched", F.col("ids_checked") - F.col("ids_matched"))
         .withColumn(
@@ -110,30 +129,30 @@ def overall_report(reports: DataFrame, expected_files: int) -> DataFrame:
 
 def dataset_report(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Short report on one text table: PASS, or WARNINGS with the counts."""
-    rows = raw.groupBy(*SALES_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
-    ids = products.select(F.col("product_id").cast("string").alias("pid")).distinct()
-    rows = rows.withColumns({"pid": blank_to_null("product_id"), "day": parse_date("date_")}).join(
-        ids.withColumn("known", F.lit(True)), "pid", "left"
-    )
-
-    def rows_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    report = rows.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
-        F.countDistinct("pid").alias("unique_products"),
+    rows = raw.withColumns({"pid": blank_to_null("product_id"), "day": parse_date("date_")})
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("total_rows"),
         F.min("day").alias("min_date"),
         F.max("day").alias("max_date"),
-        rows_where(F.col("day").isNull()).alias("missing_dates"),
-        rows_where(F.col("pid").isNull()).alias("missing_product_ids"),
-        rows_where(parse_double("procured_quantity") < 0).alias("negative_quantities"),
-        rows_where(parse_double("unit_selling_price") < 0).alias("negative_prices"),
-        F.round(
-            F.coalesce(rows_where(F.col("known")) / F.sum(F.when(F.col("pid").isNotNull(), F.col("n"))), F.lit(0.0))
-            * 100,
-            2,
-        ).alias("match_rate_pct"),
+        F.count_if(F.col("day").isNull()).alias("missing_dates"),
+        F.count_if(F.col("pid").isNull()).alias("missing_product_ids"),
+        F.count_if(parse_double("procured_quantity") < 0).alias("negative_quantities"),
+        F.count_if(parse_double("unit_selling_price") < 0).alias("negative_prices"),
+    )
+    counts = _value_counts(raw, products, {"pid": blank_to_null("product_id")}, [])
+    share = F.when(F.col("ids_checked") > 0, F.col("ids_matched") / F.col("ids_checked"))
+    # Two single rows.
+    report = sums.join(counts, F.lit(True)).select(
+        "total_rows",
+        "duplicate_rows",
+        F.col("distinct_pid").alias("unique_products"),
+        "min_date",
+        "max_date",
+        "missing_dates",
+        "missing_product_ids",
+        "negative_quantities",
+        "negative_prices",
+        F.round(F.coalesce(share, F.lit(0.0)) * 100, 2).alias("match_rate_pct"),
     )
     warnings = sum(
         (F.col(c) for c in ["missing_dates", "missing_product_ids", "negative_quantities", "negative_prices"]),
