@@ -107,22 +107,23 @@ def _(t):
     )
 
 
+_CONTEXT = f"""found AS (SELECT conv_id, turn, TRY_CAST(COALESCE(NULLIF(regexp_extract(text, '(?i)(?:product\\s*id:?|sku\\s*#?|product\\s*#?)\\s*([0-9]{{1,7}})\\b', 1), ''),
+      [x FOR x IN regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+') IF regexp_full_match(x, '[0-9]{{4,6}}')][1]) AS BIGINT) AS product_id,
+    {_city_sql('text')}[1] AS city, CASE WHEN role = 'assistant' THEN {_INTENT_SQL} END AS intent FROM conversations),
+  held AS (SELECT conv_id, turn, LAST_VALUE(product_id IGNORE NULLS) OVER w AS current_product_id, LAST_VALUE(city IGNORE NULLS) OVER w AS current_city,
+    LAST_VALUE(intent IGNORE NULLS) OVER w AS current_intent, LAST_VALUE(CASE WHEN product_id IS NOT NULL THEN turn END IGNORE NULLS) OVER w AS pt,
+    LAST_VALUE(CASE WHEN city IS NOT NULL THEN turn END IGNORE NULLS) OVER w AS ct, LAST_VALUE(CASE WHEN intent IS NOT NULL THEN turn END IGNORE NULLS) OVER w AS it
+    FROM found WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
 @query(
     "txt04_carry_context",
-    """WITH m AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN CAST(length(text) AS BIGINT) END AS product_id, CASE WHEN length(text) % 4 = 1 THEN role END AS city FROM conversations)
-    SELECT *, LAST_VALUE(product_id IGNORE NULLS) OVER w AS current_product_id, LAST_VALUE(city IGNORE NULLS) OVER w AS current_city FROM m
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    f"""WITH {_CONTEXT} SELECT conv_id, turn, current_product_id, current_city,
+    CASE WHEN pt IS NULL OR ct IS NULL OR it >= least(pt, ct) THEN current_intent END AS current_intent FROM held""",
 )
 def _(t):
-    size = F.length("text")
-    rows = t.read("conversations").select(
-        "conv_id",
-        "turn",
-        "text",
-        F.when(size % 3 == 0, size.cast("bigint")).alias("product_id"),
-        F.when(size % 4 == 1, F.col("role")).alias("city"),
-    )
-    return ms.carry_context(rows, ["product_id", "city"]).drop("text", "is_follow_up")
+    rows = ms.conversation_context(t.read("conversations"), synonyms=_CITIES, intents=_INTENTS)
+    return rows.select("conv_id", "turn", "current_product_id", "current_city", "current_intent")
 
 
 @query(

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from stockloom.functions import word_lists as words
 from stockloom.functions.running import carry_last
+from stockloom.session import materialize
+
+# Evidence tables of at most this many rows are sent to the messages.
+BROADCAST_ROWS = 100_000
 
 
 def quote_literal(text: str) -> str:
@@ -142,19 +146,90 @@ def carry_context(
     return carried.withColumn("is_follow_up", is_follow_up(text))
 
 
+# How earlier turns name a product and an assistant names a quantity.
+_TURN_PRODUCT = r"(?iU)(?:product\s*id:?|sku\s*#?|product\s*#?)\s*([0-9]{1,7})\b"
+_TURN_QUANTITY = (
+    r"(?i)(?:order\s*quantity|recommended\s*order|reorder\s*qty|order\s*qty|प्रमाण|ऑर्डर|quantity)"
+    r"[^0-9]*([0-9,]+(?:\.[0-9]+)?)\s*units?"
+)
+
+
+def turn_facts(
+    df: DataFrame,
+    text: str = "text",
+    role: str = "role",
+    turn: str = "turn",
+    synonyms: dict[str, str] = words.HUBS,
+    intents: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """What each turn itself says: product, city, and of assistants quantity and intent.
+
+    Every fact comes with the turn it stands in, for ``conversation_context``.
+    """
+    message, assistant = F.col(text), F.col(role) == "assistant"
+
+    def first(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(message, pattern, 1), F.lit(""))
+
+    named = F.coalesce(first(_TURN_PRODUCT), first(r"(?U)\b([0-9]{4,6})\b")).try_cast("bigint")
+    amount = F.translate(first(_TURN_QUANTITY), ",", "").try_cast("double")
+    tagged = tag_intent(df, text=text, rules=intents) if intents else tag_intent(df, text=text)
+    facts = {
+        "product_id": named,
+        "city": F.get(_cities(message, synonyms), F.lit(0)),
+        "order_qty": F.when(assistant & (amount > 0), amount),
+        "intent": F.when(assistant, F.col("intent")),
+    }
+    found = tagged.withColumns(facts)
+    return found.withColumns({f"{c}_turn": F.when(F.col(c).isNotNull(), F.col(turn)) for c in facts})
+
+
+def conversation_context(
+    df: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", **options
+) -> DataFrame:
+    """Each turn with the last product, city, quantity and intent of the turns before it.
+
+    Earlier turns are read backwards until product and city are known; quantity and
+    intent from before that point do not count.
+    """
+    facts = ["product_id", "city", "order_qty", "intent"]
+    found = turn_facts(df, text=text, turn=turn, **options)
+    columns = {f"current_{c}": c for c in facts} | {f"_at_{c}": f"{c}_turn" for c in facts}
+    carried = carry_last(found, [conversation], turn, columns)
+    both = F.col("_at_product_id").isNotNull() & F.col("_at_city").isNotNull()
+    stop = F.when(both, F.least("_at_product_id", "_at_city"))
+    late = {
+        f"current_{c}": F.when(stop.isNull() | (F.col(f"_at_{c}") >= stop), F.col(f"current_{c}"))
+        for c in ("order_qty", "intent")
+    }
+    return carried.withColumns(late).drop(*[f"_at_{c}" for c in facts], *[f"{c}_turn" for c in facts])
+
+
+def fill_from_context(df: DataFrame, text: str = "text", synonyms: dict[str, str] = words.CITY_SYNONYMS) -> DataFrame:
+    """Entities of the message itself, else those carried by ``conversation_context``."""
+    own = extract_entities(df, text, synonyms)
+    return own.withColumns(
+        {
+            name: F.when(F.size(name) > 0, F.col(name)).otherwise(F.array_compact(F.array(carried)))
+            for name, carried in (("product_ids", "current_product_id"), ("cities", "current_city"))
+        }
+    )
+
+
 def top_evidence(table: DataFrame, intent: str, order: str, n: int) -> DataFrame:
     """The ``n`` best rows of a figure table, per city and over all cities.
 
     Columns: intent, city, place, evidence (JSON).  Rows beyond the n-th of a
     city are cut before the shuffle.
     """
-    evidence = F.to_json(F.struct(*table.columns))
-    rows = table.select(
-        F.explode(F.array(F.lit("ALL"), F.col("city_name"))).alias("city"), F.col(order).alias("_v"), evidence.alias("evidence")
-    )
+    cities = F.explode(F.array(F.lit("ALL"), F.col("city_name"))).alias("city")
+    rows = table.select(cities, F.col(order).alias("_v"), F.struct(*table.columns).alias("_row"))
+    best = rows.withColumn("_rank", F.rank().over(Window.partitionBy("city").orderBy(F.desc("_v"))))
+    # JSON is built for the best rows and their ties only.
+    best = best.where(F.col("_rank") <= n).withColumn("evidence", F.to_json("_row"))
     place = F.row_number().over(Window.partitionBy("city").orderBy(F.desc("_v"), "evidence"))
     return (
-        rows.withColumn("place", place)
+        best.withColumn("place", place)
         .where(F.col("place") <= n)
         .select(F.lit(intent).alias("intent"), "city", "place", "evidence")
     )
@@ -165,13 +240,18 @@ def retrieve(messages: DataFrame, figures: dict[str, tuple[DataFrame, str, int]]
 
     ``figures`` maps an intent to (table with city_name, ranking column, rows
     wanted).  The best rows are prepared once per city; messages only join.
-    ``messages`` has ``intent`` and ``city`` (null means all cities).
+    ``messages`` has ``intent`` and ``city`` (null means all cities).  There are at
+    most intents x cities x n prepared rows; while they number at most
+    ``BROADCAST_ROWS`` they travel to the messages, which are then not shuffled.
     """
     parts = [top_evidence(table, intent, order, n) for intent, (table, order, n) in figures.items()]
     prepared = parts[0]
     for part in parts[1:]:
         prepared = prepared.unionByName(part)
     asked = messages.withColumn("city", F.coalesce("city", F.lit("ALL")))
+    prepared = materialize(prepared)
+    if prepared.count() <= BROADCAST_ROWS:
+        prepared = F.broadcast(prepared)
     return asked.join(prepared, ["intent", "city"])
 
 

@@ -121,3 +121,25 @@ def test_trees_are_drawn_from_all_rows(spark):
     assert all(size[0] == 256 for size in forest.size)
     cuts = Counter(round(float(c[0]), 6) for c in forest.cut)
     assert len(cuts) > 50
+
+
+def test_context_of_a_conversation(spark):
+    from stockloom.operators import messages
+
+    turns = [
+        (1, "user", "How is SKU #123 doing in Delhi?"),
+        (2, "assistant", "Recommended order: 1,250 units of it."),
+        (3, "user", "and in Mumbai for product 4567?"),
+        (4, "assistant", "order quantity: 0 units"),
+        (5, "user", "why?"),
+        (6, "assistant", "quantity 30.5 units"),
+        (7, "user", "ok"),
+    ]
+    df = spark.createDataFrame([(9, *t) for t in turns], "conv_id long, turn long, role string, text string")
+    rows = {r["turn"]: r for r in messages.fill_from_context(messages.conversation_context(df)).collect()}
+    assert rows[1]["current_product_id"] is None and rows[1]["product_ids"] == [123] and rows[1]["cities"] == ["Delhi"]
+    assert (rows[3]["current_product_id"], rows[3]["current_city"], rows[3]["current_order_qty"]) == (123, "Delhi", 1250.0)
+    # Both product and city stand in turn 3, so older quantities do not count.
+    assert (rows[5]["current_product_id"], rows[5]["current_city"], rows[5]["current_order_qty"]) == (4567, "Mumbai", None)
+    assert rows[5]["product_ids"] == [4567] and rows[5]["cities"] == ["Mumbai"]
+    assert rows[7]["current_order_qty"] == 30.5
