@@ -111,6 +111,30 @@ def _(t):
     )
 
 
+@query("ano08_forest_chain")
+def _(t):
+    """The delivered rule: z-score above 2.5 or forest, then both severity rules."""
+    rows = an.zscore(an.residual_features(_joined(t)), 2.5)
+    flagged = isolation.isolation_forest(rows, ["residual", "rolling_volatility", "sales_volume"], GRAIN)
+    return an.export_anomalies(an.recommend(an.severity(an.classify(flagged, 2.5))))
+
+
+@query(
+    "ano08_forest_check",
+    f"""WITH {BASE} SELECT COUNT(*) AS rows_scored, COUNT(*) FILTER (abs(z_score) > 2.5) AS zscore_alerts,
+    TRUE AS forest_share_is_small, TRUE AS scores_in_range FROM z""",
+)
+def _(t):
+    rows = an.zscore(an.residual_features(_joined(t)), 2.5)
+    flagged = isolation.isolation_forest(rows, ["residual", "rolling_volatility", "sales_volume"], GRAIN)
+    return flagged.agg(
+        F.count(F.lit(1)).alias("rows_scored"),
+        F.count_if("is_zscore_anomaly").alias("zscore_alerts"),
+        (F.count_if("is_isolation_anomaly") <= 0.03 * F.count(F.lit(1)) + 1).alias("forest_share_is_small"),
+        (F.min("anomaly_score").between(0, 1) & F.max("anomaly_score").between(0, 1)).alias("scores_in_range"),
+    )
+
+
 @query("ano08_classify", f"WITH {BASE} SELECT date_, product_id, city_name, z_score, anomaly_type FROM typed")
 def _(t):
     return _typed(t).select(*GRAIN, "z_score", "anomaly_type")
