@@ -173,3 +173,28 @@ def op6_main_text(spark: SparkSession, directory: str) -> DataFrame:
     from stockloom.llm.html import extract_pages
 
     return extract_pages(table(ready(spark), directory, "pages"))
+
+
+SQL["op3_embedding_near_duplicates"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+    SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm, len(e) AS n FROM v
+    WHERE len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: isfinite(x))) = len(e)
+      AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n = b.n
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), lowest AS (
+    SELECT a, min(b) AS low FROM reach GROUP BY a
+), counted AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counted c ON c.a = vec_id LEFT JOIN lowest l ON l.a = vec_id
+"""

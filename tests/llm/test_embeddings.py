@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -77,3 +78,18 @@ def test_plan_reaches_the_recall():
         signs, tables = E.table_plan(n, 0.9, 0.998, 128)
         agree = 1 - np.arccos(0.9) / np.pi
         assert 1 - (1 - agree**signs) ** tables >= 0.998
+
+
+def test_sql(llm, tmp_path):
+    from stockloom.catalog.registry import Query
+    from stockloom.llm.queries import QUERIES, SQL
+    from tools.check import compare
+
+    df = llm.createDataFrame([r[:3] for r in clusters(5)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    name = "op3_embedding_near_duplicates"
+    query = Query(name, lambda t: QUERIES[name](t.spark, t.directory), SQL[name])
+    status, detail, _ = compare(query, llm, con, str(tmp_path))
+    assert status == "ok", detail
