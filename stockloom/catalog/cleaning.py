@@ -100,15 +100,14 @@ def _(t):
 _VARIED = SALES + """, varied AS (SELECT * REPLACE (CASE WHEN product_id % 37 = 0 OR (product_id % 5 = 0 AND city_name = 'ASIA') THEN NULL
   ELSE total_weighted_landing_price + order_id % 7 END AS total_weighted_landing_price) FROM sales)"""
 _LOOKUP = _VARIED + """,
-pcm AS (SELECT product_id, city_name, MEDIAN(total_weighted_landing_price) AS median_lp_prod_city, COUNT(*) AS valid_samples_prod_city
-  FROM varied WHERE total_weighted_landing_price IS NOT NULL GROUP BY 1, 2),
-pm AS (SELECT product_id, MEDIAN(total_weighted_landing_price) AS median_lp_prod, COUNT(*) AS valid_samples_prod
-  FROM varied WHERE total_weighted_landing_price IS NOT NULL GROUP BY 1),
-gaps AS (SELECT product_id, city_name, COUNT(*) AS missing_count FROM varied WHERE total_weighted_landing_price IS NULL GROUP BY 1, 2),
-lookup AS (SELECT g.product_id, g.city_name, missing_count, median_lp_prod_city, valid_samples_prod_city, median_lp_prod, valid_samples_prod,
-  CASE WHEN median_lp_prod_city IS NOT NULL THEN 'Tier_1_Product_City_Median' WHEN median_lp_prod IS NOT NULL THEN 'Tier_2_Product_Median'
-    ELSE 'UNRESOLVED_NO_HISTORY' END AS recovery_tier, COALESCE(median_lp_prod_city, median_lp_prod) AS recovered_landing_price
-  FROM gaps g LEFT JOIN pcm ON g.product_id = pcm.product_id AND g.city_name = pcm.city_name LEFT JOIN pm ON g.product_id = pm.product_id)"""
+levels AS (SELECT product_id, city_name, GROUPING(city_name) AS level, QUANTILE_CONT(total_weighted_landing_price, 0.5) AS middle,
+  COUNT(total_weighted_landing_price) AS known, COUNT(*) FILTER (total_weighted_landing_price IS NULL) AS blank
+  FROM varied GROUP BY GROUPING SETS ((product_id, city_name), (product_id))),
+lookup AS (SELECT near.product_id, near.city_name, near.blank AS missing_count, near.middle AS median_lp_prod_city,
+  NULLIF(near.known, 0) AS valid_samples_prod_city, wide.middle AS median_lp_prod, NULLIF(wide.known, 0) AS valid_samples_prod,
+  CASE WHEN near.known > 0 THEN 'Tier_1_Product_City_Median' WHEN wide.known > 0 THEN 'Tier_2_Product_Median'
+    ELSE 'UNRESOLVED_NO_HISTORY' END AS recovery_tier, CASE WHEN near.known > 0 THEN near.middle ELSE wide.middle END AS recovered_landing_price
+  FROM levels near JOIN levels wide ON near.level = 0 AND wide.level = 1 AND near.product_id = wide.product_id WHERE near.blank > 0)"""
 
 
 def varied_costs(t):

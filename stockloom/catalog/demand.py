@@ -201,9 +201,10 @@ def _(t):
 
 
 _PARETO = f"""totals AS (SELECT product_id, ROUND(SUM({REV}), 4) AS revenue, SUM(procured_quantity) AS quantity FROM sales GROUP BY 1),
-pareto AS (SELECT product_id, revenue, quantity, SUM(revenue) OVER (ORDER BY revenue DESC) / (SELECT SUM(revenue) FROM totals) AS cum_revenue_share,
-  SUM(quantity) OVER (ORDER BY quantity DESC) / (SELECT SUM(quantity) FROM totals) AS cum_quantity_share,
-  ROW_NUMBER() OVER (ORDER BY revenue DESC, product_id) AS product_rank, COUNT(*) OVER () AS product_count FROM totals)"""
+pareto AS (SELECT t.product_id, t.revenue, t.quantity, SUM(o.revenue) FILTER (o.revenue >= t.revenue) / SUM(o.revenue) AS cum_revenue_share,
+  SUM(o.quantity) FILTER (o.quantity >= t.quantity) / SUM(o.quantity) AS cum_quantity_share,
+  COUNT(*) FILTER (o.revenue > t.revenue OR (o.revenue = t.revenue AND o.product_id <= t.product_id)) AS product_rank, COUNT(*) AS product_count
+  FROM totals t CROSS JOIN totals o GROUP BY 1, 2, 3)"""
 
 
 @query(
