@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from stockloom.llm.boosting import BoostedTrees
 from stockloom.llm.common import text_or_empty
 
-TRAIN_PAGES = 120
+TRAIN_PAGES = 240
 TRAIN_PAGE_BYTES = 1 << 16
 VARIANTS = 6
 ENTER_COST = 1.0
