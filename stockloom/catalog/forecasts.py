@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from stockloom.catalog.features import FRAME, GRID, panel_features
@@ -207,8 +209,7 @@ def _(t):
     features = panel_features(t)
     earlier, validation = f.split_by_date(features, t.days.cut)
     train, tune = f.split_by_date(earlier, t.days.tune)
-    settings = [{"maxIter": n, "maxDepth": depth} for n in (5, 10) for depth in (2, 3)]
-    best, _, _ = boosted.tune_gbt(train, tune, f.FEATURES, settings)
+    best, _, _ = boosted.tune_gbt(train, tune, f.FEATURES, boosted.search_settings())
     return _out(best.predict(validation, "pred_lgb"), "pred_lgb")
 
 
@@ -216,22 +217,28 @@ def _(t):
 def _(t):
     earlier, validation = _train_validation(t)
     train, held_out = f.split_by_date(earlier, t.days.tune)
-    model = boosted.gbt_early_stop(train, held_out, f.FEATURES, maxIter=40, stepSize=0.1)
+    model = boosted.gbt_early_stop(train, held_out, f.FEATURES)
     return _out(model.predict(validation, "pred_xgb"), "pred_xgb")
 
 
 @query("fct15_stacking")
 def _(t):
     earlier, validation = _train_validation(t)
-    # Weights are fitted on a period before the one they are applied to.
+    # Weights are fitted on a period before the one they are applied to, trees are
+    # tuned and stopped on the 30 days before that one.
     train, tune = f.split_by_date(earlier, t.days.tune)
+    before = date.fromisoformat(t.days.tune) - timedelta(days=30)
+    fitted, held_out = f.split_by_date(train, str(before))
     ridge = lm.ridge(train, f.FEATURES)
+    tuned, _, _ = boosted.tune_gbt(fitted, held_out, f.FEATURES, boosted.search_settings())
+    stopped = boosted.gbt_early_stop(fitted, held_out, f.FEATURES)
 
     def base(df):
-        df = fc.moving_average(fc.seasonal_naive(fc.naive(df)), [7, 28])
+        df = fc.seasonal_proxy(fc.moving_average(fc.seasonal_naive(fc.naive(df)), [7, 28]))
+        df = stopped.predict(tuned.predict(df, "pred_lgb"), "pred_xgb")
         return lm.predict_ridge(df, ridge)
 
-    preds = ["pred_naive_lag1", "pred_seasonal_naive_lag7", "pred_ma_28", "pred_ridge"]
+    preds = ["pred_naive_lag1", "pred_seasonal_naive_lag7", "pred_ma_28", "pred_prophet", "pred_ridge", "pred_lgb", "pred_xgb"]
     model, _ = lm.stack(base(tune), preds)
     return _out(lm.predict_stack(base(validation), model), "pred_ensemble")
 
@@ -276,6 +283,18 @@ def _(t):
     return rows.select("date_", "product_id", "city_name", "demand_category", "pred_hybrid")
 
 
+# The same route with a fitted model for frequent demand; the one above has the mean.
+@query("fct16_fitted_route")
+def _(t):
+    events, keys, lags = t.event_panel, ["product_id", "city_name"], ["lag_1", "lag_7"]
+    lagged = f.add_lags(f.calendar_grid(events, EVENT_START, EVENT_END), [1, 7]).fillna(0.0, lags)
+    train, validation = f.split_by_date(lagged, EVENT_CUT)
+    rows = lm.predict_ridge(validation, lm.ridge(train, lags))
+    per_series = fc.croston(events, EVENT_START, EVENT_CUT).join(_sbc(t).select(*keys, "demand_category"), keys)
+    routed = fc.route(rows.join(per_series, keys)).withColumn("pred_hybrid", F.round("pred_hybrid", 6))
+    return routed.select("date_", "product_id", "city_name", "demand_category", "pred_hybrid")
+
+
 @query(
     "fct17_clip",
     f"""WITH {RESULTS} SELECT {_ID}, ROUND(greatest(pred_naive_lag1 - pred_ma_7, 0.0), 6) AS pred_clipped FROM results""",

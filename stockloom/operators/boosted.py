@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions.scalars import clip0
@@ -43,6 +44,30 @@ def _wape(df: DataFrame, pred: str, target: str) -> float:
     return row["e"] / row["y"] * 100 if row["y"] else 0.0
 
 
+def search_settings(trials: int = 20, seed: int = 42) -> list[dict]:
+    """Random settings of six parameters, the same for the same seed.
+
+    MLlib grows trees by level and cannot limit their leaves; the smallest leaf
+    takes that place.
+    """
+    rng = np.random.default_rng(seed)
+
+    def log_uniform(low: float, high: float) -> float:
+        return float(np.exp(rng.uniform(np.log(low), np.log(high))))
+
+    return [
+        {
+            "stepSize": log_uniform(0.01, 0.2),
+            "maxDepth": int(rng.integers(3, 11)),
+            "minInstancesPerNode": round(log_uniform(10, 200)),
+            "subsamplingRate": float(rng.uniform(0.6, 1.0)),
+            "featureSubsetStrategy": f"{rng.uniform(0.6, 1.0):.3f}",
+            "maxIter": int(rng.integers(80, 301)),
+        }
+        for _ in range(trials)
+    ]
+
+
 def tune_gbt(
     train: DataFrame, tune: DataFrame, inputs: list[str], grid: list[dict], target: str = "daily_quantity"
 ) -> tuple[BoostedModel, dict, list[tuple[dict, float]]]:
@@ -53,7 +78,7 @@ def tune_gbt(
     if not grid:
         raise ValueError("an empty grid has no best setting")
     results, best = [], None
-    vectors = _vectors(train, inputs).persist()
+    vectors, tune = _vectors(train, inputs).persist(), tune.persist()
     try:
         for params in grid:
             model = BoostedModel(list(inputs), _regressor(target, **params).fit(vectors))
@@ -63,14 +88,42 @@ def tune_gbt(
                 best = (model, params, score)
     finally:
         vectors.unpersist()
+        tune.unpersist()
     return best[0], best[1], results
 
 
+def stop_round(errors: list[float], patience: int) -> int:
+    """Rounds up to the lowest error before ``patience`` rounds in a row bring no lower one."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def _first_rounds(model: GBTRegressionModel, rounds: int, spark: SparkSession) -> GBTRegressionModel:
+    """``model`` without the trees after the given round."""
+    context, java = spark.sparkContext, model._java_obj
+    kind = context._jvm.org.apache.spark.ml.regression
+    trees = context._gateway.new_array(kind.DecisionTreeRegressionModel, rounds)
+    weights = context._gateway.new_array(context._jvm.double, rounds)
+    for k, (tree, weight) in enumerate(zip(list(java.trees())[:rounds], list(java.treeWeights())[:rounds])):
+        trees[k], weights[k] = tree, weight
+    short = GBTRegressionModel(kind.GBTRegressionModel(java.uid(), trees, weights))
+    return short.setFeaturesCol("_features").setPredictionCol("_prediction")
+
+
 def gbt_early_stop(
-    train: DataFrame, held_out: DataFrame, inputs: list[str], target: str = "daily_quantity", **params
+    train: DataFrame, held_out: DataFrame, inputs: list[str], target: str = "daily_quantity", patience: int = 20, **params
 ) -> BoostedModel:
-    """Boosting that stops when the held-out period no longer improves."""
-    settings = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 5, "validationTol": 0.001} | params
-    both = train.withColumn("_held_out", F.lit(False)).unionByName(held_out.withColumn("_held_out", F.lit(True)))
-    regressor = _regressor(target, **settings).setValidationIndicatorCol("_held_out")
-    return BoostedModel(list(inputs), regressor.fit(_vectors(both, inputs)))
+    """Boosting up to the round after which the held-out period no longer improves.
+
+    All rounds are fitted once on ``train``; the squared error of every round on
+    ``held_out`` tells which are kept.
+    """
+    settings = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"} | params
+    model = _regressor(target, **settings).fit(_vectors(train, inputs))
+    errors = model.evaluateEachIteration(_vectors(held_out, inputs), "squared")
+    return BoostedModel(list(inputs), _first_rounds(model, stop_round(errors, patience), train.sparkSession))
