@@ -202,8 +202,11 @@ def write_archives(
     """
     run = uuid.uuid4()
     needed = (F.col("first") == F.col("record")) | (F.col("chunk_no") == 0)
+    # Adaptive execution neither splits nor reads by mapper a shuffle that was asked for,
+    # so the rows of a record meet in one task whatever becomes of the join.
     dealt = (
-        chunks.join(decisions, F.col("record") == F.col("of_record"))
+        chunks.repartition("record")
+        .join(decisions, F.col("record") == F.col("of_record"))
         .where(needed)
         .select(
             "record", "page_id", "url", "chunk_no", "first", "first_page", "payload_bytes", "payload_digest",

@@ -2,11 +2,13 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import warc as W
-from stockloom.session import materialize
+from stockloom.session import materialize, scratch_path
 
 SCHEMA = "page_id long, url string, html string, record string, chunk string, first string"
 ROWS = [
@@ -85,3 +87,32 @@ def test_empty_table(llm):
     files = W.archive_pages(llm.createDataFrame([], SCHEMA))
     assert files.count() == 0
     assert W.archived_records(files, llm.createDataFrame([], SCHEMA).schema["page_id"].dataType).count() == 0
+
+
+def test_records_across_row_groups_stay_whole(llm, tmp_path):
+    """A record of a stored table whose splits fall inside it, joined by broadcast."""
+    rng = random.Random(5)
+    texts = ["".join(chr(rng.randrange(33, 1000)) for _ in range(30_000)) for _ in range(6)]
+    pages = llm.createDataFrame([(k, f"http://{k}", text, "r", "c", "f") for k, text in enumerate(texts)], SCHEMA)
+    path = str(tmp_path / "chunks")
+    W.chunk_table(pages.coalesce(1), 1000).write.option("parquet.block.size", 20_000).option(
+        "parquet.page.size.row.check.min", 5
+    ).option("parquet.block.size.row.check.min", 5).parquet(path)
+    split = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    # The decisions are small enough for a broadcast, the chunks are not.
+    split["spark.sql.autoBroadcastJoinThreshold"] = "20000"
+    split["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    before = {key: llm.conf.get(key) for key in split}
+    for key, value in split.items():
+        llm.conf.set(key, value)
+    try:
+        chunks = llm.read.parquet(path)
+        spread = chunks.select("record", F.spark_partition_id().alias("task")).distinct()
+        assert spread.count() > len(texts)
+        kind = pages.schema["page_id"].dataType
+        files = materialize(W.write_archives(chunks, W.decide(chunks, kind), scratch_path(llm, "warc")))
+        found = W.archived_records(files, kind).collect()
+    finally:
+        for key, value in before.items():
+            llm.conf.set(key, value)
+    assert sorted((r.page_id, r.payload_digest) for r in found) == [(k, digest(text)) for k, text in enumerate(texts)]
