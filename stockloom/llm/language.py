@@ -22,6 +22,9 @@ from stockloom.llm.common import fresh, strings, text_or_empty
 
 DIMENSIONS = 1024
 PER_LANGUAGE = 5000
+CALIBRATE = 500
+# Pieces of up to 2^12 trigrams show what longer texts reach.
+LENGTHS = 13
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _SPACE = 32
@@ -34,8 +37,8 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigram keys of the whole text and their counts.
+def trigram_keys(text: str) -> np.ndarray:
+    """Trigram keys of the whole text in their order.
 
     Letters are lower-cased; every run of other signs is one space, also before
     the first and behind the last letter.  No letters, no trigrams.
@@ -47,8 +50,13 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
     codes = codes[keep]
     if len(codes) < 3:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.unique(codes[:-2] << 2 * _SHIFT | codes[1:-1] << _SHIFT | codes[2:], return_counts=True)
+        return np.zeros(0, dtype=np.int64)
+    return codes[:-2] << 2 * _SHIFT | codes[1:-1] << _SHIFT | codes[2:]
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigram keys of the whole text and their counts."""
+    return np.unique(trigram_keys(text), return_counts=True)
 
 
 class Profiles:
@@ -75,7 +83,11 @@ class Profiles:
 
     def bundle(self, text: str) -> np.ndarray | None:
         """Sum of the trigram vectors of ``text``; None without a letter."""
-        keys, counts = trigrams(text)
+        return self.bundle_keys(trigram_keys(text))
+
+    def bundle_keys(self, ordered: np.ndarray) -> np.ndarray | None:
+        """Sum of the vectors of these trigrams; None without any."""
+        keys, counts = np.unique(ordered, return_counts=True)
         if not len(keys):
             return None
         total = np.zeros(self.dimensions, dtype=np.float64)
@@ -107,15 +119,28 @@ def prototypes(
     vector per language, summed in Spark, so the driver gets languages x dimensions
     numbers.
     """
+    return {lang: v / np.linalg.norm(v) for lang, v in _sums(labelled, dimensions, per_language).items()}
+
+
+def _sample(labelled: DataFrame, per_language: int) -> tuple[list[str], DataFrame | None]:
+    """The values of ``lang`` and the rows (lang, text) chosen from each."""
     counts = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     shares = {row["lang"]: min(1.0, per_language / row["n"]) for row in counts.limit(MAX_LANGUAGES + 1).collect()}
     if len(shares) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     if not shares:
-        return {}
+        return [], None
     share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col("lang").isNotNull() & (place < share)).select("lang", text_or_empty("text").alias("text"))
+    chosen = labelled.where(F.col("lang").isNotNull() & (place < share))
+    return sorted(shares), chosen.select("lang", text_or_empty("text").alias("text"))
+
+
+def _sums(labelled: DataFrame, dimensions: int, per_language: int) -> dict[str, np.ndarray]:
+    """Sum of the unit vectors of the chosen texts of each language."""
+    languages, sample = _sample(labelled, per_language)
+    if not languages:
+        return {}
     schema = T.StructType(
         [T.StructField("lang", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))]
     )
@@ -139,10 +164,49 @@ def prototypes(
         .groupBy("lang", "at")
         .agg(F.sum("value").alias("value"))
     )
-    out = {lang: np.zeros(dimensions) for lang in shares}
+    out = {lang: np.zeros(dimensions) for lang in languages}
     for row in summed.toLocalIterator():
         out[row["lang"]][row["at"]] = row["value"]
-    return {lang: v / np.linalg.norm(v) for lang, v in sorted(out.items()) if v.any()}
+    return {lang: v for lang, v in out.items() if v.any()}
+
+
+def expected_scores(
+    labelled: DataFrame, sums: dict[str, np.ndarray], dimensions: int = DIMENSIONS, per_language: int = CALIBRATE
+) -> list[float]:
+    """Median cosine of labelled pieces of 1, 2, 4, ... trigrams with their own language.
+
+    The pieces are cut from the middle of about ``per_language`` texts of each
+    language; the text itself is taken out of the prototype before.  The list ends
+    with the first length of which there is no piece.
+    """
+    _, sample = _sample(labelled, per_language)
+    if sample is None:
+        return []
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles(dimensions)
+        for batch in batches:
+            sizes, scores = [], []
+            for lang, text in zip(strings(batch, "lang"), strings(batch, "text")):
+                keys = trigram_keys(text)
+                whole = profiles.bundle_keys(keys)
+                if whole is None or not whole.any() or lang not in sums:
+                    continue
+                others = sums[lang] - whole / np.linalg.norm(whole)
+                # What rounding leaves of the only text of a language is no prototype.
+                if np.linalg.norm(others) < 1e-6:
+                    continue
+                for size in range(min(len(keys).bit_length(), LENGTHS)):
+                    start = (len(keys) - (1 << size)) // 2
+                    piece = profiles.bundle_keys(keys[start : start + (1 << size)])
+                    norm = np.linalg.norm(piece) * np.linalg.norm(others)
+                    sizes.append(size)
+                    scores.append(float(piece @ others / norm) if norm else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], names=["size", "score"])
+
+    rows = sample.mapInArrow(cosines, "size long, score double").groupBy("size").agg(F.percentile_approx("score", 0.5).alias("score"))
+    found = {row["size"]: row["score"] for row in rows.collect()}
+    return [found[size] for size in range(len(found))]
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -157,13 +221,15 @@ def predict_language(
     text_column: str = "text",
     keep_text: bool = False,
     names: tuple[str, str] = ("lang_pred", "score"),
+    size_name: str | None = None,
 ) -> DataFrame:
     """``docs`` with the predicted language and its score, by default in place of the text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
     text when nothing was learned.  Ties go to the first language by name.  The
     score is the cosine, cut at 0.  Repeated rows get equal answers; other columns are
-    carried along untouched; an empty table gives no rows.
+    carried along untouched; an empty table gives no rows.  ``size_name`` adds the
+    number of trigrams.
     """
     languages = sorted(models)
     dimensions = len(next(iter(models.values()))) if models else DIMENSIONS
@@ -172,14 +238,17 @@ def predict_language(
     schema = T.StructType(
         [docs.schema[c] for c in others]
         + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+        + ([T.StructField(size_name, T.LongType())] if size_name else [])
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions)
         for batch in batches:
-            found, scores = [], []
+            found, scores, sizes = [], [], []
             for text in batch.column(len(others)).to_pylist():
-                vector = profiles.bundle(text) if languages and text else None
+                keys = trigram_keys(text or "")
+                sizes.append(len(keys))
+                vector = profiles.bundle_keys(keys) if languages else None
                 norm = 0.0 if vector is None else float(np.linalg.norm(vector))
                 if not norm:
                     found.append(UNDETERMINED)
@@ -190,8 +259,9 @@ def predict_language(
                 found.append(languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(others)], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                names=[*others, *names],
+                [*batch.columns[: len(others)], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+                + ([pa.array(sizes, pa.int64())] if size_name else []),
+                names=schema.names,
             )
 
     text = docs[text_column].alias(fresh(docs, "_text"))
@@ -205,29 +275,32 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int =
     return predict_language(rows.select("doc_id", "held_out", "text"), models)
 
 
-# A text this long resembles its language clearly; below it chance decides.
-SURE_LETTERS = 200
-LEAST_SCORE = 0.4
+# Share of the expected score that a text must reach, and what chance alone reaches
+# in units of the deviation of a cosine of random vectors.
+LEAST_SHARE = 0.5
+CHANCE = 3.0
 
 
 def keep_identified(
-    docs: DataFrame,
-    least_score: float = LEAST_SCORE,
-    sure_letters: int = SURE_LETTERS,
-    dimensions: int = DIMENSIONS,
-    per_language: int = PER_LANGUAGE,
+    docs: DataFrame, least_share: float = LEAST_SHARE, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE
 ) -> DataFrame:
     """The rows of ``docs`` that are in one of the languages learned from its labels.
 
-    Rejected are texts that are null or have no letter, and those of at least
-    ``sure_letters`` letters whose score is below ``least_score``.  When no row has a
-    label nothing can be learned, and only the texts without a letter are rejected.
+    Rejected are texts that are null or have no letter, and those whose score is below
+    ``least_share`` of what labelled pieces of as many trigrams reach in the median
+    (taken at the power of two below), or what chance reaches when no label tells.
+    When no row has a label nothing can be learned, and only the texts without a
+    letter are rejected.
     """
-    models = prototypes(docs.select("doc_id", "text", "lang"), dimensions, per_language)
-    letters = F.length(F.regexp_replace(text_or_empty("text"), r"\P{L}+", ""))
-    if not models:
+    labelled = docs.select("doc_id", "text", "lang")
+    sums = _sums(labelled, dimensions, per_language)
+    if not sums:
+        letters = F.length(F.regexp_replace(text_or_empty("text"), r"\P{L}+", ""))
         return docs.where(letters > 0)
-    names = fresh(docs, "_lang_pred"), fresh(docs, "_score")
-    judged = predict_language(docs, models, keep_text=True, names=names)
-    unlike = (letters >= sure_letters) & (F.col(names[1]) < least_score)
-    return judged.where((F.col(names[0]) != UNDETERMINED) & ~unlike).drop(*names)
+    models = {lang: v / np.linalg.norm(v) for lang, v in sums.items()}
+    cuts = [least_share * score for score in expected_scores(labelled, sums, dimensions)] or [CHANCE / dimensions**0.5]
+    names, size = (fresh(docs, "_lang_pred"), fresh(docs, "_score")), fresh(docs, "_trigrams")
+    judged = predict_language(docs, models, keep_text=True, names=names, size_name=size)
+    place = F.least(F.floor(F.log2(size)), F.lit(len(cuts) - 1)).cast("int")
+    cut = F.get(F.array(*[F.lit(float(c)) for c in cuts]), place)
+    return judged.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= cut)).drop(*names, size)

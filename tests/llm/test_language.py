@@ -67,3 +67,14 @@ def test_clean_documents_stay_and_monotony_goes(llm, documents):
     kept = {r.doc_id for r in L.keep_identified(base.unionByName(junk)).select("doc_id").collect()}
     assert not kept & {-1, -2}
     assert len(kept) > 0.97 * base.count()
+
+
+def test_short_texts_are_judged_too(llm, documents):
+    base = documents.select("doc_id", "text", "lang", "source", "n_chars").where("lang is not null")
+    strange = ["これは学習されていない言語で書かれた短い文章です", "Это короткий текст на незнакомом языке", "zqx jvk qqz xkw vvq zzk"]
+    clean = [r.text[200:260] for r in base.where("n_chars > 400").orderBy("doc_id").limit(30).collect()]
+    rows = [(-1 - k, text, None, "s", 1) for k, text in enumerate(strange)]
+    rows += [(-100 - k, text, None, "s", 1) for k, text in enumerate(clean)]
+    kept = {r.doc_id for r in L.keep_identified(base.unionByName(llm.createDataFrame(rows, base.schema))).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3}
+    assert len(kept & {-100 - k for k in range(len(clean))}) >= 28
