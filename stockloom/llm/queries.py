@@ -198,3 +198,63 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, ve
        vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
 FROM embeddings LEFT JOIN counted c ON c.a = vec_id LEFT JOIN lowest l ON l.a = vec_id
 """
+
+
+@query
+def op11_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+    from stockloom.llm.alignment import align_documents
+
+    docs = table(ready(spark), directory, "documents")
+    return align_documents(docs, vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_filter_scores(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.lm import score_documents
+
+    return score_documents(table(ready(spark), directory, "documents"))
+
+
+@query
+def op13_phrases(spark: SparkSession, directory: str) -> DataFrame:
+    from stockloom.llm.phrases import mine_phrases
+
+    return mine_phrases(table(ready(spark), directory, "documents"))
+
+
+SQL["op13_phrases"] = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\\x0A-\\x0D]')), '[^ \\x09]+') AS w
+    FROM documents
+), starts AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+    SELECT lang, unnest(list_transform(range(1, least(3, len(w) - i + 1) + 1), lambda k: w[i:i + k - 1])) AS g FROM starts
+), f AS (
+    SELECT lang, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, g
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidates
+), scored AS (
+    SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, 1000000 * c.a * c.a // (x.f * y.f) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a AS longer FROM candidates WHERE len(g) = 3
+), most AS (
+    SELECT lang, g, max(longer) AS longer FROM inside GROUP BY lang, g
+), ranked AS (
+    SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.g = b.g
+    WHERE longer IS NULL OR 100 * longer < 50 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
