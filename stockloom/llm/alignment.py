@@ -1,10 +1,7 @@
 """Token alignment between two vocabularies, once per distinct text.
 
 Equal texts are counted first, by their whole text, so each is tokenised and
-aligned once and its pair counts are weighted by its number of copies.  Both
-tokenisers start a new token where a space follows a non-space, so a text is a
-sequence of units ("a space and what follows") that align on their own; the
-alignment of short units is kept in a bounded cache.
+aligned once and its pair counts are weighted by its number of copies.
 
 Corpus-wide pair counts come back to the texts in two ways that together are
 exact: pairs at or above a count that at most ``broadcast_pairs`` pairs reach are
@@ -15,9 +12,8 @@ shuffled join, in which no key is frequent.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,108 +23,94 @@ from pyspark.sql import types as T
 
 from stockloom.llm.common import as_batch, strings, text_or_empty
 from stockloom.llm.tokens import encoder
-from stockloom.session import materialize
+from stockloom.session import materialize, scratch_path
 
 BROADCAST_PAIRS = 1 << 19
-CACHED_UNITS = 200_000
 # A pair (a, b) of token ids as one number.
 _SHIFT = 1 << 20
-# Between a non-space and a space; ``\S`` leaves out every sign either tokeniser treats as a space.
-_UNIT = re.compile(r"(?<=\S)(?= )")
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 _HELD: dict[tuple[str, str], Aligner] = {}
 
 
-class Unit:
-    """Alignment of one unit: token numbers, groups as text, and its linked pairs."""
+@dataclass(frozen=True)
+class Alignment:
+    """Token ids of both vocabularies, the last token of each group, and linked pairs as numbers."""
 
-    __slots__ = ("counts", "groups", "pairs")
+    a: np.ndarray
+    b: np.ndarray
+    a_last: np.ndarray
+    b_last: np.ndarray
+    links: np.ndarray
 
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]):
-        groups, pairs, i, j, i0, j0 = [], [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            pairs.append(a[i] * _SHIFT + b[j])
-            if a_ends[i] == b_ends[j]:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-            elif a_ends[i] < b_ends[j]:
-                i += 1
-            else:
-                j += 1
-        self.counts = (len(a), len(b), len(groups), len(pairs))
-        self.groups, self.pairs = ";".join(groups), pairs
+    def counts(self) -> tuple[int, int, int, int]:
+        return len(self.a), len(self.b), int(self.a_last.sum()), len(self.links)
 
 
-class Aligner:
-    """Aligns the tokens of a byte-level vocabulary (A) with those of a piece model (B).
+def overlapping(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of A and of B whose byte ranges overlap, in order."""
+    a_starts, b_starts = np.append(0, a_ends[:-1]), np.append(0, b_ends[:-1])
+    first = np.searchsorted(b_ends, a_starts, side="right")
+    times = np.searchsorted(b_starts, a_ends, side="left") - first
+    i = np.repeat(np.arange(len(a_ends)), times)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(times) - times - first, times)
 
-    ``limit`` bounds the units kept in memory and changes no result.
-    """
 
-    def __init__(self, byte_vocabulary: str, piece_model: str, limit: int = CACHED_UNITS):
+class Aligner:
+    """Aligns the tokens of a byte-level vocabulary (A) with those of a piece model (B)."""
+
+    def __init__(self, byte_vocabulary: str, piece_model: str):
         import sentencepiece
 
-        self.a = encoder(byte_vocabulary)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        self.b_bytes = [self._piece(k) for k in range(len(self.b))]
-        self.space = self.b.piece_to_id("▁")
-        # Merges stay inside a unit only if no piece has a space behind another sign.
-        self.by_unit = not any(re.search("[^▁]▁", self.b.id_to_piece(k)) for k in range(len(self.b)))
-        self.limit = limit
-        self.units: dict[str, Unit | None] = {}
+        tool = encoder(byte_vocabulary)
+        self.encode = tool.fast._core_bpe.encode_ordinary  # no string is special to it
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.b_bytes = [self._piece(k) for k in range(len(self.pieces))]
+        self.a_size = np.zeros(tool.size, dtype=np.int64)
+        for number, token in tool.token_bytes.items():
+            self.a_size[number] = len(token)
+        self.b_size = np.array([len(token) for token in self.b_bytes], dtype=np.int64)
+        # Ids as text by what follows: inside or at the end of A's and B's part of a group.
+        a, b = range(tool.size), range(len(self.b_bytes))
+        self.shown = [f"{k}," for k in a] + [f"{k}|" for k in a] + [f"{k}," for k in b] + [f"{k};" for k in b]
 
     def _piece(self, number: int) -> bytes:
-        piece = self.b.id_to_piece(number)
-        if self.b.is_byte(number):
+        piece = self.pieces.id_to_piece(number)
+        if self.pieces.is_byte(number):
             return bytes([int(piece[3:5], 16)])
-        if self.b.is_control(number):
+        if self.pieces.is_control(number):
             return b""
         return piece.replace("▁", " ").encode()
 
-    def align(self, spaced: str) -> Unit | None:
-        """Alignment of a text that begins with the space B adds; None where bytes differ."""
-        a = self.a.fast._core_bpe.encode_ordinary(spaced)
-        b = [self.space] if spaced == " " else self.b.encode(spaced[1:])
-        raw = spaced.encode()
-        a_bytes, b_bytes = [self.a.token_bytes[t] for t in a], [self.b_bytes[t] for t in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        return Unit(a, b, np.cumsum([len(t) for t in a_bytes]).tolist(), np.cumsum([len(t) for t in b_bytes]).tolist())
-
-    def _unit(self, spaced: str) -> Unit | None:
-        found = self.align(spaced)
-        if len(spaced) <= 48:
-            if len(self.units) >= self.limit:
-                self.units.clear()
-            self.units[spaced] = found
-        return found
+    def align(self, texts: list[str]) -> Iterator[Alignment | None]:
+        """The alignment of every text; None for texts that are empty or not spelled by their tokens."""
+        for text, pieces in zip(texts, self.pieces.encode(texts, num_threads=1)):
+            yield self._align(text, pieces) if text else None
 
-    def whole(self, text: str) -> tuple[tuple[int, int, int, int], str, list[int], list[int]]:
-        """Token numbers, groups as text, distinct pairs and how often each is linked."""
-        parts = self._parts(text) if text else None
-        if not parts:
-            return (0, 0, 0, 0), "", [], []
-        pairs: Counter[int] = Counter()
-        for unit, times in Counter(parts).items():
-            for pair in unit.pairs:
-                pairs[pair] += times
-        counts = tuple(map(sum, zip(*[unit.counts for unit in parts])))
-        return counts, ";".join([unit.groups for unit in parts]), list(pairs), list(pairs.values())
-
-    def _parts(self, text: str) -> list[Unit] | None:
-        if self.by_unit:
-            units, parts = self.units, []
-            for spaced in _UNIT.split(f" {text}"):
-                unit = units[spaced] if spaced in units else self._unit(spaced)
-                if unit is None:  # judged as a whole below
-                    break
-                parts.append(unit)
-            else:
-                return parts
-        found = self.align(f" {text}")
-        return None if found is None else [found]
+    def _align(self, text: str, pieces: list[int]) -> Alignment | None:
+        raw = f" {text}".encode()
+        if b"".join([self.b_bytes[k] for k in pieces]) != raw:
+            return None
+        a, b = np.array(self.encode(f" {text}"), dtype=np.int64), np.array(pieces, dtype=np.int64)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        if a_ends[-1] != len(raw):
+            return None
+        a_last = b_ends[np.searchsorted(b_ends, a_ends)] == a_ends
+        b_last = a_ends[np.searchsorted(a_ends, b_ends)] == b_ends
+        i, j = overlapping(a_ends, b_ends)
+        return Alignment(a, b, a_last, b_last, a[i] * _SHIFT + b[j])
+
+    def groups(self, found: Alignment) -> str:
+        """The groups as ``a1,a2|b1;a3|b2,b3``."""
+        n, m = len(self.a_size), len(self.b_size)
+        a_group, b_group = np.cumsum(found.a_last) - found.a_last, np.cumsum(found.b_last) - found.b_last
+        out = np.empty(len(found.a) + len(found.b), dtype=np.int64)
+        # A group's ids of A stand before its ids of B, behind all groups before it.
+        b_first = np.append(0, np.flatnonzero(found.b_last) + 1)
+        a_stop = np.flatnonzero(found.a_last) + 1
+        out[np.arange(len(found.a)) + b_first[a_group]] = found.a + n * found.a_last
+        out[np.arange(len(found.b)) + a_stop[b_group]] = 2 * n + found.b + m * found.b_last
+        return "".join(map(self.shown.__getitem__, out.tolist()))[:-1]
 
 
 def aligner(byte_vocabulary: str, piece_model: str) -> Aligner:
@@ -143,36 +125,41 @@ def _key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def aligned_texts(docs: DataFrame, byte_vocabulary: str, piece_model: str, text_column: str = "text") -> DataFrame:
-    """One row per distinct text: (key, copies, n_a, n_b, n_groups, n_links, groups, pairs, times).
+def aligned_texts(
+    docs: DataFrame, byte_vocabulary: str, piece_model: str, text_column: str = "text", keep_groups: bool = True
+) -> DataFrame:
+    """One row per distinct text: (key, copies, n_a, n_b, n_groups, n_links, groups, groups_sha256, pairs, times).
 
-    ``groups`` is the alignment as text, ``pairs`` are distinct linked id pairs as
-    numbers (see ``pair_ids``), ``times`` how often the text links each.  Null texts
-    are empty; texts without tokens have zeros and an empty alignment.
+    ``groups`` is the alignment as text (null without ``keep_groups``), ``pairs`` are the
+    distinct linked id pairs as numbers (see ``pair_ids``), ``times`` how often the text
+    links each.  Null texts are empty; texts without tokens have zeros and an empty
+    alignment.
     """
     distinct = docs.groupBy(text_or_empty(docs[text_column]).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
     schema = T.StructType(
         [T.StructField("key", T.BinaryType()), T.StructField("copies", T.LongType())]
         + [T.StructField(name, T.LongType()) for name in MEASURES[:4]]
-        + [
-            T.StructField("groups", T.StringType()),
-            T.StructField("pairs", T.ArrayType(T.LongType())),
-            T.StructField("times", T.ArrayType(T.IntegerType())),
-        ]
+        + [T.StructField(name, T.StringType()) for name in ("groups", "groups_sha256")]
+        + [T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
     )
     arrow = pa.schema(
         [("key", pa.binary()), ("copies", pa.int64())]
         + [(name, pa.int64()) for name in MEASURES[:4]]
-        + [("groups", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
+        + [("groups", pa.string()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(byte_vocabulary, piece_model)
         for batch in batches:
             rows = []
-            for key, copies, text in zip(strings(batch, "key"), strings(batch, "copies"), strings(batch, "text")):
-                counts, groups, pairs, times = tool.whole(text)
-                rows.append((key, copies, *counts, groups, pairs, times))
+            for key, copies, found in zip(strings(batch, "key"), strings(batch, "copies"), tool.align(strings(batch, "text"))):
+                if found is None:
+                    rows.append((key, copies, 0, 0, 0, 0, "" if keep_groups else None, "", [], []))
+                    continue
+                groups = tool.groups(found)
+                pairs, times = np.unique(found.links, return_counts=True)
+                digest = hashlib.sha256(groups.encode()).hexdigest()
+                rows.append((key, copies, *found.counts(), groups if keep_groups else None, digest, pairs, times.astype(np.int32)))
             if rows:
                 yield as_batch(rows, arrow)
 
@@ -233,21 +220,25 @@ def align_documents(
     broadcast_pairs: int = BROADCAST_PAIRS,
     id_column: str = "doc_id",
     text_column: str = "text",
+    keep_groups: bool = False,
 ) -> DataFrame:
     """Alignment measures of every row of ``docs``.
 
     Columns: ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``,
-    ``count_sum`` and ``groups_sha256``.  Null and empty texts, and texts whose tokens
-    do not spell them, have zeros and an empty ``groups_sha256``.  Repeated rows count
-    once each and all come back; null ids are carried along; an empty table gives no
-    rows; other columns are not read.  Texts are told apart by SHA-256 when measures
-    are joined back.
+    ``count_sum``, ``groups_sha256`` and, with ``keep_groups``, ``groups``.  Null and
+    empty texts, and texts whose tokens do not spell them, have zeros and an empty
+    ``groups_sha256``.  Repeated rows count once each and all come back; null ids are
+    carried along; an empty table gives no rows; other columns are not read.  Texts are
+    told apart by SHA-256 when measures are joined back.
     """
-    aligned = materialize(aligned_texts(docs, byte_vocabulary, piece_model, text_column))
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "aligned")
+    made = aligned_texts(docs, byte_vocabulary, piece_model, text_column, keep_groups)
+    made.write.option("compression", "zstd").parquet(path)
+    aligned = spark.read.schema(made.schema).parquet(path)
     measured = corpus_measures(aligned, materialize(pair_counts(aligned)), broadcast_pairs)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    texts = aligned.select("key", *MEASURES[:4], digest.alias("groups_sha256")).join(measured, "key", "left")
+    shown = ["groups_sha256", *["groups"] * keep_groups]
+    texts = aligned.select("key", *MEASURES[:4], *shown).join(measured, "key", "left")
     rows = docs.select(docs[id_column].alias("doc_id"), _key(text_or_empty(docs[text_column])).alias("of"))
     return rows.join(texts, F.col("of") == F.col("key"), "left").select(
-        "doc_id", *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in MEASURES], "groups_sha256"
+        "doc_id", *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in MEASURES], *shown
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stockloom.llm import alignment as A
+from stockloom.llm.tokens import encoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,7 +25,7 @@ class Plain:
         self.a = Tokenizer.from_file(BYTES)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-        self.raw = A.aligner(BYTES, PIECES).a.token_bytes
+        self.raw = encoder(BYTES).token_bytes
 
     def piece(self, k):
         return bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
@@ -92,25 +93,27 @@ ODD = [
 ]
 
 
-def test_units_equal_whole_texts(plain):
+def check_one(plain, text):
     tool = A.aligner(BYTES, PIECES)
-    assert tool.by_unit
-    for text in ODD:
-        want, got = plain.links(text), tool.whole(text)
-        if want is None:
-            assert got == ((0, 0, 0, 0), "", [], []), text
-        else:
-            n_a, n_b, groups, pairs = want
-            assert got[0] == (n_a, n_b, len(groups), len(pairs)), text
-            assert got[1] == ";".join(groups), text
-            assert dict(zip(got[2], got[3])) == Counter(a * (1 << 20) + b for a, b in pairs), text
+    want, found = plain.links(text), next(tool.align([text]))
+    if want is None:
+        assert found is None, text
+        return
+    n_a, n_b, groups, pairs = want
+    assert found.counts() == (n_a, n_b, len(groups), len(pairs)), text
+    assert tool.groups(found) == ";".join(groups), text
+    assert found.links.tolist() == [a * (1 << 20) + b for a, b in pairs], text
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_odd_texts(plain, text):
+    check_one(plain, text)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab zZ.,'\n\t é▁日1 ")), max_size=40))
+@given(st.text(alphabet=st.sampled_from(list("ab zZ.,'\n\t é▁日1 ")), max_size=40))
 def test_random_texts(plain, text):
-    want, got = plain.links(text), A.aligner(BYTES, PIECES).whole(text)
-    assert (got[1] or None) == (";".join(want[2]) if want else None)
+    check_one(plain, text)
 
 
 @pytest.mark.parametrize("broadcast", [0, 300, 1 << 19])
@@ -127,6 +130,8 @@ def test_odd_rows(odd, nothing, plain):
     got = Counter((r.doc_id, *[r[c] for c in COLUMNS]) for r in A.align_documents(odd, BYTES, PIECES).collect())
     assert got == want
     assert A.align_documents(nothing, BYTES, PIECES).count() == 0
+    kept = A.align_documents(odd, BYTES, PIECES, keep_groups=True).where("n_a > 0").collect()
+    assert kept and all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in kept)
 
 
 def test_each_distinct_text_is_aligned_once(llm, odd):
