@@ -3,9 +3,9 @@
 A filter holds counts on a logarithmic scale: an n-gram of level q, the number of
 thresholds its count reaches, is stored as the q keys (n-gram, 1) ... (n-gram, q),
 and a reader finds q by probing upwards until a key is missing.  Counts up to 5
-have a level each; above that a level spans a quarter of its threshold.  A miss is
-always right; a hit is wrong for about one absent key in 2^hashes, so a level is
-never too low.
+have a level each; above that a level spans a quarter of its threshold.  A key sets
+five bits of one 64-bit word, so a probe reads memory once.  A miss is always right;
+a hit is wrong for about one absent key in sixty, so a level is never too low.
 
 Words and bigrams are counted over all training texts in one pass.  The hash of an
 n-gram names one of ``CELLS`` cells, and each cell gets a filter of its own size,
@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 from stockloom.llm.common import strings, text_or_empty
 from stockloom.session import materialize
 
-HASHES = 7
+HASHES = 5
+BITS_PER_ENTRY = 10.0
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
 MAX_BYTES = 128 << 20
@@ -75,18 +76,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts in order, and the token number of each text."""
+def token_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the tokens of all texts as numbers of these, and the tokens per text."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    hashes, sizes = [], []
+    tokens, sizes = [], []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").lower().split()
-        hashes += map(digest, words)
-        hashes.append(digest(END))
+        tokens += words
+        tokens.append(END)
         sizes.append(len(words) + 1)
-    return np.array(hashes, dtype=_U), np.array(sizes, dtype=np.int64)
+    coded = pa.array(tokens, pa.large_binary()).dictionary_encode()
+    hashes = np.array(list(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist())), dtype=_U)
+    return hashes, coded.indices.to_numpy(), np.array(sizes, dtype=np.int64)
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts in order, and the token number of each text."""
+    hashes, ids, sizes = token_codes(texts)
+    return hashes[ids], sizes
 
 
 def bigram_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -101,55 +109,49 @@ def _cell(keys: np.ndarray) -> np.ndarray:
     return (keys >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
-def _positions(keys: np.ndarray, level: np.ndarray, bits: np.ndarray, hashes: int) -> np.ndarray:
-    """Bit numbers inside the cell filters, one row per hash function."""
-    h = _mix(keys + np.asarray(level, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    # Each position has a hash of its own: steps through a small cell would soon repeat.
-    return np.stack([_mix(h + _U(i * 0x632BE59BD9B4E019 & _ALL)) % bits for i in range(hashes)])
+def _places(keys: np.ndarray, level: np.ndarray, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a cell in which a key and level is looked up, and the bits set there."""
+    h = _mix(keys + level.astype(_U) * _U(0x9E3779B97F4A7C15))
+    spread = _mix(h + _U(0x632BE59BD9B4E019))
+    bits = np.zeros(len(keys), dtype=_U)
+    for k in range(HASHES):
+        bits |= _U(1) << (spread >> _U(6 * k) & _U(63))
+    return (h % words).astype(np.int64), bits
 
 
-def cell_filter(keys: np.ndarray, counts: np.ndarray, hashes: int = HASHES) -> bytes:
-    """Filter of one cell: bits for ``hashes`` positions per key and level, half of them set."""
+def cell_filter(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float = BITS_PER_ENTRY) -> bytes:
+    """Filter of one cell: one word of 64 bits is read for a key and level."""
     levels = level_of(counts)
     entries = int(levels.sum())
-    size = math.ceil(entries * hashes / math.log(2) / 8)
-    bits = np.zeros(size * 8, dtype=bool)
-    repeated = np.repeat(keys, levels)
+    data = np.zeros(max(1, math.ceil(entries * bits_per_entry / 64)), dtype=_U)
     level = np.arange(entries) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-    for start in range(0, entries, 1 << 18):
-        part = slice(start, start + (1 << 18))
-        bits[_positions(repeated[part], level[part], _U(len(bits)), hashes)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    at, bits = _places(np.repeat(keys, levels), level, _U(len(data)))
+    np.bitwise_or.at(data, at, bits)
+    return data.tobytes()
 
 
 class Filter:
-    """Cells ``first`` up to ``stop`` of a filter; other n-grams are left as they are."""
+    """Cells ``first`` up to ``stop`` of a filter; it says nothing of other n-grams."""
 
-    def __init__(self, first: int, stop: int, cells: dict[int, bytes], hashes: int = HASHES):
-        self.first, self.stop, self.hashes = first, stop, hashes
-        sizes = np.array([len(cells.get(c, b"")) for c in range(first, stop)], dtype=np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        self.bits = (sizes * 8).astype(_U)
-        self.data = np.frombuffer(b"".join(cells.get(c, b"") for c in range(first, stop)), dtype=np.uint8)
+    def __init__(self, first: int, stop: int, cells: dict[int, bytes]):
+        self.first, self.stop = first, stop
+        self.words = np.array([len(cells.get(c, b"")) // 8 for c in range(first, stop)], dtype=np.int64)
+        self.starts = np.cumsum(self.words) - self.words
+        self.data = np.frombuffer(b"".join(cells.get(c, b"") for c in range(first, stop)), dtype=_U)
 
-    def fill(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        """Set the levels of the keys in these cells."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of every key in these cells, 0 for all others: probes go on until one misses."""
         cell = _cell(keys)
-        mine = np.flatnonzero((cell >= self.first) & (cell < self.stop))
-        found, inverse = np.unique(keys[mine], return_inverse=True)
-        of = _cell(found) - self.first
-        level = np.zeros(len(found), dtype=np.uint8)
-        alive = np.flatnonzero(self.bits[of])
+        out = np.zeros(len(keys), dtype=np.uint8)
+        alive = np.flatnonzero((cell >= self.first) & (cell < self.stop))
+        alive = alive[self.words[cell[alive] - self.first] > 0]
         while len(alive):
-            at, bits = self.starts[of[alive]], self.bits[of[alive]]
-            there = np.ones(len(alive), dtype=bool)
-            for row in _positions(found[alive], level[alive].astype(_U) + _U(1), bits, self.hashes):
-                row = row.astype(np.int64)
-                there &= (self.data[at + (row >> 3)] >> (row & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[there]
-            level[alive] += 1
-            alive = alive[level[alive] < len(LOW) - 1]
-        levels[mine] = level[inverse]
+            of = cell[alive] - self.first
+            at, bits = _places(keys[alive], out[alive] + np.uint8(1), self.words[of].astype(_U))
+            alive = alive[self.data[self.starts[of] + at] & bits == bits]
+            out[alive] += 1
+            alive = alive[out[alive] < len(LOW) - 1]
+        return out
 
 
 def trains(id_column: Column, modulus: int, held_out: int) -> Column:
@@ -157,7 +159,7 @@ def trains(id_column: Column, modulus: int, held_out: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(modulus)) != held_out, F.lit(True))
 
 
-def count_cells(texts: DataFrame, hashes: int = HASHES) -> DataFrame:
+def count_cells(texts: DataFrame, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
     """(cell, filter, words, counts) of the n-grams of column ``text``.
 
     ``words`` are the hashes of the tokens among them and ``counts`` their exact
@@ -203,7 +205,7 @@ def count_cells(texts: DataFrame, hashes: int = HASHES) -> DataFrame:
             n = np.zeros(len(grams), dtype=np.int64)
             np.add.at(n, at, np.concatenate([c for _, c in held]))
             words = (grams & _U(1)).astype(bool)
-            row = [[now], [cell_filter(grams, n, hashes)], [grams[words].view(np.int64)], [n[words]]]
+            row = [[now], [cell_filter(grams, n, bits_per_entry)], [grams[words].view(np.int64)], [n[words]]]
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
@@ -281,7 +283,7 @@ def score_documents(
     held_out: int = 2,
     max_bytes: int = MAX_BYTES,
     known_words: int = KNOWN_WORDS,
-    hashes: int = HASHES,
+    bits_per_entry: float = BITS_PER_ENTRY,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -304,7 +306,7 @@ def score_documents(
         (~trains(docs[id_column], modulus, held_out)).alias("held_out"),
         text_or_empty(docs[text_column]).alias("text"),
     )
-    cells = materialize(count_cells(rows.where(~F.col("held_out")), hashes))
+    cells = materialize(count_cells(rows.where(~F.col("held_out")), bits_per_entry))
     words = cells.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts")
     total = words.agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = total["n"] or 0, total["v"]
@@ -319,7 +321,7 @@ def score_documents(
     for k, (first, stop) in enumerate(steps):
         part = cells.where(F.col("cell").between(first, stop - 1)).select("cell", "filter")
         held = {row["cell"]: bytes(row["filter"]) for row in part.toLocalIterator()}
-        shared = spark.sparkContext.broadcast(Filter(first, stop, held, hashes))
+        shared = spark.sparkContext.broadcast(Filter(first, stop, held))
         del held
         found = materialize(_fill(found, shared, known if k == len(steps) - 1 else None, k > 0))
     shares = _share_table(found, tokens, types)
@@ -370,16 +372,14 @@ def _fill(rows: DataFrame, shared, known, begun: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             texts = strings(batch, "text")
-            words, sizes = token_hashes(texts)
+            distinct, ids, sizes = token_codes(texts)
             starts = np.cumsum(sizes) - sizes
-            keys = np.concatenate([words | _U(1), bigram_keys(words, sizes) & ~_U(1)])
-            levels = np.zeros(len(keys), dtype=np.uint8)
-            if begun:
+            pairs, of_pair = np.unique(bigram_keys(distinct[ids], sizes) & ~_U(1), return_inverse=True)
+            own = shared.value.levels(distinct | _U(1))[ids]
+            pair = shared.value.levels(pairs)[of_pair]
+            if begun:  # every n-gram is in one broadcast
                 earlier = [np.frombuffer(x, dtype=np.uint8).reshape(2, -1) for x in strings(batch, "levels")]
-                levels[: len(words)] = np.concatenate([x[0] for x in earlier])
-                levels[len(words) :] = np.concatenate([x[1] for x in earlier])
-            shared.value.fill(keys, levels)
-            own, pair = levels[: len(words)], levels[len(words) :]
+                own, pair = (np.maximum(now, np.concatenate([x[k] for x in earlier])) for k, now in enumerate((own, pair)))
             packed = [own[a:b].tobytes() + pair[a:b].tobytes() for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
             head = [batch.column(0), batch.column(1)]
             names = ["doc_id", "held_out"]
@@ -388,11 +388,13 @@ def _fill(rows: DataFrame, shared, known, begun: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(head + body, names=[*names, "text", "levels"])
                 continue
             table, counts = known.value
-            mine = (words | _U(1)).view(np.int64)
+            mine = (distinct | _U(1)).view(np.int64)
             at = np.minimum(np.searchsorted(table, mine), max(len(table) - 1, 0))
-            hit = table[at] == mine if len(table) else np.zeros(len(mine), dtype=bool)
-            logs = np.where(hit, np.log10(counts[at] + 1.0), 0.0) if len(table) else np.zeros(len(mine))
-            rare = [mine[a:b][~hit[a:b]] for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
+            there = table[at] == mine if len(table) else np.zeros(len(mine), dtype=bool)
+            hit = there[ids]
+            logs = np.where(there, np.log10(counts[at] + 1.0), 0.0)[ids] if len(table) else np.zeros(len(ids))
+            rest = mine[ids]
+            rare = [rest[a:b][~hit[a:b]] for a, b in zip(starts.tolist(), (starts + sizes).tolist())]
             columns = [
                 pa.array(sizes),
                 pa.array(np.add.reduceat(hit.astype(np.int64), starts)),

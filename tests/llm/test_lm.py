@@ -70,8 +70,8 @@ def compare(docs, got, score_error, sum_error=1e-9):
 
 
 def test_documents_against_dictionaries(documents):
-    # 20 hash functions leave no false hit; the default's few shift a score a little.
-    model = compare(documents, lm.score_documents(documents, hashes=20), 1e-9)
+    # Very many bits leave no false hit; those of the default shift a score a little.
+    model = compare(documents, lm.score_documents(documents, bits_per_entry=20_000), 1e-9)
     compare(documents, lm.score_documents(documents), 0.2, 0.01)
     some = [*list(model.one)[:400], "never seen"]
     for v in ["<end>", *list(model.one)[:5]]:
@@ -113,19 +113,16 @@ def test_filter_has_no_level_too_low_and_few_too_high():
     counts = rng.zipf(1.6, len(keys)).clip(max=10**6)
     cell = int(lm._cell(keys[:1])[0])
     found = lm.Filter(cell, cell + 1, {cell: lm.cell_filter(keys, counts)})
-    levels = np.zeros(len(keys), dtype=np.uint8)
-    found.fill(keys, levels)
+    levels = found.levels(keys)
     truth = lm.level_of(counts)
     assert (levels >= truth).all() and (levels > truth).mean() < 0.03
     others = keys ^ np.uint64(1 << 20)
     others = others[~np.isin(others, keys)]
-    absent = np.zeros(len(others), dtype=np.uint8)
-    found.fill(others, absent)
-    assert (absent > 0).mean() < 0.03
+    assert (found.levels(others) > 0).mean() < 0.03
 
 
 def test_odd_rows(odd, nothing):
-    compare(odd, lm.score_documents(odd, hashes=20), 1e-9)
+    compare(odd, lm.score_documents(odd, bits_per_entry=20_000), 1e-9)
     assert lm.score_documents(nothing).count() == 0
     unseen = odd.where("doc_id = 2")  # crc32("2") mod 7 decides; one kind of row alone
     row = lm.score_documents(unseen, modulus=1, held_out=0).first()
