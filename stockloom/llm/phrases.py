@@ -17,12 +17,12 @@ through, never fewer frequent ones, and the exact counts decide.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +39,14 @@ FILTER_BYTES = 64 << 20
 SEGMENTS = 256
 _BITS_PER_KEY = 12
 _HASHES = 6
-_HELD = 1 << 21
+# Bytes of chunks that a task works on at once.
+_HELD = 4 << 20
 
 # Between pieces, and twice behind a text; no word holds it.
-BREAK = "\n"
-_SEPARATORS = re.compile(r"[.,;:!?\n-\r]+")
-_WORD = re.compile(r"[^ \t]+")
+BREAK = b"\n"
 _U = np.uint64
+# A-Z in lower case, and every sign that ends a piece as a break.
+_SIGNS = bytes(b + 32 if 65 <= b <= 90 else BREAK[0] if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,23 +55,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _hashes(tokens: list[str], seed: int = 0) -> np.ndarray:
+def _hashes(tokens: list[bytes]) -> np.ndarray:
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(t.encode("utf-8", "surrogatepass"), seed) for t in tokens], dtype=_U)
+    return np.array(list(map(xxhash.xxh64_intdigest, tokens)), dtype=_U)
 
 
 def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mix(first * _U(5) + (second << _U(17) | second >> _U(47)))
 
 
-def stream(text: str) -> list[str]:
+def stream(text: str) -> list[bytes]:
     """The words of a text with breaks between its pieces and two behind the last one."""
-    out: list[str] = []
-    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z alone
-    for piece in _SEPARATORS.split(lowered):
-        words = _WORD.findall(piece)
+    out: list[bytes] = []
+    for piece in text.encode("utf-8", "surrogatepass").translate(_SIGNS).split(BREAK):
+        words = piece.split()
         if words:
             out += words
             out.append(BREAK)
@@ -79,47 +78,74 @@ def stream(text: str) -> list[str]:
     return out
 
 
-def chunks(tokens: list[str], trigger: int = TRIGGER) -> list[str]:
-    """The chunks of a stream, each its tokens joined by spaces."""
+def chunks(tokens: list[bytes], trigger: int = TRIGGER) -> list[tuple[bytes, int]]:
+    """The chunks of a stream, each its tokens joined by spaces, with the words that begin in it."""
     if not tokens:
         return []
     h = _hashes(tokens)
     begins = np.flatnonzero(_pairs(h[:-1], h[1:]) % _U(trigger) == 0)
     last = len(tokens) - 2
-    starts = [0, *begins[(begins > 0) & (begins < last)].tolist()]
-    return [" ".join(tokens[a : b + 2]) for a, b in zip(starts, [*starts[1:], last])]
+    starts = np.array([0, *begins[(begins > 0) & (begins < last)].tolist()])
+    words = np.add.reduceat((h != h[-1])[:last], starts).tolist()
+    starts = starts.tolist()
+    return [(b" ".join(tokens[a : b + 2]), n) for a, b, n in zip(starts, [*starts[1:], last], words)]
 
 
 def dictionary(docs: DataFrame, trigger: int = TRIGGER, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
-    """(lang, chunk, n): distinct chunks with their parse frequencies; null lang is ``und``."""
+    """(lang, chunk, words, n): distinct chunks with their parse frequencies; null lang is ``und``.
+
+    ``words`` are those that the chunk counts, all but the closing trigger's.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[str, str]] = Counter()
+            found: Counter[tuple[str, bytes, int]] = Counter()
             for lang, text in zip(strings(batch, "lang"), strings(batch, "text")):
-                for chunk in chunks(stream(text), trigger):
-                    found[lang, chunk] += 1
+                for chunk, words in chunks(stream(text), trigger):
+                    found[lang, chunk, words] += 1
             if found:
-                langs, texts = zip(*found)
-                columns = [pa.array(langs), pa.array(texts), pa.array(list(found.values()), type=pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "n"])
+                langs, texts, words = zip(*found)
+                columns = [pa.array(langs), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "words", "n"])
 
     rows = docs.select(F.coalesce(docs[lang_column], F.lit("und")).alias("lang"), text_or_empty(docs[text_column]).alias("text"))
-    parsed = rows.mapInArrow(parse, "lang string, chunk string, n long")
-    return parsed.groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
+    parsed = rows.mapInArrow(parse, "lang string, chunk string, words int, n long")
+    return parsed.groupBy("lang", "chunk", "words").agg(F.sum("n").alias("n"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = _HELD) -> Iterator[pa.Table]:
+    """Batches put together until they have about ``size`` bytes."""
+    held, bytes_held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            bytes_held += batch.nbytes
+        if bytes_held >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, bytes_held = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+    """A number for every value of a column, and the values by number."""
+    encoded = column.combine_chunks().dictionary_encode()
+    encoded = encoded.combine_chunks() if isinstance(encoded, pa.ChunkedArray) else encoded
+    return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
 
 
 class _Tokens:
-    """The tokens of a batch of chunks, and which phrases begin in it."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        each = [chunk.split(" ") for chunk in strings(batch, "chunk")]
-        sizes = np.array([len(x) for x in each], dtype=np.int64)
-        self.tokens = [t for x in each for t in x]
-        self.langs = strings(batch, "lang")
-        self.of = np.repeat(np.arange(len(each)), sizes)
-        self.n = np.repeat(batch.column(batch.schema.get_field_index("n")).to_numpy(), sizes)
-        word = np.array([t != BREAK for t in self.tokens], dtype=bool)
+    """The tokens of some chunks as numbers, and which phrases begin where."""
+
+    def __init__(self, table: pa.Table):
+        lists = pc.split_pattern(table["chunk"], " ")
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.ids, self.words = _codes(pc.list_flatten(lists))
+        lang, self.langs = _codes(table["lang"])
+        self.lang = np.repeat(lang, sizes)
+        self.n = np.repeat(table["n"].to_numpy(), sizes)
+        self.hashes = _hashes([w.encode("utf-8", "surrogatepass") for w in self.words])
+        word = self.hashes[self.ids] != _hashes([BREAK])[0]
         own = np.ones(len(word), dtype=bool)
         stops = np.cumsum(sizes)
         own[stops - 1] = own[stops - 2] = False  # what the next chunk counts
@@ -131,12 +157,25 @@ class _Tokens:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the token and of the pair that begin at every place."""
-        langs = {lang: k for k, lang in enumerate(sorted(set(self.langs)))}
-        seeds = _hashes(list(langs), 1)
-        mine = seeds[[langs[lang] for lang in self.langs]][self.of] if len(self.of) else np.zeros(0, dtype=_U)
-        one = _mix(_hashes(self.tokens) ^ mine)
+        of_lang = _mix(_hashes([lang.encode("utf-8", "surrogatepass") for lang in self.langs]))
+        one = _mix(self.hashes[self.ids] ^ of_lang[self.lang])
         return one | _U(1), _pairs(one[:-1], one[1:]) & ~_U(1)
 
+    def phrases(self, at: np.ndarray, k: int) -> tuple[list[str], list[str], np.ndarray]:
+        """(languages, phrases, counts) of the distinct phrases of ``k`` words at these places."""
+        parts = [self.lang[at], *(self.ids[at + j] for j in range(k))]
+        order = np.lexsort(parts)
+        parts = [p[order] for p in parts]
+        new = np.zeros(len(at), dtype=bool)
+        new[:1] = True
+        for p in parts:
+            new[1:] |= p[1:] != p[:-1]
+        first = np.flatnonzero(new)
+        if not len(first):
+            return [], [], np.zeros(0, dtype=np.int64)
+        lang, *columns = ([names[i] for i in p[first].tolist()] for names, p in zip([self.langs, *[self.words] * k], parts))
+        return lang, columns[0] if k == 1 else list(map(" ".join, zip(*columns))), np.add.reduceat(self.n[at][order], first)
+
 
 class KeyFilter:
     """Bloom filter of 64-bit keys in equal segments, named by the first bits of a key."""
@@ -165,27 +204,17 @@ def frequent_keys(parsed: DataFrame, least: int) -> DataFrame:
     """(key) of words and pairs whose hashes come at least ``least`` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def summed():
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(n, at, np.concatenate([c for _, c in held]))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        for table in _gathered(batches):
+            read = _Tokens(table)
+            keys = np.concatenate([keys[read.begins[k]] for keys, k in zip(read.keys(), (1, 2))])
+            if not len(keys):
                 continue
-            read = _Tokens(batch)
-            for keys, k in zip(read.keys(), (1, 2)):
-                at = read.begins[k]
-                held.append((keys[at], read.n[at]))
-                rows += len(at)
-            if rows >= _HELD:
-                yield summed()
-                held, rows = [], 0
-        if rows:
-            yield summed()
+            n = np.concatenate([read.n[read.begins[k]] for k in (1, 2)])
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sums = np.add.reduceat(n[order], first)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sums)], names=["key", "n"])
 
     summed = parsed.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return summed.where(F.col("n") >= least).select("key")
@@ -218,34 +247,18 @@ def phrase_counts(parsed: DataFrame, least: int = LEAST, most_bytes: int = FILTE
     shared = spark.sparkContext.broadcast(key_filter(materialize(frequent_keys(parsed, least)), most_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[tuple[str, str, int]] = Counter()
-
-        def out():
-            langs, phrases, sizes = zip(*held)
-            columns = [pa.array(langs), pa.array(phrases), pa.array(sizes, type=pa.int32()), pa.array(list(held.values()), type=pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            read = _Tokens(batch)
+        for table in _gathered(batches):
+            read = _Tokens(table)
             one, two = read.keys()
-            often = shared.value.has(one), np.append(shared.value.has(two), False)
+            often = {1: shared.value.has(one), 2: np.append(shared.value.has(two), False)}
             for k in range(1, LONGEST + 1):
                 at = read.begins[k]
-                if k == 1:
-                    at = at[often[0][at]]
-                else:  # all pairs inside are frequent, or the phrase is not
-                    for j in range(k - 1):
-                        at = at[often[1][at + j]]
-                tokens, langs, of = read.tokens, read.langs, read.of
-                for i, n in zip(at.tolist(), read.n[at].tolist()):
-                    held[langs[of[i]], " ".join(tokens[i : i + k]), k] += n
-            if len(held) >= 1 << 18:
-                yield out()
-                held = Counter()
-        if held:
-            yield out()
+                # All words or pairs inside are frequent, or the phrase is not.
+                for j in range(max(1, k - 1)):
+                    at = at[often[min(k, 2)][at + j]]
+                langs, phrases, sums = read.phrases(at, k)
+                columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array([k] * len(langs), pa.int32()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f"])
 
     found = parsed.mapInArrow(count, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -323,6 +336,4 @@ def mine_phrases(
 
 def word_totals(parsed: DataFrame) -> DataFrame:
     """(lang, n): all word occurrences."""
-    tokens = F.split("chunk", " ")
-    own = F.size(F.filter(F.slice(tokens, 1, F.size(tokens) - 2), lambda t: t != BREAK))
-    return parsed.groupBy("lang").agg(F.sum(own * F.col("n")).alias("n"))
+    return parsed.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n"))

@@ -56,12 +56,13 @@ def test_documents_against_brute_force(documents, settings):
 def test_chunks_hold_every_phrase_once(text, trigger):
     tokens = P.stream(text)
     own = Counter()
-    for chunk in P.chunks(tokens, trigger):
-        t = chunk.split(" ")
+    for chunk, words in P.chunks(tokens, trigger):
+        t = chunk.split(b" ")
+        assert words == sum(x != P.BREAK for x in t[:-2])
         for i in range(len(t) - 2):
             for k in (1, 2, 3):
                 if i + k <= len(t) and P.BREAK not in t[i : i + k]:
-                    own[tuple(t[i : i + k])] += 1
+                    own[tuple(x.decode() for x in t[i : i + k])] += 1
     want = Counter()
     for piece in text.split(","):
         w = piece.split()
@@ -73,8 +74,8 @@ def test_chunks_hold_every_phrase_once(text, trigger):
 def test_no_chunk_begins_another(documents):
     found = set()
     for r in documents.limit(100).collect():
-        found |= set(P.chunks(P.stream(r.text or "")))
-    ordered = sorted(c.split(" ") for c in found)
+        found |= {chunk for chunk, _ in P.chunks(P.stream(r.text or ""))}
+    ordered = sorted(c.split(b" ") for c in found)
     # A chunk ends with its first trigger, so only the end marks of whole texts repeat.
     assert not any(b[: len(a)] == a for a, b in zip(ordered, ordered[1:]))
 
