@@ -3,7 +3,8 @@
 Per host the path segments form a tree.  A segment that is a number, a long
 hex string or a date is a wildcard by its shape; where a node still has more than
 ``max_children`` children, the rare ones become the wildcard ``*``.  Sibling
-branches whose labelled block rates do not differ significantly are merged.  A
+branches whose pooled block rates do not differ significantly are merged, the
+closest first.  A
 root-to-leaf path of the result is a template; its purity is the block rate of
 its labelled urls, smoothed towards the rate of all labelled urls.  Urls of
 templates that are pure enough are blocked.
@@ -11,9 +12,11 @@ templates that are pure enough are blocked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.session import materialize
@@ -72,11 +75,64 @@ def shaped_segments(path: Column) -> Column:
             .when(stem.rlike(r"^[0-9A-Fa-f]{8}(-?[0-9A-Fa-f]{4}){3}-?[0-9A-Fa-f]{12}$"), "{uuid}")
             .when(stem.rlike(r"^(?=.*[0-9])[0-9A-Fa-f]{8,}$"), "{hex}")
         )
-        return F.coalesce(F.concat(name, ending), segment)
+        # Signs that wildcards, shapes and merged branches are written with.
+        plain = F.regexp_replace(segment, r"([\\*|{}])", r"\\$1")
+        return F.coalesce(F.concat(name, ending), plain)
 
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
 
 
+def merge_branches(counts: list[tuple[str, int, int]], min_support: int, z: float) -> list[list[str]]:
+    """Groups of sibling branches (name, labelled, blocked) whose block rates do not differ.
+
+    The two groups with the smallest test statistic of their pooled rates are merged
+    first, until every two groups differ by more than ``z``; so a chain of small steps
+    does not join what lies far apart.  Branches with few labels stay alone.
+    """
+    out = [[name] for name, labelled, _ in counts if labelled < min_support]
+    known = sorted((b / n, name, n, b) for name, n, b in counts if n >= min_support)
+    groups = [([name], n, b) for _, name, n, b in known]
+
+    def differ(one: tuple, two: tuple) -> float:
+        (_, n, b), (_, m, c) = one, two
+        pooled = (b + c) / (n + m)
+        spread = math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+        return abs(b / n - c / m) / spread if spread else 0.0
+
+    # A pooled rate lies between those it joins, so only neighbours can be closest in rate.
+    apart = [differ(a, b) for a, b in zip(groups, groups[1:])]
+    while apart:
+        k = min(range(len(apart)), key=apart.__getitem__)
+        if apart[k] > z:
+            break
+        (names, n, b), (more, m, c) = groups[k : k + 2]
+        groups[k : k + 2] = [(names + more, n + m, b + c)]
+        apart.pop(k)
+        for j in (k - 1, k):
+            if 0 <= j < len(apart):
+                apart[j] = differ(groups[j], groups[j + 1])
+    return out + [names for names, _, _ in groups]
+
+
+def _merged(branches: DataFrame, min_support: int, z: float) -> DataFrame:
+    """(host, template, branch, name): the name of the group that a branch is merged into."""
+    kind = "host string, template string, branch string, name string"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, template, members in zip(*(column.to_pylist() for column in batch.columns)):
+                counts = sorted((m["branch"], m["l"], m["b"]) for m in members)
+                for names in merge_branches(counts, min_support, z):
+                    name = "|".join(sorted(names))
+                    rows += [(host, template, branch, name) for branch in names]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["host", "template", "branch", "name"])
+
+    members = F.collect_list(F.struct("branch", "l", "b")).alias("members")
+    return branches.groupBy("host", "template").agg(members).mapInArrow(merge, kind)
+
+
 def path_templates(
     paths: DataFrame,
     max_children: int = MAX_CHILDREN,
@@ -90,13 +146,12 @@ def path_templates(
     ``paths`` has one row per host and segments with the sums ``urls``, ``labelled``
     and ``blocked``.  The tree is built level by level for all hosts at once, so no
     host is gathered anywhere: children are counted with partial aggregation, and
-    windows run over the at most ``max_children + 1 / min_share + 1`` siblings that
+    merging sees the at most ``max_children + 1 / min_share + 1`` siblings that
     are left after rare children became ``*``.  What lies below ``max_depth`` levels
     is one wildcard, ``**``.
     """
     rows = paths.withColumn("template", F.lit(""))
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    siblings = Window.partitionBy("host", "template")
     for level in range(min(deepest, max_depth)):
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
         children = rows.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
@@ -106,22 +161,7 @@ def path_templates(
         rare = (F.col("n") > max_children) & (F.col("urls") < min_share * F.col("all_urls"))
         named = children.join(nodes, ["host", "template"]).withColumn("branch", F.when(rare, "*").otherwise(F.col("segment")))
         branches = named.groupBy("host", "template", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        # Neighbours in order of their block rate that do not differ are one branch.
-        order = siblings.orderBy(F.col("known").desc(), "rate", "branch")
-        p = (F.col("b") + F.lag("b").over(order)) / (F.col("l") + F.lag("l").over(order))
-        spread = F.sqrt(p * (1 - p) * (1 / F.col("l") + 1 / F.lag("l").over(order)))
-        differ = F.abs(F.col("rate") - F.lag("rate").over(order)) > z * spread
-        merged = (
-            branches.withColumn("known", F.col("l") >= min_support)
-            .withColumn("rate", F.when(F.col("known"), F.col("b") / F.col("l")))
-            .withColumn("apart", F.coalesce(F.when(F.col("known"), differ), F.lit(True)))
-            .withColumn("part", F.sum(F.col("apart").cast("int")).over(order))
-            .withColumn(
-                "name",
-                F.array_join(F.array_sort(F.collect_set("branch").over(Window.partitionBy("host", "template", "part"))), "|"),
-            )
-            .select("host", "template", "branch", "name")
-        )
+        merged = _merged(branches, min_support, z)
         names = named.join(merged, ["host", "template", "branch"]).select("host", "template", "segment", "name")
         rows = materialize(
             rows.join(names, ["host", "template", "segment"], "left")

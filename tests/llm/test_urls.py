@@ -32,6 +32,41 @@ def test_hosts_paths_and_rules(llm):
         assert (rows[k].host, rows[k].path, rows[k].rule, rows[k].verdict) == (host, path, rule, verdict)
 
 
+def closest_first(sums, z):
+    """Join the two groups that differ least, over all pairs, until every pair differs."""
+    groups = [[name] for name in sums]
+
+    def statistic(one, two):
+        n, b = (sum(sums[x][k] for x in one) for k in (0, 1))
+        m, c = (sum(sums[x][k] for x in two) for k in (0, 1))
+        p = (b + c) / (n + m)
+        return abs(b / n - c / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m)) if 0 < p < 1 else 0.0
+
+    while len(groups) > 1:
+        found, i, j = min((statistic(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if found > z:
+            break
+        groups[i] += groups.pop(j)
+    return groups
+
+
+def test_a_chain_of_small_steps_is_not_one_branch():
+    counts = [(f"s{k:02}", 100, 5 * k) for k in range(21)]
+    groups = U.merge_branches(counts, 5, 1.96)
+    assert len(groups) >= 4 and max(map(len, groups)) <= 7
+    want = closest_first({name: (n, b) for name, n, b in counts}, 1.96)
+    assert sorted(map(sorted, groups)) == sorted(map(sorted, want))
+    assert sorted(map(sorted, U.merge_branches([("a", 2, 0), ("b", 2, 0), ("c", 50, 50), ("d", 60, 60)], 5, 1.96))) == [["a"], ["b"], ["c", "d"]]
+
+
+def test_literal_wildcards_stay_apart(llm):
+    paths = ["/*/x", "/a|b/x", "/a/x", "/b/x", "/{number}/x", "/7/x", "/back\\slash/x"]
+    rows = [(100 * k + j, f"http://h.org{p}") for k, p in enumerate(paths) for j in range(8)]
+    found = {r.page_id: r.template for r in U.judge_urls(llm.createDataFrame(rows, "page_id long, url string"), []).collect()}
+    assert len(set(found.values())) == len(paths)
+    assert found[0] == "/\\*/x" and found[100] == "/a\\|b/x" and found[500] == "/{number}/x" and found[400] == "/\\{number\\}/x"
+
+
 def slow_templates(paths, max_children, min_share, min_support, z):
     """The tree of one level after the other, in plain Python."""
     template = {p: "" for p in paths}
@@ -50,17 +85,8 @@ def slow_templates(paths, max_children, min_share, min_support, z):
             for s, c in children.items():
                 sums[branch[s]][0] += c[1]
                 sums[branch[s]][1] += c[2]
-            known = sorted((b / n, name) for name, (n, b) in sums.items() if n >= min_support)
             groups = [[name] for name, (n, _) in sums.items() if n < min_support]
-            for rate, name in known:
-                n, b = sums[name]
-                if groups and groups[-1] and groups[-1][0] in [x for _, x in known]:
-                    m, c = sums[groups[-1][-1]]
-                    p = (b + c) / (n + m)
-                    if abs(b / n - c / m) <= z * math.sqrt(p * (1 - p) * (1 / n + 1 / m)):
-                        groups[-1].append(name)
-                        continue
-                groups.append([name])
+            groups += closest_first({name: tuple(c) for name, c in sums.items() if c[0] >= min_support}, z)
             merged = {name: "|".join(sorted(g)) for g in groups for name in g}
             for s in children:
                 names[node, s] = merged[branch[s]]
