@@ -9,6 +9,7 @@ cosine with its own vector.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,19 +33,36 @@ _ROWS = 1 << 14
 _SHIFT = 21
 
 
+_LETTER, _MARK = 1, 2
+
+
 @cache
-def _is_letter() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+def _kinds() -> np.ndarray:
+    """Letter, combining mark or neither, by code point."""
+    marks = {"Mn", "Mc"}
+    kinds = (_LETTER if chr(c).isalpha() else _MARK if unicodedata.category(chr(c)) in marks else 0 for c in range(0x110000))
+    return np.fromiter(kinds, dtype=np.uint8, count=0x110000)
+
+
+def _in_words(codes: np.ndarray) -> np.ndarray:
+    """Letters, and the marks that follow a letter: vowel signs and accents belong to it."""
+    kind = _kinds()[codes]
+    letter, mark = kind == _LETTER, kind == _MARK
+    if not mark.any():
+        return letter
+    # The last sign before each place that is no mark, the place itself included.
+    base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(codes))))
+    return letter | (mark & (base >= 0) & letter[base])
 
 
 def trigram_keys(text: str) -> np.ndarray:
     """Trigram keys of the whole text in their order.
 
-    Letters are lower-cased; every run of other signs is one space, also before
-    the first and behind the last letter.  No letters, no trigrams.
+    Letters are lower-cased and keep the combining marks behind them; every run of
+    other signs is one space, also before the first and behind the last letter.  No letters, no trigrams.
     """
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    codes = np.where(_is_letter()[codes], codes, _SPACE)
+    codes = np.where(_in_words(codes), codes, _SPACE)
     codes = np.concatenate([[_SPACE], codes, [_SPACE]])
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
@@ -131,7 +149,8 @@ def _sample(labelled: DataFrame, per_language: int) -> tuple[list[str], DataFram
     if not shares:
         return [], None
     share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    # The text takes part, so rows without an id are drawn like others.
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.where(F.col("lang").isNotNull() & (place < share))
     return sorted(shares), chosen.select("lang", text_or_empty("text").alias("text"))
 

@@ -78,3 +78,21 @@ def test_short_texts_are_judged_too(llm, documents):
     kept = {r.doc_id for r in L.keep_identified(base.unionByName(llm.createDataFrame(rows, base.schema))).select("doc_id").collect()}
     assert not kept & {-1, -2, -3}
     assert len(kept & {-100 - k for k in range(len(clean))}) >= 28
+
+
+def test_marks_belong_to_the_letter_before_them():
+    greeting = "नमस्ते दुनिया"
+    keys = L.trigram_keys(greeting)
+    spaces = sum(chr(int(k) & (1 << 21) - 1) == " " for k in keys)
+    assert spaces == 2  # behind each word, not inside one
+    assert (L.trigram_keys("e\u0301t") == L.trigram_keys("e\u0301t!")).all()
+    assert (L.trigram_keys("a \u0301b") == L.trigram_keys("a b")).all()  # a mark without a letter
+
+
+def test_rows_without_ids_are_learned_from(llm):
+    rows = [(None, f"{text} {k}", lang) for k in range(1000) for text, lang in (("the cat sat on the mat", "en"), ("der hund liegt im garten", "de"))]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, sample = L._sample(docs, 50)
+    n = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert languages == ["de", "en"] and all(25 <= n[lang] <= 90 for lang in languages)
+    assert set(L.prototypes(docs, per_language=50)) == {"de", "en"}
