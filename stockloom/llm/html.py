@@ -93,7 +93,7 @@ def attribute_groups(attrs: list[tuple[str, str | None]]) -> int:
     found = 0
     for name, value in attrs:
         if value and name in ("class", "id", "role", "itemprop"):
-            for word in _SPLIT.findall(value[:400]):
+            for word in _SPLIT.findall(value):
                 group = _WORD.get(word.lower())
                 if group is not None:
                     found |= 1 << group

@@ -20,7 +20,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -249,8 +249,8 @@ def write_archives(
                             ("WARC-Payload-Digest", f"sha1:{row['payload_digest']}"),
                             ("WARC-Profile", None if whole else PROFILE),
                             ("WARC-Refers-To", None if whole else record_id(row["first"])),
-                            ("Page-ID", row["page_id"]),
-                            ("Refers-To-Page-ID", None if whole else row["first_page"]),
+                            ("Page-ID", _quoted(row["page_id"])),
+                            ("Refers-To-Page-ID", None if whole else _quoted(row["first_page"])),
                             ("Payload-Length", row["payload_bytes"]),
                             ("Content-Type", "application/http;msgtype=response"),
                             ("Content-Length", size),
@@ -276,6 +276,15 @@ def write_archives(
 _URI_SAFE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _quoted(value: str | None) -> str | None:
+    """An id as one line of a record's head, whatever signs it holds."""
+    return None if value is None else quote(value, safe="")
+
+
+def _plain(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
 def read_records(stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
     """Chunk rows of the response and revisit records of one uncompressed stream.
 
@@ -311,9 +320,9 @@ def read_records(stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
                 yield {
                     "record_id": head["warc-record-id"],
                     "record_type": head["warc-type"],
-                    "page_id": head.get("page-id"),
+                    "page_id": _plain(head.get("page-id")),
                     "url": head.get("warc-target-uri"),
-                    "refers_to": head.get("refers-to-page-id"),
+                    "refers_to": _plain(head.get("refers-to-page-id")),
                     "chunk_no": number,
                     "is_last": not left,
                     "chunk": chunk if whole else None,

@@ -114,3 +114,10 @@ def test_odd_pages(llm, model):
     assert len(next(r for r in found if r.page_id is None).text.split()) == 15000
     assert H.extract_pages(df).count() == len(rows)
     assert H.extract_pages(llm.createDataFrame([], schema)).count() == 0
+
+
+def test_words_behind_long_attributes_are_seen():
+    long = " ".join(f"u-{'abcdefgh'[k % 8]}x{k}" for k in range(90))
+    assert len(long) > 500
+    alone = H.attribute_groups([("class", "sidebar")])
+    assert alone and H.attribute_groups([("class", f"{long} sidebar")]) & alone == alone

@@ -116,3 +116,13 @@ def test_records_across_row_groups_stay_whole(llm, tmp_path):
         for key, value in before.items():
             llm.conf.set(key, value)
     assert sorted((r.page_id, r.payload_digest) for r in found) == [(k, digest(text)) for k, text in enumerate(texts)]
+
+
+def test_text_ids_of_any_signs(llm):
+    ids = ["plain", "two\r\nWARC-Type: warcinfo\r\n", "tab\t% é", "", " ", "a: b", None]
+    rows = [(name, f"http://h/{k}", f"page {k % 3}") for k, name in enumerate(ids)]
+    pages = llm.createDataFrame(rows, "page_id string, url string, html string")
+    found = W.archived_records(W.archive_pages(pages), pages.schema["page_id"].dataType).collect()
+    assert sorted((r.page_id or "-", r.payload_bytes) for r in found) == sorted((name or "-", 6) for name in ids)
+    assert sum(r.record_type == "response" for r in found) == 3
+    assert {r.refers_to for r in found if r.record_type == "revisit"} <= set(ids)
