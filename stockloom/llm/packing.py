@@ -29,11 +29,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.common import in_slices, strings, text_or_empty
 from stockloom.llm.tokens import encoder
+from stockloom.session import materialize
 
 WINDOW = 2048
 END_ID = 1
@@ -156,6 +158,75 @@ def windows_of(
     yield from stream.cut(last=True)
 
 
+def pack_files(
+    docs: DataFrame,
+    tokenizer: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    stretch: int = STRETCH,
+) -> DataFrame:
+    """The pieces of ``pack_documents`` for rows read from Parquet files, in the order of the files.
+
+    Tasks read files in any order and in parts.  Here every run of rows of one file is a
+    stream of its own, and windows are numbered without gaps by file name and row, so
+    ``sequence_id`` follows the order in which the rows were written.  ``docs`` must come
+    straight from a Parquet scan, whose ``_metadata`` names file and row.
+    """
+    kind = docs.schema[id_column].dataType
+    numbers = ("start", "length", "ids_crc32", "doc_tokens", "number", "offset", "first")
+    out = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in numbers], T.StructField("file", T.StringType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        tool = encoder(tokenizer)
+        end, ends_sentence = np.array([end_id], dtype=tool.dtype), tool.ends_sentence()
+        fields = [("doc_id", first.schema.field(0).type), *[(n, _INT) for n in numbers], ("file", pa.string())]
+
+        def runs():
+            """Each run of rows that follow each other in one file, as (file, first row, documents)."""
+            rows = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns)))
+            held = next(rows, None)
+
+            def run(file, place):
+                nonlocal held
+                while held is not None and held[2:] == (file, place):
+                    yield held[0], np.concatenate([tool.encode(held[1]), end])
+                    held, place = next(rows, None), place + 1
+
+            while held is not None:
+                yield held[2], held[3], run(held[2], held[3])
+
+        def pieces():
+            for file, place, documents in runs():
+                for number, parts in enumerate(windows_of(documents, ends_sentence, window, stretch)):
+                    offset = 0
+                    for document, start, ids, whole in parts:
+                        yield document, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, number, offset, place, file
+                        offset += len(ids)
+
+        yield from in_slices(pieces(), pa.schema(fields))
+
+    narrow = docs.select(
+        docs[id_column].alias("doc_id"),
+        text_or_empty(docs[text_column]).alias("text"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("first"),
+    )
+    packed = materialize(narrow.mapInArrow(pack, out))
+    # One row per run, which is at most one per file and task: names sort by length, then text.
+    order = Window.partitionBy(F.lit(0)).orderBy(F.length("file"), "file", "first")
+    runs = packed.groupBy("file", "first").agg((F.max("number") + 1).alias("windows"))
+    runs = runs.withColumn("base", F.sum("windows").over(order) - F.col("windows"))
+    runs = runs.select(F.col("file").alias("of_file"), F.col("first").alias("of_first"), "base")
+    return packed.join(runs, (F.col("file") == F.col("of_file")) & (F.col("first") == F.col("of_first"))).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("sequence_id"), "offset"
+    )
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
