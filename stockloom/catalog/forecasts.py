@@ -6,15 +6,14 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from stockloom.catalog.features import FRAME, GRID, panel_features
+from stockloom.catalog.features import FRAME, GRID, panel_features, panel_grid
 from stockloom.catalog.registry import query
-from stockloom.catalog.views import CUT_DAY, EVENT_PANEL, FIRST_DAY, grid
-from stockloom.operators import boosted, demand
+from stockloom.catalog.views import CUT_DAY, EVENT_CUT, EVENT_FIRST, EVENT_LAST, EVENT_PANEL, FIRST_DAY, grid
+from stockloom.operators import boosted, demand, horizon
 from stockloom.operators import features as f
 from stockloom.operators import forecasting as fc
 from stockloom.operators import linear_models as lm
 
-EVENT_START, EVENT_CUT, EVENT_END = "2024-01-01", "2024-01-25", "2024-01-30"
 _ID = "date_, product_id, city_name, daily_quantity"
 _IDS = ["date_", "product_id", "city_name", "daily_quantity"]
 BASELINES = {
@@ -77,8 +76,8 @@ def _(t):
     return origin.withColumns({c: F.round(c, 6) for c in ["pred_ma7", "pred_mean"]})
 
 
-EVENT_GRID = EVENT_PANEL + ",\n" + grid("event_panel", f"DATE '{EVENT_START}'", f"DATE '{EVENT_END}'")
-SBC = f"""train AS (SELECT *, CAST(date_ - DATE '{EVENT_START}' + 1 AS BIGINT) AS t FROM grid WHERE date_ < DATE '{EVENT_CUT}'),
+EVENT_GRID = EVENT_PANEL + ",\n" + grid("event_panel", EVENT_FIRST, EVENT_LAST)
+SBC = f"""train AS (SELECT *, CAST(date_ - {EVENT_FIRST} + 1 AS BIGINT) AS t FROM grid WHERE date_ < {EVENT_CUT}),
 s AS (SELECT product_id, city_name, COUNT(*) AS total_periods, COUNT(*) FILTER (daily_quantity > 0) AS n, AVG(daily_quantity) FILTER (daily_quantity > 0) AS m,
   STDDEV_POP(daily_quantity) FILTER (daily_quantity > 0) AS sd, AVG(daily_quantity) AS om FROM train GROUP BY 1, 2),
 v AS (SELECT *, CASE WHEN n = 0 THEN CAST(total_periods AS DOUBLE) ELSE total_periods / n END AS adi0, CASE WHEN n = 0 THEN 0.0 ELSE POW(sd / m, 2) END AS cv0 FROM s),
@@ -99,7 +98,7 @@ croston AS (SELECT product_id, city_name, COALESCE(z / p, 0.0) AS rate FROM cr W
 
 
 def _sbc(t):
-    return fc.sbc_classify(t.event_panel, EVENT_START, EVENT_CUT, mean_digits=6)
+    return fc.sbc_classify(t.event_panel, t.event_days.first, t.event_days.cut, mean_digits=6)
 
 
 @query("fct05_sbc_classes", f"WITH {EVENT_GRID}, {SBC} SELECT * FROM sbc")
@@ -121,7 +120,7 @@ def _(t):
     f"WITH RECURSIVE {EVENT_GRID}, {SBC}, {CROSTON} SELECT product_id, city_name, ROUND(rate, 6) AS pred_croston FROM croston",
 )
 def _(t):
-    rates = fc.croston(t.event_panel, EVENT_START, EVENT_CUT)
+    rates = fc.croston(t.event_panel, t.event_days.first, t.event_days.cut)
     return rates.select("product_id", "city_name", F.round("pred_croston", 6).alias("pred_croston"))
 
 
@@ -130,7 +129,7 @@ def _(t):
     f"WITH RECURSIVE {EVENT_GRID}, {SBC}, {CROSTON} SELECT product_id, city_name, ROUND(rate * 0.95, 6) AS pred_sba FROM croston",
 )
 def _(t):
-    rates = fc.croston(t.event_panel, EVENT_START, EVENT_CUT)
+    rates = fc.croston(t.event_panel, t.event_days.first, t.event_days.cut)
     return rates.select("product_id", "city_name", F.round("pred_sba", 6).alias("pred_sba"))
 
 
@@ -154,13 +153,17 @@ _CHECK = f"""WITH {GRID}, {FRAME}, v AS (SELECT * FROM features WHERE date_ >= {
     TRUE AS better_than_lag7 FROM v"""
 
 
-def _checked(df, pred):
-    wape = {c: F.sum(F.abs(F.col("daily_quantity") - F.col(c))) / F.sum("daily_quantity") * 100 for c in (pred, "lag_7")}
+_CHECK_LAG1 = _CHECK.replace("lag_7", "lag_1").replace("lag7", "lag1")
+
+
+def _checked(df, pred, against="lag_7"):
+    wape = {c: F.sum(F.abs(F.col("daily_quantity") - F.col(c))) / F.sum("daily_quantity") * 100 for c in (pred, against)}
+    name = against.replace("_", "")
     return df.agg(
         F.count(pred).alias("rows_scored"),
         F.count_if(F.col(pred) < 0).alias("negative"),
-        F.round(wape["lag_7"], 2).alias("wape_lag7"),
-        (wape[pred] < wape["lag_7"]).alias("better_than_lag7"),
+        F.round(wape[against], 2).alias(f"wape_{name}"),
+        (wape[pred] < wape[against]).alias(f"better_than_{name}"),
     )
 
 
@@ -199,38 +202,75 @@ def _(t):
     return _out(lm.additive_seasonal(train, validation, t.days.first), "pred_prophet")
 
 
+def _days_between(first, cut):
+    return (date.fromisoformat(cut) - date.fromisoformat(first)).days
+
+
+@query("fct11_trend_changes")
+def _(t):
+    train, validation = _train_validation(t)
+    return _out(lm.trend_with_changes(train, validation, t.days.first, _days_between(t.days.first, t.days.cut)), "pred_trend")
+
+
+# What the trend must do: answer every row, never below zero, closer than the day before.
+@query("fct11_trend_changes_check", _CHECK_LAG1)
+def _(t):
+    train, validation = _train_validation(t)
+    rows = lm.trend_with_changes(train, validation, t.days.first, _days_between(t.days.first, t.days.cut))
+    return _checked(rows, "pred_trend", "lag_1")
+
+
 @query("fct12_seasonal_proxy", _pred_sql("pred_prophet"))
 def _(t):
     return _pred(t, "pred_prophet")
 
 
+def _tuning_features(t):
+    return f.tuning_frame(panel_grid(t))
+
+
+def _tuned(t):
+    earlier, validation = f.split_by_date(_tuning_features(t), t.days.cut)
+    train, tune = f.split_by_date(earlier, t.days.tune)
+    best, _, _ = boosted.tune_gbt(train, tune, f.TUNING_FEATURES, boosted.search_settings())
+    return best.predict(validation, "pred_lgb")
+
+
 @query("fct13_tuned_trees")
 def _(t):
-    features = panel_features(t)
-    earlier, validation = f.split_by_date(features, t.days.cut)
-    train, tune = f.split_by_date(earlier, t.days.tune)
-    best, _, _ = boosted.tune_gbt(train, tune, f.FEATURES, boosted.search_settings())
-    return _out(best.predict(validation, "pred_lgb"), "pred_lgb")
+    return _out(_tuned(t), "pred_lgb")
 
 
-@query("fct14_early_stopping")
+@query("fct13_tuned_trees_check", _CHECK)
 def _(t):
+    return _checked(_tuned(t), "pred_lgb")
+
+
+def _stopped(t):
     earlier, validation = _train_validation(t)
     train, held_out = f.split_by_date(earlier, t.days.tune)
-    model = boosted.gbt_early_stop(train, held_out, f.FEATURES)
-    return _out(model.predict(validation, "pred_xgb"), "pred_xgb")
+    return boosted.gbt_early_stop(train, held_out, f.FEATURES).predict(validation, "pred_xgb")
 
 
-@query("fct15_stacking")
+@query("fct14_early_stopping")
 def _(t):
-    earlier, validation = _train_validation(t)
+    return _out(_stopped(t), "pred_xgb")
+
+
+@query("fct14_early_stopping_check", _CHECK)
+def _(t):
+    return _checked(_stopped(t), "pred_xgb")
+
+
+def _stacked(t):
+    earlier, validation = f.split_by_date(_tuning_features(t), t.days.cut)
     # Weights are fitted on a period before the one they are applied to, trees are
     # tuned and stopped on the 30 days before that one.
     train, tune = f.split_by_date(earlier, t.days.tune)
     before = date.fromisoformat(t.days.tune) - timedelta(days=30)
     fitted, held_out = f.split_by_date(train, str(before))
     ridge = lm.ridge(train, f.FEATURES)
-    tuned, _, _ = boosted.tune_gbt(fitted, held_out, f.FEATURES, boosted.search_settings())
+    tuned, _, _ = boosted.tune_gbt(fitted, held_out, f.TUNING_FEATURES, boosted.search_settings())
     stopped = boosted.gbt_early_stop(fitted, held_out, f.FEATURES)
 
     def base(df):
@@ -240,15 +280,32 @@ def _(t):
 
     preds = ["pred_naive_lag1", "pred_seasonal_naive_lag7", "pred_ma_28", "pred_prophet", "pred_ridge", "pred_lgb", "pred_xgb"]
     model, _ = lm.stack(base(tune), preds)
-    return _out(lm.predict_stack(base(validation), model), "pred_ensemble")
+    return lm.predict_stack(base(validation), model)
+
+
+@query("fct15_stacking")
+def _(t):
+    return _out(_stacked(t), "pred_ensemble")
+
+
+@query("fct15_stacking_check", _CHECK)
+def _(t):
+    return _checked(_stacked(t), "pred_ensemble")
 
 
 # Event validation rows with the fixed-origin forecasts and demand class.
-FIXED = f"""val AS (SELECT * FROM grid WHERE date_ >= DATE '{EVENT_CUT}'),
-fx AS (SELECT product_id, city_name, MAX(daily_quantity) FILTER (t = 24) AS pred_naive, AVG(daily_quantity) FILTER (t > 17) AS pred_ma7, AVG(daily_quantity) AS pred_mean
-  FROM train GROUP BY 1, 2),
+# Frequent demand takes a ridge on two lags, in closed form.
+FIXED = f"""lagged AS (SELECT *, COALESCE(LAG(daily_quantity, 1) OVER w, 0.0) AS lag_1, COALESCE(LAG(daily_quantity, 7) OVER w, 0.0) AS lag_7 FROM grid
+  WINDOW w AS (PARTITION BY product_id, city_name ORDER BY date_)),
+mm AS (SELECT AVG(lag_1) AS m1, AVG(lag_7) AS m2, AVG(daily_quantity) AS my FROM lagged WHERE date_ < {EVENT_CUT}),
+ss AS (SELECT 1 + SUM((lag_1 - m1) * (lag_1 - m1)) AS s11, 1 + SUM((lag_7 - m2) * (lag_7 - m2)) AS s22, SUM((lag_1 - m1) * (lag_7 - m2)) AS s12,
+  SUM((lag_1 - m1) * (daily_quantity - my)) AS s1, SUM((lag_7 - m2) * (daily_quantity - my)) AS s2 FROM lagged, mm WHERE date_ < {EVENT_CUT}),
+val AS (SELECT date_, product_id, city_name, daily_quantity, greatest(0.0, my + (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) * (lag_1 - m1)
+  + (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) * (lag_7 - m2)) AS pred_ridge FROM lagged, mm, ss WHERE date_ >= {EVENT_CUT}),
+fx AS (SELECT product_id, city_name, MAX(daily_quantity) FILTER (t = (SELECT MAX(t) FROM train)) AS pred_naive,
+  AVG(daily_quantity) FILTER (t > (SELECT MAX(t) FROM train) - 7) AS pred_ma7, AVG(daily_quantity) AS pred_mean FROM train GROUP BY 1, 2),
 res AS (SELECT v.*, pred_naive, pred_ma7, pred_mean, rate AS pred_croston, rate * 0.95 AS pred_sba, demand_category,
-  CASE WHEN demand_category IN ('Smooth', 'Erratic') THEN pred_mean ELSE rate * 0.95 END AS pred_hybrid
+  CASE WHEN demand_category IN ('Smooth', 'Erratic') THEN pred_ridge ELSE rate * 0.95 END AS pred_hybrid
   FROM val v JOIN fx USING (product_id, city_name) JOIN croston USING (product_id, city_name) JOIN sbc USING (product_id, city_name))"""
 FIXED_MODELS = {
     "pred_naive": "Naive (Lag-1)",
@@ -263,34 +320,35 @@ _EVENTS = f"WITH RECURSIVE {EVENT_GRID}, {SBC}, {CROSTON}, {FIXED}"
 
 def fixed_results(t):
     """Validation rows of the event panel with every per-series forecast."""
-    events = t.event_panel
-    _, validation = f.split_by_date(f.calendar_grid(events, EVENT_START, EVENT_END), EVENT_CUT)
-    keys = ["product_id", "city_name"]
+    events, days, keys, lags = t.event_panel, t.event_days, ["product_id", "city_name"], ["lag_1", "lag_7"]
+    lagged = f.add_lags(f.calendar_grid(events, days.first, days.last), [1, 7]).fillna(0.0, lags)
+    train, validation = f.split_by_date(lagged, days.cut)
+    validation = lm.predict_ridge(validation, lm.ridge(train, lags))
     per_series = (
-        fc.fixed_origin(events, EVENT_START, EVENT_CUT)
-        .join(fc.croston(events, EVENT_START, EVENT_CUT), keys)
+        fc.fixed_origin(events, t.event_days.first, t.event_days.cut)
+        .join(fc.croston(events, t.event_days.first, t.event_days.cut), keys)
         .join(_sbc(t).select(*keys, "demand_category"), keys)
     )
-    return fc.route(validation.join(per_series, keys), machine="pred_mean")
+    return fc.route(validation.join(per_series, keys))
 
 
-@query(
-    "fct16_hybrid_route",
-    f"{_EVENTS} SELECT date_, product_id, city_name, demand_category, ROUND(pred_hybrid, 6) AS pred_hybrid FROM res",
-)
+_ROUTE = f"{_EVENTS} SELECT date_, product_id, city_name, demand_category, ROUND(pred_hybrid, 6) AS pred_hybrid FROM res"
+
+
+@query("fct16_hybrid_route", _ROUTE)
 def _(t):
     rows = fixed_results(t).withColumn("pred_hybrid", F.round("pred_hybrid", 6))
     return rows.select("date_", "product_id", "city_name", "demand_category", "pred_hybrid")
 
 
-# The same route with a fitted model for frequent demand; the one above has the mean.
-@query("fct16_fitted_route")
+# The same rows, with the model fitted and routed here step by step.
+@query("fct16_fitted_route", _ROUTE)
 def _(t):
-    events, keys, lags = t.event_panel, ["product_id", "city_name"], ["lag_1", "lag_7"]
-    lagged = f.add_lags(f.calendar_grid(events, EVENT_START, EVENT_END), [1, 7]).fillna(0.0, lags)
-    train, validation = f.split_by_date(lagged, EVENT_CUT)
+    events, days, keys, lags = t.event_panel, t.event_days, ["product_id", "city_name"], ["lag_1", "lag_7"]
+    lagged = f.add_lags(f.calendar_grid(events, days.first, days.last), [1, 7]).fillna(0.0, lags)
+    train, validation = f.split_by_date(lagged, days.cut)
     rows = lm.predict_ridge(validation, lm.ridge(train, lags))
-    per_series = fc.croston(events, EVENT_START, EVENT_CUT).join(_sbc(t).select(*keys, "demand_category"), keys)
+    per_series = fc.croston(events, days.first, days.cut).join(_sbc(t).select(*keys, "demand_category"), keys)
     routed = fc.route(rows.join(per_series, keys)).withColumn("pred_hybrid", F.round("pred_hybrid", 6))
     return routed.select("date_", "product_id", "city_name", "demand_category", "pred_hybrid")
 
@@ -433,14 +491,26 @@ def _(t):
     return fc.forecast_horizon(t.panel, t.days.cut, 14)
 
 
+# The fitted lag model rolled forward, with conformal limits from the tuning period.
+@query("fct25_recursive_horizon")
+def _(t):
+    days = 14
+    grid_rows = panel_grid(t)
+    model = horizon.fit_lag_model(grid_rows, t.days.tune)
+    calibrate = str(date.fromisoformat(t.days.tune) - timedelta(days=60))
+    widths = horizon.conformal_widths(grid_rows, model, calibrate, t.days.cut, days)
+    rows = horizon.recursive_horizon(t.panel, model, widths, t.days.cut)
+    return rows.withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
 @query(
     "fct26_eligibility",
-    f"""WITH {EVENT_PANEL}, a AS (SELECT product_id, city_name, COUNT(*) FILTER (date_ >= DATE '{EVENT_START}' AND date_ < DATE '{EVENT_CUT}' AND daily_quantity > 0) AS active_days
+    f"""WITH {EVENT_PANEL}, a AS (SELECT product_id, city_name, COUNT(*) FILTER (date_ >= {EVENT_FIRST} AND date_ < {EVENT_CUT} AND daily_quantity > 0) AS active_days
       FROM event_panel GROUP BY 1, 2)
     SELECT *, CASE WHEN active_days >= 7 THEN 'OK' ELSE 'INSUFFICIENT_HISTORY' END AS forecast_status FROM a""",
 )
 def _(t):
-    return fc.eligibility(t.event_panel, EVENT_START, EVENT_CUT, 7)
+    return fc.eligibility(t.event_panel, t.event_days.first, t.event_days.cut, 7)
 
 
 @query(

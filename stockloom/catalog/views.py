@@ -20,9 +20,9 @@ sales AS (
   FROM lines)"""
 
 PRODUCTS = """products AS (
-  SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS brand_name,
+  SELECT CASE WHEN p_partkey % 50 <> 0 THEN p_partkey END AS product_id, p_name AS product_name, p_brand AS brand_name,
     p_type AS l0_category, p_name AS l1_category, CAST(p_size AS VARCHAR) AS l2_category
-  FROM part WHERE p_partkey % 50 <> 0)"""
+  FROM part)"""
 
 ENRICHED = SALES + ",\n" + PRODUCTS + """,
 enriched AS (
@@ -69,7 +69,12 @@ panel AS (
   SELECT order_date AS date_, p_type AS product_id, r_name AS city_name, SUM(l_quantity) AS daily_quantity
   FROM lines GROUP BY 1, 2, 3)"""
 
-EVENT_PANEL = """event_panel AS (
+EVENT_FIRST, EVENT_LAST = "(SELECT first_day FROM event_days)", "(SELECT last_day FROM event_days)"
+EVENT_CUT = "(SELECT last_day - 5 FROM event_days)"
+
+EVENT_PANEL = """event_days AS (
+  SELECT CAST(MIN(ts) AS DATE) AS first_day, CAST(MAX(ts) AS DATE) AS last_day FROM events),
+event_panel AS (
   SELECT CAST(ts AS DATE) AS date_, event_type AS product_id,
     CAST(CASE WHEN user_id < 50 THEN user_id % 2 WHEN user_id < 100 THEN 100 + user_id % 10
       ELSE 1000 + user_id END AS VARCHAR) AS city_name,

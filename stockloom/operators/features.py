@@ -19,6 +19,8 @@ FEATURES = [
     "day_of_week", "is_weekend",
 ]
 
+TUNING_FEATURES = [*FEATURES, "rolling_std_14", "rolling_std_28", "day_of_month"]
+
 
 def calendar_grid(
     demand: DataFrame,
@@ -126,6 +128,14 @@ def feature_frame(grid: DataFrame, keys: list[str] = SERIES_KEY) -> DataFrame:
     return drop_warmup(add_calendar(df), ["lag_28", "rolling_mean_28"])
 
 
+def tuning_frame(grid: DataFrame, keys: list[str] = SERIES_KEY) -> DataFrame:
+    """The feature frame with the wider deviations that the tuned model also sees."""
+    df = add_lags(grid, [1, 7, 14, 28], keys=keys)
+    df = add_rolling_mean(df, [7, 14, 28], keys=keys)
+    df = add_rolling_std(df, [7, 14, 28], keys=keys)
+    return drop_warmup(add_calendar(df), ["lag_28", "rolling_mean_28"])
+
+
 def observation_features(demand: DataFrame, keys: list[str] = SERIES_KEY) -> DataFrame:
     """Features over existing rows only ("n-th previous observation"), sold days only."""
     df = add_lags(demand, [1, 7, 14, 28], keys=keys)

@@ -75,12 +75,11 @@ class Tables:
 
     @cached_property
     def products(self) -> DataFrame:
-        """Product master; ids that 50 divides are left out, so their sales are unmatched."""
+        """Product master; ids that 50 divides are blank, so their sales are unmatched."""
         return (
             self.read("part")
-            .where(F.col("p_partkey") % 50 != 0)
             .select(
-                F.col("p_partkey").alias("product_id"),
+                F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey")).alias("product_id"),
                 F.col("p_name").alias("product_name"),
                 F.col("p_brand").alias("brand_name"),
                 F.col("p_type").alias("l0_category"),
@@ -171,6 +170,13 @@ class Tables:
             F.sum("procured_quantity").alias("daily_quantity")
         )
 
+    @cached_property
+    def event_days(self) -> Days:
+        """First and last day of the events; the last six days are held out."""
+        first, last = self.read("events").select(F.to_date("ts").alias("d")).agg(F.min("d"), F.max("d")).first()
+        cut = last - timedelta(days=5)
+        return Days(*map(str, (first, cut, cut, last)))
+
     @cached_property
     def event_panel(self) -> DataFrame:
         """Daily event value per event type and user bucket: all demand classes occur."""

@@ -90,7 +90,7 @@ def test_seasonal_models_beat_naive(split):
     train, later = split
     rows = lm.additive_seasonal(train, forecasting.naive(later), "2022-01-03")
     rows = lm.predict_ridge(rows, lm.ridge(train, features.FEATURES))
-    rows = boosted.gbt(train, features.FEATURES, maxIter=15).predict(rows).cache()
+    rows = boosted.gbt(train, features.FEATURES, rounds=30, rate=0.2, min_rows=20).predict(rows).cache()
     base = wape(rows, "pred_naive_lag1")
     for pred in ("pred_prophet", "pred_ridge", "pred_hist_gbt"):
         assert wape(rows, pred) < base / 2, pred
@@ -100,7 +100,7 @@ def test_seasonal_models_beat_naive(split):
 def test_tuning_keeps_the_best_setting(split):
     train, later = split
     earlier, tune = features.split_by_date(train, "2022-05-15")
-    grid = [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 8, "maxDepth": 4}]
+    grid = [boosted.Settings(rounds=1, depth=1), boosted.Settings(rounds=8, depth=4, rate=0.3)]
     _, best, scores = boosted.tune_gbt(earlier, tune, features.FEATURES, grid)
     assert best == min(scores, key=lambda s: s[1])[0]
     assert len(scores) == 2
@@ -109,8 +109,8 @@ def test_tuning_keeps_the_best_setting(split):
 def test_early_stopping_uses_the_later_period(split):
     train, later = split
     earlier, held = features.split_by_date(train, "2022-05-15")
-    model = boosted.gbt_early_stop(earlier, held, features.FEATURES, maxIter=12, stepSize=0.3)
-    assert 1 <= model.model.getNumTrees <= 12
+    model = boosted.gbt_early_stop(earlier, held, features.FEATURES, rounds=12, rate=0.3)
+    assert 1 <= len(model.trees) <= 12
     assert model.predict(later).where("pred_hist_gbt is null").count() == 0
 
 
@@ -139,6 +139,64 @@ def test_stack_is_the_non_negative_optimum(spark):
     assert loss(w) == pytest.approx(best, rel=1e-9)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_active_sets_meet_the_optimality_conditions(seed):
+    rng = np.random.default_rng(seed)
+    k = 30
+    x = rng.normal(size=(200, k)) @ rng.normal(size=(k, k)) * 0.3 + rng.normal(size=(200, 1))
+    w = np.where(rng.random(k) < 0.4, rng.random(k), -0.2 * rng.random(k))
+    y = x @ w + rng.normal(0, 0.1, 200)
+    a, b = x.T @ x + 0.1 * np.eye(k), x.T @ y
+    found = lm.non_negative(a, b)
+    slope, size = b - a @ found, np.abs(b).max()
+    assert (found >= 0).all() and 0 < (found > 0).sum() < k
+    assert (np.abs(slope[found > 0]) < 1e-7 * size).all() and (slope[found == 0] < 1e-7 * size).all()
+
+
+def test_active_sets_on_odd_systems():
+    assert lm.non_negative(np.eye(3), -np.ones(3)).tolist() == [0, 0, 0]
+    assert lm.non_negative(np.zeros((2, 2)), np.zeros(2)).tolist() == [0, 0]
+    twin = np.array([[2.0, 2.0], [2.0, 2.0]])  # the same column twice
+    assert twin @ lm.non_negative(twin, np.array([4.0, 4.0])) == pytest.approx([4, 4])
+
+
+def trend_frame(spark, slopes, days=720, noise=2.0, seed=0):
+    """Daily totals with a weekly pattern and the given (day, change of slope) pairs."""
+    rng = np.random.default_rng(seed)
+    t = np.arange(days)
+    y = 500 + 0.3 * t + sum(c * np.maximum(t - at, 0) for at, c in slopes)
+    y = y + 20 * np.sin(2 * np.pi * t / 7) + 8 * np.cos(4 * np.pi * t / 7) + rng.normal(0, noise, days)
+    rows = [(START + dt.timedelta(days=int(i)), float(v)) for i, v in zip(t, y)]
+    return spark.createDataFrame(rows, "date_ date, _y double"), y
+
+
+@pytest.mark.parametrize("slopes", [[(150, 1.0), (400, -1.5)], [(300, -0.8)], []], ids=str)
+def test_planted_changes_are_found(spark, slopes):
+    daily, y = trend_frame(spark, slopes)
+    model, inputs, changes, mean = lm.trend_model(daily, str(START), 720)
+    spacing = 0.9 * 720 / 26
+    assert mean == pytest.approx(y.mean())
+    for at, _ in slopes:
+        assert min(abs(at - c) for c in changes) <= spacing
+    assert len(changes) <= 3 * len(slopes)
+    fitted = np.array([r["p"] for r in daily.withColumns(inputs).withColumn("p", model.expression()).orderBy("date_").collect()])
+    assert np.sqrt(((fitted - y) ** 2).mean()) < (4.0 if slopes else 2.3)
+    if slopes:
+        t = np.arange(720)
+        line = np.column_stack([np.ones(720), t, *[f(2 * np.pi * k * t / 7) for k in (1, 2, 3) for f in (np.sin, np.cos)]])
+        straight = y - line @ np.linalg.lstsq(line, y, rcond=None)[0]
+        assert ((fitted - y) ** 2).mean() < 0.05 * (straight**2).mean()
+
+
+def test_changed_trend_forecasts_better(spark):
+    daily, y = trend_frame(spark, [(350, -1.2)])
+    rows = daily.select("date_", F.lit(1).alias("product_id"), F.lit("c").alias("city_name"), F.col("_y").alias("daily_quantity"))
+    train, later = features.split_by_date(rows, str(START + dt.timedelta(days=690)))
+    scored = lm.trend_with_changes(train, later, str(START), 690)
+    scored = lm.additive_seasonal(train, scored, str(START)).cache()
+    assert wape(scored, "pred_trend") < 2.0 < wape(scored, "pred_prophet")
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame([(0.0, 2.0), (10.0, 7.0), (10.0, -4.0)], "daily_quantity double, pred_x double")
     row = forecasting.evaluate(df, {"pred_x": "X"}).first()
