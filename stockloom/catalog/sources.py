@@ -8,7 +8,7 @@ from stockloom.catalog.registry import query
 from stockloom.catalog.views import PRODUCTS, RAW, SALES
 from stockloom.schemas import SALES_COLUMNS
 from stockloom.session import scratch_path
-from stockloom.sources import readers, sinks
+from stockloom.sources import readers, sinks, snapshots
 
 _TEXT_IDS = ["order_id", "cart_id", "dim_customer_key"]
 
@@ -196,39 +196,51 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "published")
     checks = {"null_ids": (F.count_if(F.col("p_partkey").isNull()), 0)}
-    sinks.publish(t.read("part").limit(0), path, checks)
-    sinks.publish(t.read("part"), path, checks)
-    return t.spark.read.parquet(path).groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
+    snapshots.publish_snapshot(t.read("part").limit(0), path, checks)
+    snapshots.publish_snapshot(t.read("part"), path, checks)
+    return snapshots.read_snapshot(t.spark, path).groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
 
 
 _UPDATES = """updates AS (SELECT l_partkey AS product_id, 'sold ' || CAST(MAX(l_orderkey) AS VARCHAR) AS product_name
-  FROM lineitem WHERE l_quantity > 45 GROUP BY 1)"""
+  FROM lineitem GROUP BY 1)"""
 
 
 @query(
     "snk05_upsert",
-    f"""WITH {PRODUCTS}, {_UPDATES} SELECT product_id, product_name FROM products WHERE product_id NOT IN (SELECT product_id FROM updates)
+    f"""WITH {PRODUCTS}, {_UPDATES} SELECT product_id, product_name FROM products p WHERE NOT EXISTS (SELECT 1 FROM updates u WHERE u.product_id = p.product_id)
     UNION ALL SELECT product_id, product_name FROM updates""",
 )
 def _(t):
-    updates = (
-        t.read("lineitem")
-        .where("l_quantity > 45")
-        .select(
-            F.col("l_partkey").alias("product_id"),
-            F.concat(F.lit("sold "), F.col("l_orderkey").cast("string")).alias("product_name"),
-            F.col("l_orderkey").alias("seen_at"),
-        )
+    return sinks.upsert(t.products.select("product_id", "product_name"), _sold(t), ["product_id"], "seen_at")
+
+
+def _sold(t):
+    """The newest order of every part that was sold, as a new name."""
+    return t.read("lineitem").select(
+        F.col("l_partkey").alias("product_id"),
+        F.concat(F.lit("sold "), F.col("l_orderkey").cast("string")).alias("product_name"),
+        F.col("l_orderkey").alias("seen_at"),
     )
-    return sinks.upsert(t.products.select("product_id", "product_name"), updates, ["product_id"], "seen_at")
+
+
+@query(
+    "snk05_stored_upsert",
+    f"""WITH {PRODUCTS}, {_UPDATES} SELECT product_id, product_name FROM products p WHERE NOT EXISTS (SELECT 1 FROM updates u WHERE u.product_id = p.product_id)
+    UNION ALL SELECT product_id, product_name FROM updates""",
+)
+def _(t):
+    path = scratch_path(t.spark, "products")
+    snapshots.publish_snapshot(t.products.select("product_id", "product_name"), path, keys=["product_id"])
+    snapshots.upsert_snapshot(path, _sold(t), "seen_at")
+    return snapshots.read_snapshot(t.spark, path)
 
 
 @query(
     "snk06_insert_missing",
     f"""WITH {PRODUCTS}, {_UPDATES} SELECT product_id, product_name FROM products
-    UNION ALL SELECT product_id, product_name FROM updates WHERE product_id NOT IN (SELECT product_id FROM products)""",
+    UNION ALL SELECT product_id, product_name FROM updates u WHERE NOT EXISTS (SELECT 1 FROM products p WHERE u.product_id = p.product_id)""",
 )
 def _(t):
-    lines = t.read("lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("product_id"))
-    new = lines.agg(F.concat(F.lit("sold "), F.max("l_orderkey").cast("string")).alias("product_name"))
+    new = t.read("lineitem").groupBy(F.col("l_partkey").alias("product_id"))
+    new = new.agg(F.concat(F.lit("sold "), F.max("l_orderkey").cast("string")).alias("product_name"))
     return sinks.insert_missing(t.products.select("product_id", "product_name"), new, ["product_id"])

@@ -13,8 +13,11 @@ from stockloom.streaming import jobs
 def _events(t):
     """The events as an arriving stream of sale lines."""
     schema = t.read("events").schema
-    stream = jobs.read_stream(t.spark, f"{t.directory}/event[s].parquet", schema)
-    return stream.select(
+    return _sale_lines(jobs.read_stream(t.spark, f"{t.directory}/event[s].parquet", schema))
+
+
+def _sale_lines(events):
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("product_id"),
         (F.col("user_id") % 4).cast("string").alias("city_name"),
@@ -41,19 +44,39 @@ def _(t):
 @query(
     "str02_daily_demand_stream",
     """SELECT CAST(ts AS DATE) AS date_, event_type AS product_id, CAST(user_id % 4 AS VARCHAR) AS city_name, ROUND(SUM(value), 4) AS daily_quantity, COUNT(*) AS line_count,
-    abs(COUNT(*) - COUNT(DISTINCT event_id)) <= greatest(1, 0.15 * COUNT(DISTINCT event_id)) AS near_order_count
-    FROM events GROUP BY 1, 2, 3""",
+    abs(COUNT(*) - COUNT(DISTINCT event_id)) <= greatest(1, 0.08 * COUNT(DISTINCT event_id)) AS near_order_count,
+    date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 2 DAY FROM events) AS is_final
+    FROM events GROUP BY 1, 2, 3, 7""",
 )
 def _(t):
-    path = scratch_path(t.spark, "daily")
-    jobs.run_to_table(jobs.stream_daily_demand(_events(t)), path, scratch_path(t.spark, "progress"), "complete")
+    rows = _daily_demand(t)
     # Every event is an order of its own, so the lines tell how far off the sketch is.
-    off = F.abs(F.col("approx_order_count") - F.col("line_count"))
-    near = off <= F.greatest(F.lit(1.0), 0.15 * F.col("line_count"))
-    rows = t.spark.read.parquet(path).withColumn("near_order_count", near).drop("approx_order_count")
+    off = F.abs(jobs.sketch_count() - F.col("line_count"))
+    near = off <= F.greatest(F.lit(1.0), 0.08 * F.col("line_count"))
+    rows = rows.withColumn("near_order_count", near).drop("order_sketch")
     return rows.withColumn("daily_quantity", F.round("daily_quantity", 4))
 
 
+def _daily_demand(t):
+    path = scratch_path(t.spark, "daily")
+    arrived = _sale_lines(t.read("events"))
+    jobs.run_daily_demand(_events(t), arrived, path, scratch_path(t.spark, "progress"))
+    return jobs.read_daily_demand(t.spark, path)
+
+
+@query(
+    "str02_united_order_counts",
+    """SELECT event_type AS product_id, COUNT(*) AS line_count, abs(COUNT(DISTINCT event_id) - COUNT(*)) <= 0.06 * COUNT(*) AS near_order_count
+    FROM events GROUP BY 1""",
+)
+def _(t):
+    rows = _daily_demand(t)
+    lines = rows.groupBy("product_id").agg(F.sum("line_count").alias("line_count"))
+    counts = jobs.unite_sketches(rows, ["product_id"]).select(F.col("product_id").alias("of"), jobs.sketch_count().alias("orders"))
+    near = F.abs(F.col("orders") - F.col("line_count")) <= 0.06 * F.col("line_count")
+    return lines.join(counts, F.col("product_id") == F.col("of")).select("product_id", "line_count", near.alias("near_order_count"))
+
+
 @query("str03_dedup_stream", "SELECT DISTINCT event_type AS product_id, user_id FROM events")
 def _(t):
     path = scratch_path(t.spark, "unique")

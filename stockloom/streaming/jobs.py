@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from stockloom.operators.validation import accepted, rejected, validate_rows
 from stockloom.schemas import SALES_COLUMNS, SERIES_KEY
+from stockloom.session import ship_package
+
+# Digests share this many state groups: enough to spread, few enough to keep groups large.
+STATE_GROUPS = 4096
+# Size of a distinct-count sketch: 2^12 registers, a standard error of 1.6 %.
+SKETCH_BITS = 12
+_ROW = "digest string, row string, copies long"
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -19,60 +32,213 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
     return reader.load(path)
 
 
-def stream_validate(raw: DataFrame, products: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+# ---- validation -------------------------------------------------------------
+
+
+class _SeenRows(StatefulProcessor):
+    """Tells how many copies of a row came before; counts are kept in the state store."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "digest string", "copies long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            earlier = [self._count(digest, copies) for digest, copies in zip(batch["digest"], batch["copies"])]
+            yield batch[["digest", "row", "copies"]].assign(earlier=earlier)
+
+    def _count(self, digest: str, copies: int) -> int:
+        found = self.seen.getValue((digest,))
+        before = 0 if found is None else int(found[0])
+        self.seen.updateValue((digest,), (before + int(copies),))
+        return before
+
+    def close(self) -> None:
+        pass
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies of a row that stand in one Arrow batch as one row with their number."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).group_by(["digest", "row"]).aggregate([([], "count_all")])
+        names = {"count_all": "copies"}
+        yield from table.rename_columns([names.get(c, c) for c in table.column_names]).select(["digest", "row", "copies"]).to_batches()
+
+
+def seen_before(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """(digest, row, copies, earlier) of a stream of (digest, row): copies that came earlier.
+
+    The state store holds one entry per digest; a batch touches the entries of its
+    own rows alone, whatever came before.  Copies are counted before the shuffle, so
+    a row that comes very often is a few rows to its group.  ``keep_ms`` forgets a
+    digest that has not come for so long.
+    """
+    group = F.pmod(F.xxhash64("digest"), F.lit(STATE_GROUPS)).alias("state_group")
+    return (
+        rows.mapInArrow(_copies, _ROW)
+        .select("*", group)
+        .groupBy("state_group")
+        .transformWithStateInPandas(
+            _SeenRows(keep_ms),
+            outputStructType=f"{_ROW}, earlier long",
+            outputMode="Append",
+            timeMode="None" if keep_ms is None else "ProcessingTime",
+        )
+    )
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Named state needs the RocksDB store; it also keeps state out of the executors' heap."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def stream_validate(
+    raw: DataFrame, products: DataFrame, target: str, checkpoint: str, keep_ms: int | None = None
+) -> StreamingQuery:
     """Split arriving text rows into accepted and rejected tables.
 
-    Each micro-batch writes below its own batch number, so a batch repeated
-    after a failure overwrites its first attempt.  The digests of the rows of
-    earlier batches are kept beside the tables: a row seen before is a repeat,
-    however the files were dealt into batches.
+    The state store tells how often a row came in earlier batches, so a row seen
+    before is a repeat however the files were dealt into batches, and the work of a
+    batch depends on its own rows only.  Each micro-batch writes below its own batch
+    number, so a batch repeated after a failure overwrites its first attempt; Spark
+    commits the state with the batch.
     """
-    row = F.sha2(F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"}), 256)
+    spark = raw.sparkSession
+    ship_package(spark)
+    use_state_store(spark)
+    text = F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"})
+    rows = raw.select(F.sha2(text, 256).alias("digest"), text.alias("row"))
 
     def split(batch: DataFrame, number: int) -> None:
-        validated = validate_rows(batch, products).withColumn("_row", row)
-        if number:
-            seen = batch.sparkSession.read.parquet(f"{target}/seen").where(F.col("batch") < number)
-            seen = seen.select(F.col("row").alias("_row"), F.lit(True).alias("_seen")).distinct()
-            again = F.col("_seen").isNotNull() & ~F.array_contains("errors", "duplicate_row")
-            validated = validated.join(seen, "_row", "left").withColumn(
-                "errors", F.when(again, F.array_append("errors", F.lit("duplicate_row"))).otherwise(F.col("errors"))
-            )
-        validated = validated.persist()
+        columns = ", ".join(f"`{c}` string" for c in SALES_COLUMNS)
+        once = batch.groupBy("digest", "row").agg(F.sum("copies").alias("_total"), F.min("earlier").alias("_earlier"))
+        once = once.select(F.from_json("row", columns).alias("row"), "_total", "_earlier").select("row.*", "_total", "_earlier")
+        validated = validate_rows(once, products, by=["_total", "_earlier"])
+
+        def copy(n: Column, repeated: bool) -> Column:
+            return F.struct(n.alias("copies"), F.lit(repeated).alias("repeated"))
+
+        new, total = F.col("_earlier") == 0, F.col("_total")
+        parts = F.array(F.when(new, copy(F.lit(1).cast("long"), False)), copy(F.when(new, total - 1).otherwise(total), True))
+        parts = F.filter(parts, lambda p: p.isNotNull() & (p["copies"] > 0))
+        validated = validated.drop("copies").withColumn("_c", F.explode(parts))
+        errors = F.when(F.col("_c.repeated"), F.array_append("errors", F.lit("duplicate_row"))).otherwise(F.col("errors"))
+        validated = validated.withColumn("errors", errors).withColumn("copies", F.col("_c.copies")).persist()
         try:
-            rows = validated.select(F.col("_row").alias("row")).distinct()
-            rows.write.mode("overwrite").parquet(f"{target}/seen/batch={number}")
             accepted(validated).write.mode("overwrite").parquet(f"{target}/accepted/batch={number}")
             rejected(validated).write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
         finally:
             validated.unpersist()
 
     return (
-        raw.writeStream.foreachBatch(split)
+        seen_before(rows, keep_ms)
+        .writeStream.foreachBatch(split)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+# ---- daily demand with mergeable counts --------------------------------------
+
+
+def distinct_sketch(column: str, bits: int = SKETCH_BITS) -> Column:
+    """Aggregate: a sketch of the distinct values of a column, to be stored and united later."""
+    return F.hll_sketch_agg(F.col(column), F.lit(bits))
+
+
+def unite_sketches(df: DataFrame, keys: list[str], sketch: str = "order_sketch") -> DataFrame:
+    """(keys, sketch): stored sketches united over days, batches or series."""
+    return df.groupBy(*keys).agg(F.hll_union_agg(sketch).alias(sketch))
+
+
+def sketch_count(sketch: str = "order_sketch") -> Column:
+    """The estimated number of distinct values in a sketch."""
+    return F.hll_sketch_estimate(sketch)
+
+
+def _daily(rows: DataFrame, day: Column, keys: list[str], order: str) -> DataFrame:
+    return rows.groupBy(day, *keys).agg(
+        F.sum("procured_quantity").alias("daily_quantity"),
+        F.count(F.lit(1)).alias("line_count"),
+        distinct_sketch(order).alias("order_sketch"),
+    )
+
+
 def stream_daily_demand(
-    sales: DataFrame, delay: str = "2 days", time: str = "ts", keys: list[str] = SERIES_KEY
+    sales: DataFrame, delay: str = "2 days", time: str = "ts", keys: list[str] = SERIES_KEY, order: str = "order_id"
 ) -> DataFrame:
     """Demand per day and series; a day is final once the watermark has passed it.
 
-    Exact distinct orders are not available on streams: remove repeated lines
-    first (``stream_dedup``) or read the sketch-based count.
+    ``order_sketch`` can be united over days and series (``unite_sketches``), which
+    an estimate alone could not.  State is bounded by the days that are still open.
     """
-    return (
-        sales.withWatermark(time, delay)
-        .groupBy(F.window(time, "1 day"), *keys)
-        .agg(
-            F.sum("procured_quantity").alias("daily_quantity"),
-            F.count(F.lit(1)).alias("line_count"),
-            F.approx_count_distinct("order_id").alias("approx_order_count"),
-        )
-        .select(F.to_date("window.start").alias("date_"), *keys, "daily_quantity", "line_count", "approx_order_count")
+    days = _daily(sales.withWatermark(time, delay), F.window(time, "1 day"), keys, order)
+    return days.select(F.to_date("window.start").alias("date_"), *keys, "daily_quantity", "line_count", "order_sketch")
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What a finished run of a stream says: its watermark and the rows that came too late."""
+
+    watermark: str | None
+    late_rows: int
+    batches: int
+
+
+def run_daily_demand(
+    stream: DataFrame,
+    arrived: DataFrame,
+    path: str,
+    checkpoint: str,
+    delay: str = "2 days",
+    time: str = "ts",
+    keys: list[str] = SERIES_KEY,
+    order: str = "order_id",
+) -> Progress:
+    """Append the days that the watermark has closed, and write the open ones beside them.
+
+    ``arrived`` is the same source read as a table.  ``{path}/closed`` only grows and
+    never changes what it has; ``{path}/open`` is replaced as a whole and holds the
+    days from the watermark on.  Rows later than the watermark are counted, not
+    added.
+    """
+    query = (
+        stream_daily_demand(stream, delay, time, keys, order)
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .format("parquet")
+        .option("path", f"{path}/closed")
+        .start()
     )
+    query.awaitTermination()
+    # One entry per batch of this run.
+    reports = [json.loads(report.json) for report in query.recentProgress]
+    marks = [r["eventTime"]["watermark"] for r in reports if "watermark" in r.get("eventTime", {})]
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for r in reports for op in r.get("stateOperators", []))
+    watermark = max(marks, default=None)
+    if watermark is not None and watermark.startswith("1970-01-01"):
+        watermark = None
+    still_open = arrived if watermark is None else arrived.where(F.window(time, "1 day")["end"] > F.lit(watermark).cast("timestamp"))
+    days = _daily(still_open, F.to_date(time).alias("date_"), keys, order)
+    days.write.mode("overwrite").parquet(f"{path}/open")
+    return Progress(watermark, late, len(reports))
+
+
+def read_daily_demand(spark: SparkSession, path: str) -> DataFrame:
+    """Closed and open days, told apart by ``is_final``."""
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn("is_final", F.lit(name == "closed")) for name in ("closed", "open")]
+    return parts[0].unionByName(parts[1])
+
+
+# ---- repeats -------------------------------------------------------------------
 
 
 def stream_dedup(source: DataFrame, keys: list[str], delay: str = "2 days", time: str = "ts") -> DataFrame:
@@ -80,15 +246,7 @@ def stream_dedup(source: DataFrame, keys: list[str], delay: str = "2 days", time
     return source.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available, then stop.
-
-    ``append`` adds what the watermark has closed; ``complete`` replaces the table
-    with all groups after each batch, the open ones included.
-    """
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
-    else:
-        writer = writer.format("parquet").option("path", path)
-    writer.start().awaitTermination()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append everything the stream gives to a table, then stop."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.format("parquet").option("path", path).start().awaitTermination()

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from stockloom.operators import validation
 from stockloom.plans import jobs as plans
 from stockloom.session import materialize, scratch_root
 from stockloom.sources import readers, sinks
@@ -98,10 +99,76 @@ def test_streamed_days_equal_the_batch(spark, tmp_path):
         write_batch(spark, batch, inbox, f"part={i}")
     stream = streams.read_stream(spark, f"{inbox}/*", SCHEMA, files_per_batch=1)
     out = str(tmp_path / "out")
-    streams.run_to_table(streams.stream_daily_demand(stream), out, str(tmp_path / "progress"))
-    got = {r["date_"].day: (r["daily_quantity"], r["line_count"]) for r in spark.read.parquet(out).collect()}
+    arrived = spark.read.schema(SCHEMA).parquet(f"{inbox}/*")
+    progress = streams.run_daily_demand(stream, arrived, out, str(tmp_path / "progress"))
+    got = {r["date_"].day: (r["daily_quantity"], r["line_count"]) for r in spark.read.parquet(f"{out}/closed").collect()}
     assert got[1] in ((10.0, 3), (110.0, 4)) and got[2] == (7.0, 1)
     assert 20 not in got  # still open
+    still_open = {r["date_"].day: r["line_count"] for r in spark.read.parquet(f"{out}/open").collect()}
+    assert still_open == {20: 1}
+    # The late row is in neither table, but counted.
+    assert progress.late_rows == (1 if got[1] == (10.0, 3) else 0) and progress.batches >= 5
+    every = streams.read_daily_demand(spark, out)
+    assert {(r["date_"].day, r["is_final"]) for r in every.collect()} == {(1, True), (2, True), (9, True), (20, False)}
+
+
+def test_stored_sketches_unite_to_the_whole(spark):
+    lines = spark.range(60_000).selectExpr(
+        "id % 30 as day", "id % 3 as product_id", "'c' as city_name", "cast(pmod(hash(id), 20000) as string) as order_id"
+    )
+    daily = lines.groupBy("day", "product_id").agg(streams.distinct_sketch("order_id").alias("order_sketch"))
+    for keys in (["product_id"], []):
+        exact = {tuple(r[k] for k in keys): r["n"] for r in lines.groupBy(*keys).agg(F.countDistinct("order_id").alias("n")).collect()}
+        united = streams.unite_sketches(daily, keys).withColumn("n", streams.sketch_count())
+        for r in united.collect():
+            want = exact[tuple(r[k] for k in keys)]
+            assert abs(r["n"] - want) <= 0.05 * want  # three standard errors
+    # United in two steps or one: the same sketch.
+    twice = streams.unite_sketches(streams.unite_sketches(daily, ["product_id"]), []).select(streams.sketch_count()).first()[0]
+    assert twice == streams.unite_sketches(daily, []).select(streams.sketch_count()).first()[0]
+
+
+def validated_by_stream(tables, rows, tmp_path, files, name, per_batch=1, stop_after=None):
+    spark = tables.spark
+    inbox, target = str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out")
+    rows.repartition(files).write.parquet(inbox)
+    stream = streams.read_stream(spark, inbox, rows.schema, files_per_batch=per_batch)
+    streams.stream_validate(stream, tables.products, target, str(tmp_path / f"{name}-progress")).awaitTermination()
+    return target, inbox
+
+
+def read_split(spark, target):
+    good = spark.read.parquet(f"{target}/accepted").drop("batch")
+    bad = spark.read.parquet(f"{target}/rejected").withColumn("errors", F.concat_ws(",", "errors")).drop("batch")
+    bad = bad.groupBy(*[c for c in bad.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
+    return sorted(map(str, good.collect())), sorted(map(str, bad.collect()))
+
+
+@pytest.mark.parametrize("files", [1, 3, 7])
+def test_streamed_validation_equals_the_batch(tables, tmp_path, files):
+    rows = tables.raw_sales.where("order_id < 400")
+    rows = rows.union(rows.where("order_id < 20")).union(rows.where("order_id = 7"))
+    target, _ = validated_by_stream(tables, rows, tmp_path, files, f"n{files}")
+    whole = validation.validate_rows(rows, tables.products)
+    bad = validation.rejected(whole).withColumn("errors", F.concat_ws(",", "errors"))
+    bad = bad.groupBy(*[c for c in bad.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
+    want = sorted(map(str, validation.accepted(whole).collect())), sorted(map(str, bad.collect()))
+    assert read_split(tables.spark, target) == want
+
+
+def test_streamed_validation_goes_on_after_a_restart(tables, tmp_path):
+    spark = tables.spark
+    rows = tables.raw_sales.where("order_id < 60")
+    target, inbox = validated_by_stream(tables, rows, tmp_path, 2, "again")
+    first = read_split(spark, target)
+    # The same rows once more in new files: all of them are repeats now.
+    rows.coalesce(1).write.mode("append").parquet(inbox)
+    stream = streams.read_stream(spark, inbox, rows.schema, files_per_batch=1)
+    streams.stream_validate(stream, tables.products, target, str(tmp_path / "again-progress")).awaitTermination()
+    second = read_split(spark, target)
+    assert second[0] == first[0]
+    copies = spark.read.parquet(f"{target}/rejected").agg(F.sum("copies")).first()[0]
+    assert copies + len(first[0]) == 2 * rows.count()
 
 
 def test_stream_drops_repeats_across_batches(spark, tmp_path):
