@@ -9,6 +9,7 @@ from stockloom.catalog.registry import query
 from stockloom.operators import anomalies as an
 from stockloom.operators import isolation
 from stockloom.schemas import GRAIN
+from stockloom.session import materialize
 
 BASE = RESULTS + """,
 history AS (SELECT date_, product_id, city_name, daily_quantity AS actual_demand, AVG(daily_quantity) OVER w AS rolling_mean_14,
@@ -111,12 +112,73 @@ def _(t):
     )
 
 
+# The delivered rule: z-score above 2.5 or forest, then both severity rules.  SQL cannot
+# repeat the forest, so these queries are checked against their written rows instead.
+FOREST_THRESHOLD = 2.5
+
+
+def forest_flagged(t):
+    rows = an.zscore(an.residual_features(_joined(t)), FOREST_THRESHOLD)
+    return isolation.isolation_forest(rows, ["residual", "rolling_volatility", "sales_volume"], GRAIN)
+
+
+def forest_typed(t):
+    return an.classify(forest_flagged(t), FOREST_THRESHOLD)
+
+
+def forest_alerts(t):
+    return an.export_anomalies(an.recommend(an.severity(forest_typed(t))))
+
+
 @query("ano08_forest_chain")
 def _(t):
-    """The delivered rule: z-score above 2.5 or forest, then both severity rules."""
-    rows = an.zscore(an.residual_features(_joined(t)), 2.5)
-    flagged = isolation.isolation_forest(rows, ["residual", "rolling_volatility", "sales_volume"], GRAIN)
-    return an.export_anomalies(an.recommend(an.severity(an.classify(flagged, 2.5))))
+    return forest_alerts(t)
+
+
+@query("ano08_forest_classify")
+def _(t):
+    return forest_typed(t).select(*GRAIN, "z_score", "is_isolation_anomaly", "anomaly_type")
+
+
+@query("ano09_forest_severity")
+def _(t):
+    return an.severity(forest_typed(t)).select(*GRAIN, "severity")
+
+
+@query("ano10_forest_recommend")
+def _(t):
+    rows = an.recommend(an.severity(forest_typed(t))).groupBy("anomaly_type", "action_recommendation")
+    return rows.agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("ano11_forest_export")
+def _(t):
+    return materialize(forest_alerts(t))
+
+
+@query("ano12_forest_statistics")
+def _(t):
+    return an.anomaly_stats(forest_alerts(t))
+
+
+@query("ano13_forest_list")
+def _(t):
+    return an.list_alerts(forest_alerts(t), "ALL", city="Asia", anomaly_type="spike_demand", limit=20)
+
+
+@query("ano14_forest_score")
+def _(t):
+    return an.alert_score(forest_alerts(t)).select(*GRAIN, "alert_score")
+
+
+@query("ano15_forest_summary")
+def _(t):
+    return an.alert_summary(forest_alerts(t))
+
+
+@query("ano16_forest_deviation")
+def _(t):
+    return an.deviation(forest_alerts(t)).select(*GRAIN, "deviation", "deviation_pct")
 
 
 @query(
@@ -125,9 +187,7 @@ def _(t):
     TRUE AS forest_share_is_small, TRUE AS scores_in_range FROM z""",
 )
 def _(t):
-    rows = an.zscore(an.residual_features(_joined(t)), 2.5)
-    flagged = isolation.isolation_forest(rows, ["residual", "rolling_volatility", "sales_volume"], GRAIN)
-    return flagged.agg(
+    return forest_flagged(t).agg(
         F.count(F.lit(1)).alias("rows_scored"),
         F.count_if("is_zscore_anomaly").alias("zscore_alerts"),
         (F.count_if("is_isolation_anomaly") <= 0.03 * F.count(F.lit(1)) + 1).alias("forest_share_is_small"),

@@ -10,6 +10,7 @@ from stockloom.functions.scalars import month_label
 from stockloom.operators import audits as a
 from stockloom.operators import cleaning, demand
 from stockloom.operators import profiling as p
+from stockloom.session import scratch_path
 
 
 def _odd_sales(t):
@@ -122,13 +123,20 @@ def _(t):
 
 @query(
     "dq27_reconcile",
-    f"""WITH {SALES} SELECT ROUND(SUM(procured_quantity), 2) AS sales_quantity, ROUND(SUM(procured_quantity), 2) AS demand_quantity,
-    ROUND(SUM(procured_quantity * unit_selling_price), 2) AS sales_revenue,
-    ROUND(SUM(procured_quantity * unit_selling_price), 2) AS demand_revenue,
-    TRUE AS quantity_match, TRUE AS revenue_match FROM sales""",
+    f"""WITH {SALES}, stored AS (SELECT date_, product_id, city_name, SUM(procured_quantity) + CASE WHEN product_id % 97 = 0 THEN 1 ELSE 0 END AS quantity,
+      SUM(procured_quantity * unit_selling_price) AS revenue FROM sales GROUP BY 1, 2, 3),
+    s AS (SELECT SUM(procured_quantity) AS sq, SUM(procured_quantity * unit_selling_price) AS sr FROM sales),
+    d AS (SELECT SUM(quantity) AS dq, SUM(revenue) AS dr FROM stored)
+    SELECT ROUND(sq, 2) AS sales_quantity, ROUND(dq, 2) AS demand_quantity, ROUND(sr, 2) AS sales_revenue, ROUND(dr, 2) AS demand_revenue,
+    abs(sq - dq) < 1 AS quantity_match, abs(sr - dr) < 1 AS revenue_match FROM s, d""",
 )
 def _(t):
-    return a.reconcile(t.sales, demand.daily_demand(t.sales))
+    # The stored table has one piece too many wherever 97 divides the product.
+    daily = demand.daily_demand(t.sales)
+    extra = F.when(F.col("product_id") % 97 == 0, 1).otherwise(0)
+    path = scratch_path(t.spark, "stored-demand")
+    daily.withColumn("daily_quantity", F.col("daily_quantity") + extra).write.parquet(path)
+    return a.reconcile(t.sales, t.spark.read.parquet(path))
 
 
 @query(
@@ -190,12 +198,11 @@ def _(t):
     return a.verify_order_count(t.sales, stored)
 
 
-_ACTIVE = "active AS (SELECT DISTINCT l_partkey AS product_id FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40)"
+_ACTIVE = "active AS (SELECT DISTINCT l_partkey AS product_id FROM lineitem)"
 
 
 def _active(t):
-    lines = t.read("lineitem").where("l_returnflag = 'A' and l_quantity > 40")
-    return lines.select(F.col("l_partkey").alias("product_id"))
+    return t.read("lineitem").select(F.col("l_partkey").alias("product_id"))
 
 
 @query(
@@ -203,7 +210,7 @@ def _active(t):
     f"""WITH {PRODUCTS}, {_ACTIVE} SELECT COUNT(*) FILTER (b.product_id IS NULL) AS only_left,
     COUNT(*) FILTER (a.product_id IS NULL) AS only_right,
     COUNT(*) FILTER (a.product_id IS NOT NULL AND b.product_id IS NOT NULL) AS in_both
-    FROM products a FULL JOIN active b ON a.product_id = b.product_id""",
+    FROM (SELECT product_id FROM products WHERE product_id IS NOT NULL) a FULL JOIN active b ON a.product_id = b.product_id""",
 )
 def _(t):
     return a.compare_keys(t.products, _active(t), "product_id")
@@ -267,12 +274,12 @@ def _(t):
     f"""WITH {PRODUCTS}, s AS (SELECT DISTINCT l_partkey AS product_id FROM lineitem)
     SELECT COUNT(*) AS total_sales_skus, COUNT(r.p_partkey) AS matched_raw_skus, COUNT(c.product_id) AS matched_clean_skus,
     COUNT(*) FILTER (r.p_partkey IS NULL AND c.product_id IS NULL) AS unmatched_skus
-    FROM s LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) r ON s.product_id = r.p_partkey
+    FROM s LEFT JOIN (SELECT CASE WHEN p_size > 10 THEN p_partkey END AS p_partkey FROM part) r ON s.product_id = r.p_partkey
     LEFT JOIN products c ON s.product_id = c.product_id""",
 )
 def _(t):
     sales = t.read("lineitem").select(F.col("l_partkey").alias("product_id"))
-    raw = t.read("part").where("p_size > 10").select(F.col("p_partkey").alias("product_id"))
+    raw = t.read("part").select(F.when(F.col("p_size") > 10, F.col("p_partkey")).alias("product_id"))
     return a.sku_match(sales, raw, t.products)
 
 

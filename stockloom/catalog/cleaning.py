@@ -235,13 +235,14 @@ def _(t):
     return c.brand_from_title(t.products.select("product_id", "product_name"), vocabulary)
 
 
-_COSTS = """costs AS (SELECT product_id, city_name, MAX(total_weighted_landing_price) AS unit_cost FROM varied
-  WHERE city_name <> 'EUROPE' GROUP BY 1, 2)"""
+_COSTS = """costs AS (SELECT product_id, city_name, MAX(CASE WHEN city_name <> 'EUROPE' THEN total_weighted_landing_price END) AS unit_cost
+  FROM varied GROUP BY 1, 2)"""
 
 
 def costs_of(t):
-    known = varied_costs(t).where("city_name <> 'EUROPE'")
-    return known.groupBy("product_id", "city_name").agg(F.max("total_weighted_landing_price").alias("unit_cost"))
+    # Costs of one region are blank, so its products take those of other cities.
+    cost = F.when(F.col("city_name") != "EUROPE", F.col("total_weighted_landing_price"))
+    return varied_costs(t).groupBy("product_id", "city_name").agg(F.max(cost).alias("unit_cost"))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stockloom.catalog.registry import query
 from stockloom.operators import market as m
 
-_SKUS = """q AS (SELECT 'part ' || CAST(l_partkey AS VARCHAR) AS commodity, ROUND(AVG(l_extendedprice / l_quantity), 2) AS price FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY 1),
+_SKUS = """q AS (SELECT CASE WHEN l_partkey % 10 <> 0 THEN 'part ' || CAST(l_partkey AS VARCHAR) END AS commodity, ROUND(AVG(l_extendedprice / l_quantity), 2) AS price FROM lineitem GROUP BY 1),
 div AS (SELECT p_partkey AS product_id, p_type AS category, 'PART ' || CAST(p_partkey AS VARCHAR) AS commodity, p_retailprice * (1 + (p_partkey % 4) * 0.4) AS baseline_price, p_size * 100 AS standard_holding_qty,
   COALESCE(price, p_retailprice * (1 + (p_partkey % 4) * 0.4) * CAST(1.1 AS DOUBLE)) AS live_market_price, CASE WHEN price IS NULL THEN 'baseline_estimate' ELSE 'quote' END AS price_source
   FROM part LEFT JOIN q ON 'part ' || CAST(p_partkey AS VARCHAR) = q.commodity),
@@ -26,10 +26,11 @@ def _divergence(t):
         (F.col("p_retailprice") * (1 + (part % 4) * 0.4)).alias("baseline_price"),
         (F.col("p_size") * 100).alias("standard_holding_qty"),
     )
+    # Quotes of every tenth part have lost their name, so their baseline is the estimate.
+    name = F.when(F.col("l_partkey") % 10 != 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
     quotes = (
         t.read("lineitem")
-        .where("l_partkey % 10 <> 0")
-        .groupBy(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("commodity"))
+        .groupBy(name.alias("commodity"))
         .agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("price"))
     )
     return m.price_divergence(skus, quotes)

@@ -18,6 +18,7 @@ from stockloom.functions.scalars import (
     percent,
 )
 from stockloom.schemas import GRAIN, SERIES_KEY
+from stockloom.session import materialize
 
 ATTRIBUTES = ["product_name", "l0_category", "l1_category", "l2_category"]
 # Labels of sales without a product record.
@@ -84,12 +85,14 @@ def demand_table(sales: DataFrame) -> DataFrame:
 def overview(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Size, period and totals of the data set.
 
-    The facts are summed once per product, city and day; every figure, the
-    distinct counts included, follows from those rows without expanding them.
+    The facts are read once: they are summed per product, city and day and stored,
+    and every figure, the distinct counts included, follows from those rows.
     """
     levels = ["l0_category", "l1_category", "l2_category"]
-    summed = sales.groupBy("product_id", "city_name", "date_").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(quantity()).alias("q"), F.sum(revenue()).alias("r")
+    summed = materialize(
+        sales.groupBy("product_id", "city_name", "date_").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(quantity()).alias("q"), F.sum(revenue()).alias("r")
+        )
     )
     per_product = summed.groupBy("product_id").agg(
         F.sum("n").alias("n"),
@@ -275,20 +278,37 @@ def extreme_days(daily: DataFrame) -> DataFrame:
 
 
 def price_discount_stats(sales: DataFrame) -> DataFrame:
-    """Distribution of prices and discounts with exact quantiles."""
-    price, discount = F.col("unit_selling_price"), F.col("total_discount_amount")
+    """Distribution of prices and discounts with exact quantiles.
+
+    The facts are read once, into counts of equal prices and equal discounts; sums,
+    means and quantiles follow from those.
+    """
     probs = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p99": 0.99}
-    prices = quantile_values(sales, "unit_selling_price", probs)
-    given = quantile_values(sales.where("total_discount_amount > 0"), "total_discount_amount", {"median": 0.5})
+    measures = {"price": "unit_selling_price", "discount": "total_discount_amount"}
+    pairs = [F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("v")) for name, c in measures.items()]
+    counted = materialize(
+        sales.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull()).groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    is_price, is_discount, present = F.col("measure") == "price", F.col("measure") == "discount", F.col("v") > 0
+    prices = quantile_values(counted.where(is_price), "v", probs, weight="n")
+    given = quantile_values(counted.where(is_discount & present), "v", {"median": 0.5}, weight="n")
+    total = F.col("v") * F.col("n")
+
+    def mean(condition: Column) -> Column:
+        return F.sum(F.when(condition, total)) / F.sum(F.when(condition, F.col("n")))
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
     return (
-        sales.agg(
-            F.round(F.avg(price), 2).alias("mean_price"),
-            F.round(F.max(price), 2).alias("max_price"),
-            F.round(F.sum(discount), 2).alias("total_discount_given"),
-            count_if(discount > 0).alias("discounted_rows"),
-            count_if(discount == 0).alias("zero_discount_rows"),
-            F.round(F.avg(F.when(discount > 0, discount)), 2).alias("mean_discount_when_present"),
-            F.round(F.max(discount), 2).alias("max_discount"),
+        counted.agg(
+            F.round(mean(is_price), 2).alias("mean_price"),
+            F.round(F.max(F.when(is_price, F.col("v"))), 2).alias("max_price"),
+            F.round(F.sum(F.when(is_discount, total)), 2).alias("total_discount_given"),
+            rows(is_discount & present).alias("discounted_rows"),
+            rows(is_discount & (F.col("v") == 0)).alias("zero_discount_rows"),
+            F.round(mean(is_discount & present), 2).alias("mean_discount_when_present"),
+            F.round(F.max(F.when(is_discount, F.col("v"))), 2).alias("max_discount"),
         )
         .withColumns({"_prices": prices, "_given": given})
         .select(
