@@ -21,9 +21,10 @@ def rule(r):
         return None
     kind = "SPIKE_DEMAND" if r.residual > 0 or r.z_score > 2.5 else "DROP_STOCKOUT"
     z, actual, expected = abs(r.z_score), r.actual_demand, r.expected_demand
-    if z >= 4 or (actual <= 10 and expected >= 150) or (r.residual >= 300 and z >= 3.5):
+    both, gap = abs(r.z_score) > 2.5 and r.is_isolation_anomaly, abs(r.residual)
+    if z >= 4 or (both and gap >= 100 and z >= 3) or (actual <= 10 and expected >= 150) or (r.residual >= 300 and z >= 3.5):
         severity = "CRITICAL"
-    elif z >= 2.8 or (actual < 0.3 * expected and expected >= 100):
+    elif z >= 2.8 or (r.is_isolation_anomaly and gap >= 75) or (actual < 0.3 * expected and expected >= 100):
         severity = "MEDIUM"
     else:
         severity = "LOW"
