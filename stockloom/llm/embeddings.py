@@ -1,17 +1,20 @@
 """Near-duplicate vectors: random-hyperplane hashing, exact cosines, components.
 
 Equal vectors are one node with a multiplicity.  In each of several tables a
-vector's bucket is the sign pattern of its products with random hyperplanes; the
-number of signs follows the number of distinct vectors, so that a bucket of
-unrelated vectors stays small, and the number of tables follows from the wanted
-recall of a pair exactly at the threshold.  Inside a bucket all cosines are
-computed as one matrix product in double precision.
+vector's bucket is the sign pattern of its products with random hyperplanes.
+Buckets are as large as a task can hold (32 MiB in double precision), so few signs
+and few tables are needed and a vector is shuffled only as often as there are
+tables; inside a bucket a second family of smaller tables, which costs memory of
+the task but no shuffle, says which vectors to compare.  Both numbers of tables
+follow from the wanted recall of a pair exactly at the threshold, half of the
+misses each.  Cosines are matrix products in double precision.
 
 A pair that shares buckets in several tables is counted in the first one: both
 sides carry their signatures, so this is seen without collecting pairs.  Tasks
 return one row per vector with its number of links, and a spanning forest of the
 links, never the pairs.  A bucket with more than ``block`` vectors is cut into
-blocks, and each pair of blocks is a task of its own.
+blocks, and each pair of blocks is a task of its own.  With a recall of 1 there is
+one bucket, so all pairs are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -32,14 +35,17 @@ from stockloom.session import materialize
 THRESHOLD = 0.9
 RECALL = 0.998
 BUCKET = 128
-BLOCK = 2048
+BLOCK_BYTES = 32 << 20
+COMPARED = 1 << 22
 SEED = 11
 
 
 def table_plan(distinct: int, threshold: float, recall: float, bucket: int) -> tuple[int, int]:
-    """(signs per table, tables) for ``distinct`` vectors."""
+    """(signs per table, tables) for ``distinct`` vectors in buckets of about ``bucket``."""
     agree = 1 - math.acos(threshold) / math.pi
-    signs = max(4, min(60, math.ceil(math.log2(max(2, distinct / bucket)))))
+    signs = min(60, math.ceil(math.log2(max(1, distinct / bucket))))
+    if recall >= 1 or signs == 0:
+        return 0, 1
     hit = agree**signs
     return signs, max(1, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
 
@@ -91,11 +97,13 @@ def count_links(units: np.ndarray, copies: np.ndarray, earlier: np.ndarray, spli
     n = len(units)
     links, root = np.zeros(n, dtype=np.int64), np.arange(n)
     begin = split if split < n else 0
-    for start in range(0, split, 256):
-        close = units[start : min(start + 256, split)] @ units[begin:].T >= threshold
+    step = max(1, COMPARED // max(n, 1))
+    for start in range(0, split, step):
+        close = units[start : min(start + step, split)] @ units[begin:].T >= threshold
+        if begin == 0:
+            close = np.triu(close, start + 1)
         for a in start + np.flatnonzero(close.any(axis=1)):
             others = begin + np.flatnonzero(close[a - start])
-            others = others[others > a]
             others = others[~(earlier[others] == earlier[a]).any(axis=1)]
             if not len(others):
                 continue
@@ -107,7 +115,30 @@ def count_links(units: np.ndarray, copies: np.ndarray, earlier: np.ndarray, spli
     return links, root
 
 
-def bucket_links(nodes: DataFrame, threshold: float, signs: int, tables: int, block: int, seed: int) -> DataFrame:
+def local_links(units, copies, earlier, far, threshold: float, recall: float, bucket: int, seed: int):
+    """Yields (rows, links, root) of each small bucket of the vectors of one task.
+
+    ``far`` marks the second block of a pair of blocks, behind the first; rows are then
+    compared across.  Every task draws its planes from the same seed.
+    """
+    n, cross = len(units), bool(far.any())
+    signs, tables = table_plan(n, threshold, recall, bucket)
+    marks = _signatures(units, signs, tables, seed)
+    for t in range(tables):
+        order = np.argsort(marks[:, t], kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(marks[order, t])) + 1, n)
+        for start, end in zip(np.append(0, ends[:-1]), ends):
+            rows = order[start:end]
+            split = int((~far[rows]).sum()) if cross else len(rows)
+            if len(rows) < 2 or cross and split in (0, len(rows)):
+                continue
+            met = np.hstack([earlier[rows], marks[rows, :t]])
+            yield rows, *count_links(units[rows], copies[rows], met, split, threshold)
+
+
+def bucket_links(
+    nodes: DataFrame, threshold: float, recall: float, signs: int, tables: int, bucket: int, block: int, seed: int
+) -> DataFrame:
     """Per bucket and linked vector (node, links, joined): copies linked there, and one forest edge."""
     key = ["table", "bucket", "length"]
     short = nodes.schema["vector"].dataType.elementType == T.FloatType()
@@ -177,10 +208,15 @@ def bucket_links(nodes: DataFrame, threshold: float, signs: int, tables: int, bl
         values, marks = members["values"].to_pylist(), members["earlier"].to_pylist()
         units = _unit_rows(np.frombuffer(b"".join(values[k] for k in order), dtype=kind).reshape(len(order), -1))
         earlier = np.frombuffer(b"".join(marks[k] for k in order), dtype="<i8").reshape(len(order), table)
-        split = len(names) if low == high else int(np.searchsorted(own, low, side="right"))
-        links, root = count_links(units, copies, earlier, split, threshold)
-        touched = np.flatnonzero(links)
-        return pa.table({"node": names[touched], "links": links[touched], "joined": names[root[touched]]}, schema=linked)
+        far = own == high if low != high else np.zeros(len(names), dtype=bool)
+        found = [
+            (names[rows[touched]], links[touched], names[rows[root[touched]]])
+            for rows, links, root in local_links(units, copies, earlier, far, threshold, recall, bucket, seed + 1)
+            if len(touched := np.flatnonzero(links))
+        ]
+        if not found:
+            return linked.empty_table()
+        return pa.table([np.concatenate(column) for column in zip(*found)], schema=linked)
 
     linked = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("joined", pa.int64())])
     out_schema = T.StructType([T.StructField(name, T.LongType()) for name in ("node", "links", "joined")])
@@ -192,7 +228,7 @@ def near_vectors(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     bucket: int = BUCKET,
-    block: int = BLOCK,
+    block: int | None = None,
     seed: int = SEED,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
@@ -205,11 +241,16 @@ def near_vectors(
     component and is kept.  Repeated rows link with each other; rows that share an id
     but not a vector are separate vectors with one name, so their links are one
     component.  Labels and other columns are not read; an empty table gives no rows.
+    ``block``, the most vectors of one task's side, is by default what fits in
+    ``BLOCK_BYTES``; a recall of 1 is exact and compares all pairs, block by block.
     """
     rows, nodes = distinct_vectors(vectors, id_column, vector_column)
     nodes = materialize(nodes)
-    signs, tables = table_plan(nodes.count(), threshold, recall, bucket)
-    found = materialize(bucket_links(nodes, threshold, signs, tables, block, seed))
+    distinct, length = nodes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    block = block or max(1, BLOCK_BYTES // (8 * (length or 1)))
+    each = (1 + recall) / 2
+    signs, tables = table_plan(distinct, threshold, each, max(1, block // 2))
+    found = materialize(bucket_links(nodes, threshold, each, signs, tables, bucket, block, seed))
     linked = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
     reached = connected_components(found, "node", "joined").withColumnRenamed("node", "reached")
     of_vector = (

@@ -55,6 +55,29 @@ def test_links_and_components(llm, block, bucket):
     assert found == wanted
 
 
+@pytest.mark.parametrize("recall,block,bucket", [(1.0, 40, 4), (0.9999999, 60, 8)])
+def test_exact_mode_and_small_tables_inside_blocks(llm, recall, block, bucket):
+    rows = clusters(3, 220)
+    df = llm.createDataFrame(rows, SCHEMA)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(df, recall=recall, block=block, bucket=bucket).collect()}
+    assert found == {row[0]: result for row, result in zip(rows, slow(rows))}
+
+
+def test_small_tables_inside_a_pair_of_blocks():
+    """Every pair across the blocks is counted once, in whichever small table it meets first."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 16))
+    units = E._unit_rows(centres[rng.integers(0, 40, 600)] + 0.15 * rng.standard_normal((600, 16)))
+    far = np.arange(600) >= 350
+    counted = np.zeros(600, dtype=int)
+    none, once = np.zeros((600, 0), dtype=np.int64), np.ones(600, dtype=np.int64)
+    for rows, links, _ in E.local_links(units, once, none, far, 0.9, 0.999999, 16, 5):
+        counted[rows] += links
+    close = units @ units.T >= 0.9
+    assert (counted == np.where(far, close[:, ~far].sum(axis=1), close[:, far].sum(axis=1))).all()
+    assert counted.sum() > 1000
+
+
 def test_odd_rows(llm):
     nan, inf = float("nan"), float("inf")
     rows = [
