@@ -57,7 +57,7 @@ def test_links_and_components(llm, block, bucket):
 
 @pytest.mark.parametrize("recall,block,bucket", [(1.0, 40, 4), (0.9999999, 60, 8)])
 def test_exact_mode_and_small_tables_inside_blocks(llm, recall, block, bucket):
-    rows = clusters(3, 220)
+    rows = clusters(3, 200)
     df = llm.createDataFrame(rows, SCHEMA)
     found = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(df, recall=recall, block=block, bucket=bucket).collect()}
     assert found == {row[0]: result for row, result in zip(rows, slow(rows))}
