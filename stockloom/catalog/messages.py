@@ -157,6 +157,49 @@ def _(t):
     return ms.retrieve(tagged, figures)
 
 
+_REGIONS = {"der": "EUROPE", "que": "AFRICA", "sch": "ASIA"}
+_REGIONS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{v}' END" for k, v in _REGIONS.items())
+
+
+@query(
+    "txt05_evidence",
+    f"""WITH {SALES}, {TABLE}, f AS (SELECT product_id, city_name, SUM(total_quantity) AS q, SUM(order_count) AS o, MAX(total_quantity) AS m, COUNT(*) AS n FROM demand GROUP BY 1, 2),
+    s AS (SELECT 'inventory' AS kind, 5 AS most, product_id, city_name, CAST(o AS DOUBLE) AS value FROM f UNION ALL SELECT 'anomaly', 5, product_id, city_name, CAST(m AS DOUBLE) FROM f
+      UNION ALL SELECT 'forecast', 6, product_id, city_name, CAST(n AS DOUBLE) FROM f UNION ALL SELECT 'sales', 5, product_id, city_name, CAST(q AS DOUBLE) FROM f),
+    said AS (SELECT conv_id, turn, {_INTENT_SQL} AS intent, list_sort(list_distinct([x FOR x IN [{_REGIONS_SQL}] IF x IS NOT NULL])) AS cities,
+      list_sort(list_distinct([CAST(x AS BIGINT) FOR x IN regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+') IF regexp_full_match(x, '[0-9]{{3,7}}')])) AS ids FROM conversations),
+    asked AS (SELECT DISTINCT intent, ids, cities FROM said),
+    met AS (SELECT intent, ids, cities, kind, most, product_id, city_name, value,
+      ROW_NUMBER() OVER (PARTITION BY intent, ids, cities, kind ORDER BY value DESC, product_id, city_name) AS place
+      FROM asked JOIN s ON (len(ids) = 0 OR kind = 'sales' OR list_contains(ids, product_id)) AND (len(cities) = 0 OR list_contains(cities, city_name))
+      WHERE kind = 'sales' OR (kind = 'inventory' AND (intent = 'STOCKOUT_INVENTORY' OR len(ids) > 0)) OR (kind = 'anomaly' AND intent = 'ANOMALY_ALERTS')
+        OR (kind = 'forecast' AND intent IN ('FORECAST_INQUIRY', 'STOCKOUT_INVENTORY'))),
+    best AS (SELECT *, SUM(CASE WHEN kind IN ('inventory', 'anomaly') THEN 1 ELSE 0 END) OVER (PARTITION BY intent, ids, cities) AS early FROM met WHERE place <= most),
+    kept AS (SELECT * FROM best WHERE kind <> 'forecast' OR intent = 'FORECAST_INQUIRY' OR early < 2),
+    final AS (SELECT *, SUM(CASE WHEN kind <> 'sales' THEN 1 ELSE 0 END) OVER (PARTITION BY intent, ids, cities) AS others FROM kept)
+    SELECT conv_id, turn, intent, array_to_string(cities, ',') AS cities, kind, CAST(place AS INTEGER) AS place, product_id, city_name, value
+    FROM said JOIN final USING (intent, ids, cities) WHERE kind <> 'sales' OR intent IN ('SALES_REVENUE', 'GENERAL_INTELLIGENCE') OR others < 1""",
+)
+def _(t):
+    said = ms.extract_numbers(ms.tag_intent(t.read("conversations"), rules=_INTENTS), synonyms=_REGIONS)
+    said = said.select("conv_id", "turn", "intent", F.col("skus").cast("array<bigint>").alias("product_ids"), "cities")
+    figures = d.demand_table(t.sales).groupBy("product_id", "city_name")
+    figures = ms.materialize(
+        figures.agg(
+            F.sum("total_quantity").alias("quantity"), F.sum("order_count").alias("orders"),
+            F.max("total_quantity").alias("peak"), F.count(F.lit(1)).alias("days"),
+        )
+    )
+    sources = {
+        "inventory": ms.Source(figures, "orders", 5, ("STOCKOUT_INVENTORY",), named=True),
+        "anomaly": ms.Source(figures, "peak", 5, ("ANOMALY_ALERTS",)),
+        "forecast": ms.Source(figures, "days", 6, ("FORECAST_INQUIRY",), below=2, fill=("STOCKOUT_INVENTORY",)),
+        "sales": ms.Source(figures, "quantity", 5, ("SALES_REVENUE", "GENERAL_INTELLIGENCE"), by_product=False, below=1),
+    }
+    rows = ms.evidence(said, sources)
+    return rows.withColumn("cities", F.array_join("cities", ",")).drop("product_ids")
+
+
 @query(
     "txt06_citations",
     """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS citation_count, CASE WHEN event_id % 5 <> 0 THEN event_type END AS first_type,

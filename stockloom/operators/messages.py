@@ -7,6 +7,7 @@ any size is tagged in one pass.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -255,6 +256,83 @@ def retrieve(messages: DataFrame, figures: dict[str, tuple[DataFrame, str, int]]
     return asked.join(prepared, ["intent", "city"])
 
 
+@dataclass(frozen=True)
+class Source:
+    """A figure table (product_id, city_name, ``order``) that can answer messages.
+
+    It is asked by ``intents``, by messages that name a product if ``named``, and, while
+    the sources before it gave fewer than ``below`` rows, by ``fill`` (None: all intents).
+    ``by_product`` tells whether named products narrow its rows.
+    """
+
+    table: DataFrame
+    order: str
+    n: int
+    intents: tuple[str, ...]
+    by_product: bool = True
+    named: bool = False
+    below: int = 0
+    fill: tuple[str, ...] | None = None
+
+
+def evidence(messages: DataFrame, sources: dict[str, Source]) -> DataFrame:
+    """Columns of ``messages`` with kind, place, product_id, city_name and value of each answer.
+
+    ``messages`` has intent, product_ids and cities (null or empty: any).  Equal requests
+    are answered once.  The best rows are prepared per product or all and city or all,
+    cut before the shuffle, so a request meets at most products x cities x n rows.
+    Messages without any answer give no row; repeated messages come as often as they are.
+    """
+    key = ["intent", "product_ids", "cities"]
+    lists = {"product_ids": F.expr("cast(array() as array<bigint>)"), "cities": F.expr("cast(array() as array<string>)")}
+    asked = messages.withColumns(
+        {c: F.sort_array(F.array_distinct(F.array_compact(F.coalesce(c, none)))) for c, none in lists.items()}
+    )
+    requests = materialize(asked.select(*key).distinct())
+    answers = ["product_id", "city_name", "value"]
+    best_first = [F.desc("value"), "product_id", "city_name"]
+    found, kinds = None, list(sources)
+    for number, (kind, source) in enumerate(sources.items()):
+        products = F.array(F.lit(""), F.col("product_id").cast("string")) if source.by_product else F.array(F.lit(""))
+        prepared = (
+            source.table.select("product_id", "city_name", F.col(source.order).cast("double").alias("value"))
+            .select(*answers, F.explode(products).alias("at_product"))
+            .select("*", F.explode(F.array(F.lit(""), "city_name")).alias("at_city"))
+            .withColumn("_k", F.row_number().over(Window.partitionBy("at_product", "at_city").orderBy(*best_first)))
+            .where(F.col("_k") <= source.n)
+            .drop("_k")
+        )
+        wanted = F.col("intent").isin(*source.intents)
+        if source.named:
+            wanted = wanted | (F.size("product_ids") > 0)
+        if source.below:
+            wanted = F.lit(True) if source.fill is None else wanted | F.col("intent").isin(*source.fill)
+        any_of = F.array(F.lit(""))
+        at = F.col("product_ids").cast("array<string>")
+        narrowed = F.when(F.size(at) > 0, at).otherwise(any_of) if source.by_product else any_of
+        lookups = (
+            requests.where(wanted)
+            .select(*key, F.explode(narrowed).alias("at_product"))
+            .select("*", F.explode(F.when(F.size("cities") > 0, F.col("cities")).otherwise(any_of)).alias("at_city"))
+        )
+        part = lookups.join(prepared, ["at_product", "at_city"]).select(*key, F.lit(number).alias("_kind"), *answers)
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(Window.partitionBy(*key, "_kind").orderBy(*best_first))
+    limits = F.element_at(F.array(*[F.lit(s.n) for s in sources.values()]), F.col("_kind") + 1)
+    found = found.withColumn("place", place).where(F.col("place") <= limits)
+    for number, source in enumerate(sources.values()):
+        if source.below:
+            before = F.sum((F.col("_kind") < number).cast("int")).over(Window.partitionBy(*key))
+            own = F.col("intent").isin(*source.intents)
+            if source.named:
+                own = own | (F.size("product_ids") > 0)
+            found = found.withColumn("_before", before).where(
+                (F.col("_kind") != number) | own | (F.col("_before") < source.below)
+            )
+    names = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("_kind") + 1)
+    return asked.join(found.select(*key, names.alias("kind"), "place", *answers), key)
+
+
 CITATION_SCHEMA = "citations array<struct<type: string, title: string, product_id: bigint, city: string>>"
 
 
