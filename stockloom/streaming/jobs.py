@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from stockloom.operators.validation import accepted, rejected, validate_rows
@@ -20,7 +21,6 @@ from stockloom.session import ship_package
 STATE_GROUPS = 4096
 # Size of a distinct-count sketch: 2^12 registers, a standard error of 1.6 %.
 SKETCH_BITS = 12
-_ROW = "digest string, row string, copies long"
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -36,9 +36,9 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 
 
 class _SeenRows(StatefulProcessor):
-    """Tells how many copies of a row came before; counts are kept in the state store."""
+    """Tells whether a row came before; counts are kept in the state store."""
 
-    def __init__(self, keep_ms: int | None):
+    def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,8 +46,8 @@ class _SeenRows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            earlier = [self._count(digest, copies) for digest, copies in zip(batch["digest"], batch["copies"])]
-            yield batch[["digest", "row", "copies"]].assign(earlier=earlier)
+            new = [self._count(digest, copies) == 0 for digest, copies in zip(batch["digest"], batch["copies"])]
+            yield batch.drop(columns="state_group").assign(new=new)
 
     def _count(self, digest: str, copies: int) -> int:
         found = self.seen.getValue((digest,))
@@ -62,39 +62,48 @@ class _SeenRows(StatefulProcessor):
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies of a row that stand in one Arrow batch as one row with their number."""
     for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by(["digest", "row"]).aggregate([([], "count_all")])
-        names = {"count_all": "copies"}
-        yield from table.rename_columns([names.get(c, c) for c in table.column_names]).select(["digest", "row", "copies"]).to_batches()
+        columns = batch.schema.names
+        table = pa.Table.from_batches([batch]).group_by(columns).aggregate([([], "count_all")])
+        yield from table.select([*columns, "count_all"]).rename_columns([*columns, "copies"]).to_batches()
 
 
 def seen_before(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """(digest, row, copies, earlier) of a stream of (digest, row): copies that came earlier.
+    """A stream of rows with their ``digest`` as (..., copies, new), to be summed within a batch.
 
-    The state store holds one entry per digest; a batch touches the entries of its
-    own rows alone, whatever came before.  Copies are counted before the shuffle, so
-    a row that comes very often is a few rows to its group.  ``keep_ms`` forgets a
-    digest that has not come for so long.
+    Per row of a batch ``copies`` adds up to how often it stands there, and one line
+    has ``new`` if it came in no batch before.  The state store holds one entry per
+    digest; a batch touches the entries of its own rows alone, whatever came before.
+    Spark itself looks the digests up, as a call into Python per row takes longer than
+    all the rest.  Copies in one Arrow batch become one row before the shuffle, so a
+    row that comes very often is a few rows to its task.
+
+    ``keep_ms`` forgets a digest that has not come for so long.  Spark's own repeats
+    expire by their first arrival, so these counts are kept row by row in Python.
     """
-    group = F.pmod(F.xxhash64("digest"), F.lit(STATE_GROUPS)).alias("state_group")
+    counted = rows.mapInArrow(_copies, T.StructType([*rows.schema.fields, T.StructField("copies", T.LongType())]))
+    if keep_ms is None:
+        first = counted.drop("copies").dropDuplicates(["digest"])
+        parts = [(rows, 1, False), (first, 0, True)]
+        lines = [df.withColumns({"copies": F.lit(n).cast("long"), "new": F.lit(new)}) for df, n, new in parts]
+        return lines[0].unionByName(lines[1])
     return (
-        rows.mapInArrow(_copies, _ROW)
-        .select("*", group)
+        counted.withColumn("state_group", F.pmod(F.xxhash64("digest"), F.lit(STATE_GROUPS)))
         .groupBy("state_group")
         .transformWithStateInPandas(
             _SeenRows(keep_ms),
-            outputStructType=f"{_ROW}, earlier long",
+            outputStructType=T.StructType([*counted.schema.fields, T.StructField("new", T.BooleanType())]),
             outputMode="Append",
-            timeMode="None" if keep_ms is None else "ProcessingTime",
+            timeMode="ProcessingTime",
         )
     )
 
 
 def use_state_store(spark: SparkSession) -> None:
     """Named state needs the RocksDB store; it also keeps state out of the executors' heap."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    store = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # Counting the entries would look every new one up a second time.
+    spark.conf.set(f"{store}.rocksdb.trackTotalNumberOfRows", "false")
 
 
 def stream_validate(
@@ -102,7 +111,7 @@ def stream_validate(
 ) -> StreamingQuery:
     """Split arriving text rows into accepted and rejected tables.
 
-    The state store tells how often a row came in earlier batches, so a row seen
+    The state store tells whether a row came in earlier batches, so a row seen
     before is a repeat however the files were dealt into batches, and the work of a
     batch depends on its own rows only.  Each micro-batch writes below its own batch
     number, so a batch repeated after a failure overwrites its first attempt; Spark
@@ -112,18 +121,16 @@ def stream_validate(
     ship_package(spark)
     use_state_store(spark)
     text = F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"})
-    rows = raw.select(F.sha2(text, 256).alias("digest"), text.alias("row"))
+    rows = raw.select(*[F.col(c).cast("string").alias(c) for c in SALES_COLUMNS], F.sha2(text, 256).alias("digest"))
 
     def split(batch: DataFrame, number: int) -> None:
-        columns = ", ".join(f"`{c}` string" for c in SALES_COLUMNS)
-        once = batch.groupBy("digest", "row").agg(F.sum("copies").alias("_total"), F.min("earlier").alias("_earlier"))
-        once = once.select(F.from_json("row", columns).alias("row"), "_total", "_earlier").select("row.*", "_total", "_earlier")
-        validated = validate_rows(once, products, by=["_total", "_earlier"])
+        once = batch.groupBy(*SALES_COLUMNS).agg(F.sum("copies").alias("_total"), F.max("new").alias("_new"))
+        validated = validate_rows(once, products, by=["_total", "_new"])
 
         def copy(n: Column, repeated: bool) -> Column:
             return F.struct(n.alias("copies"), F.lit(repeated).alias("repeated"))
 
-        new, total = F.col("_earlier") == 0, F.col("_total")
+        new, total = F.col("_new"), F.col("_total")
         parts = F.array(F.when(new, copy(F.lit(1).cast("long"), False)), copy(F.when(new, total - 1).otherwise(total), True))
         parts = F.filter(parts, lambda p: p.isNotNull() & (p["copies"] > 0))
         validated = validated.drop("copies").withColumn("_c", F.explode(parts))

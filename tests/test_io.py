@@ -213,3 +213,27 @@ def test_profile_cleaning_and_inventory_jobs(tables):
     stock = daily.select("product_id", "city_name").distinct().withColumn("current_stock", F.lit(5.0))
     inventory = plans.inventory_job(daily, cleaned["cost_lookup"], stock, "2000-01-01", "2000-12-31")
     assert inventory["recommendations"].count() == inventory["policy"].count() > 0
+
+
+def test_repeats_are_looked_up_by_spark_itself(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    streams.ship_package(spark)
+    streams.use_state_store(spark)
+    columns = "digest string, text string"
+    for i, digests in enumerate(["aab", "bbc", "ad"]):
+        spark.createDataFrame([(d, None if d == "b" else f"row {d}") for d in digests], columns).coalesce(1).write.parquet(f"{inbox}/f={i}")
+    rows = streams.read_stream(spark, f"{inbox}/*", spark.createDataFrame([], columns).schema, files_per_batch=1)
+    seen = streams.seen_before(rows)
+    # A call into Python per row would take longer than the limit at 1 GB.
+    assert "TransformWithState" not in seen._jdf.queryExecution().logical().toString()
+
+    def sums(batch, number):
+        batch = batch.groupBy("digest", "text").agg(F.sum("copies").alias("copies"), F.max("new").alias("new"))
+        batch.write.parquet(f"{out}/batch={number}")
+
+    query = seen.writeStream.foreachBatch(sums).option("checkpointLocation", str(tmp_path / "progress"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["digest"], r["text"], r["copies"], r["new"]) for r in spark.read.parquet(out).where("copies > 0").collect())
+    # Files of one moment may come in any order, so only what does not depend on it.
+    assert sum(x[2] for x in got) == 8
+    assert sorted(x[0] for x in got if x[3]) == ["a", "b", "c", "d"] and len(got) == 6
