@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from stockloom.llm.common import fresh, strings, text_or_empty
 
 DIMENSIONS = 1024
-PER_LANGUAGE = 5000
-CALIBRATE = 500
 # Pieces of up to 2^12 trigrams show what longer texts reach.
 LENGTHS = 13
+# Scores of pieces are told apart to 1 / SCORE_STEPS.
+SCORE_STEPS = 10_000
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _SPACE = 32
@@ -128,26 +128,28 @@ class Profiles:
 
 
 def prototypes(
-    labelled: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE
+    labelled: DataFrame, dimensions: int = DIMENSIONS, per_language: int | None = None
 ) -> dict[str, np.ndarray]:
-    """One vector per value of ``lang`` from rows (doc_id, text, lang).
+    """One vector per value of ``lang`` from all rows (doc_id, text, lang).
 
-    At most about ``per_language`` texts of each language are bundled, chosen by
-    the hash of the id; languages with fewer use all of theirs.  Tasks return one
+    With ``per_language`` at most about so many texts of each language are bundled,
+    chosen by the hash of the id; languages with fewer use all of theirs.  Tasks return one
     vector per language, summed in Spark, so the driver gets languages x dimensions
     numbers.
     """
     return {lang: v / np.linalg.norm(v) for lang, v in _sums(labelled, dimensions, per_language).items()}
 
 
-def _sample(labelled: DataFrame, per_language: int) -> tuple[list[str], DataFrame | None]:
-    """The values of ``lang`` and the rows (lang, text) chosen from each."""
+def _sample(labelled: DataFrame, per_language: int | None) -> tuple[list[str], DataFrame | None]:
+    """The values of ``lang`` and the rows (lang, text), all or those chosen from each."""
     counts = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    shares = {row["lang"]: min(1.0, per_language / row["n"]) for row in counts.limit(MAX_LANGUAGES + 1).collect()}
+    shares = {row["lang"]: min(1.0, (per_language or row["n"]) / row["n"]) for row in counts.limit(MAX_LANGUAGES + 1).collect()}
     if len(shares) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     if not shares:
         return [], None
+    if per_language is None:
+        return sorted(shares), labelled.where(F.col("lang").isNotNull()).select("lang", text_or_empty("text").alias("text"))
     share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("lang")]
     # The text takes part, so rows without an id are drawn like others.
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
@@ -155,7 +157,7 @@ def _sample(labelled: DataFrame, per_language: int) -> tuple[list[str], DataFram
     return sorted(shares), chosen.select("lang", text_or_empty("text").alias("text"))
 
 
-def _sums(labelled: DataFrame, dimensions: int, per_language: int) -> dict[str, np.ndarray]:
+def _sums(labelled: DataFrame, dimensions: int, per_language: int | None) -> dict[str, np.ndarray]:
     """Sum of the unit vectors of the chosen texts of each language."""
     languages, sample = _sample(labelled, per_language)
     if not languages:
@@ -190,13 +192,15 @@ def _sums(labelled: DataFrame, dimensions: int, per_language: int) -> dict[str,
 
 
 def expected_scores(
-    labelled: DataFrame, sums: dict[str, np.ndarray], dimensions: int = DIMENSIONS, per_language: int = CALIBRATE
+    labelled: DataFrame, sums: dict[str, np.ndarray], dimensions: int = DIMENSIONS, per_language: int | None = None
 ) -> list[float]:
     """Median cosine of labelled pieces of 1, 2, 4, ... trigrams with their own language.
 
-    The pieces are cut from the middle of about ``per_language`` texts of each
-    language; the text itself is taken out of the prototype before.  The list ends
-    with the first length of which there is no piece.
+    The pieces are cut from the middle of every text, or of about ``per_language``
+    texts of each language; the text itself is taken out of the prototype before.
+    Scores are counted by their first four digits, so the median is that of all
+    pieces to this precision.  The list ends with the first length of which there is
+    no piece.
     """
     _, sample = _sample(labelled, per_language)
     if sample is None:
@@ -215,17 +219,33 @@ def expected_scores(
                 # What rounding leaves of the only text of a language is no prototype.
                 if np.linalg.norm(others) < 1e-6:
                     continue
+                # Every piece lies within the next one, which adds its two ends.
+                apart, piece, ends = np.linalg.norm(others), np.zeros(dimensions), (0, 0)
                 for size in range(min(len(keys).bit_length(), LENGTHS)):
                     start = (len(keys) - (1 << size)) // 2
-                    piece = profiles.bundle_keys(keys[start : start + (1 << size)])
-                    norm = np.linalg.norm(piece) * np.linalg.norm(others)
+                    stop = start + (1 << size)
+                    left, right = ends if size else (stop, stop)
+                    piece = piece + profiles.bundle_keys(np.concatenate([keys[start:left], keys[right:stop]]))
+                    ends = start, stop
+                    norm = np.linalg.norm(piece) * apart
                     sizes.append(size)
                     scores.append(float(piece @ others / norm) if norm else 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], names=["size", "score"])
 
-    rows = sample.mapInArrow(cosines, "size long, score double").groupBy("size").agg(F.percentile_approx("score", 0.5).alias("score"))
-    found = {row["size"]: row["score"] for row in rows.collect()}
-    return [found[size] for size in range(len(found))]
+    step = F.round(F.col("score") * SCORE_STEPS).cast("long").alias("step")
+    counted = sample.mapInArrow(cosines, "size long, score double").groupBy("size", step).agg(F.count(F.lit(1)).alias("n"))
+    steps: dict[int, list[tuple[int, int]]] = {}
+    # At most LENGTHS x (2 SCORE_STEPS + 1) rows.
+    for row in counted.collect():
+        steps.setdefault(row["size"], []).append((row["step"], row["n"]))
+    return [_median(steps[size]) / SCORE_STEPS for size in range(len(steps))]
+
+
+def _median(counted: list[tuple[int, int]]) -> int:
+    """The lower median of values with their counts."""
+    values, counts = zip(*sorted(counted))
+    total = np.cumsum(counts)
+    return values[int(np.searchsorted(total, (total[-1] + 1) // 2))]
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -287,7 +307,7 @@ def predict_language(
     return docs.select(*[docs[c] for c in others], text).mapInArrow(score, schema)
 
 
-def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, dimensions: int = DIMENSIONS, per_language: int | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out."""
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "lang", "text")
     models = prototypes(rows.where(~F.col("held_out")).select("doc_id", "text", "lang"), dimensions, per_language)
@@ -301,7 +321,7 @@ CHANCE = 3.0
 
 
 def keep_identified(
-    docs: DataFrame, least_share: float = LEAST_SHARE, dimensions: int = DIMENSIONS, per_language: int = PER_LANGUAGE
+    docs: DataFrame, least_share: float = LEAST_SHARE, dimensions: int = DIMENSIONS, per_language: int | None = None
 ) -> DataFrame:
     """The rows of ``docs`` that are in one of the languages learned from its labels.
 

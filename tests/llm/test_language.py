@@ -96,3 +96,26 @@ def test_rows_without_ids_are_learned_from(llm):
     n = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     assert languages == ["de", "en"] and all(25 <= n[lang] <= 90 for lang in languages)
     assert set(L.prototypes(docs, per_language=50)) == {"de", "en"}
+
+
+def test_models_and_cuts_come_from_all_labelled_texts(llm):
+    # 6,000 texts of one language; the last thousand alone have these words.
+    rows = [(k, "aba cab baca" if k < 5000 else "zqz qzq zzqz", "en") for k in range(6000)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = L._sums(docs, 64, None)["en"]
+    profiles = L.Profiles(64)
+    vectors = {t: profiles.bundle(t) / np.linalg.norm(profiles.bundle(t)) for t in ("aba cab baca", "zqz qzq zzqz")}
+    whole = 5000 * vectors["aba cab baca"] + 1000 * vectors["zqz qzq zzqz"]
+    assert np.allclose(sums, whole) and np.allclose(L.prototypes(docs, 64)["en"], whole / np.linalg.norm(whole))
+    # The medians of pieces are those of all texts, each bundled afresh.
+    want = []
+    for size in range(4):
+        scores = []
+        for text, n in (("aba cab baca", 5000), ("zqz qzq zzqz", 1000)):
+            keys, others = L.trigram_keys(text), whole - vectors[text]
+            start = (len(keys) - (1 << size)) // 2
+            piece = profiles.bundle_keys(keys[start : start + (1 << size)])
+            scores += [float(piece @ others / np.linalg.norm(piece) / np.linalg.norm(others))] * n
+        want.append(sorted(scores)[(len(scores) - 1) // 2])
+    got = L.expected_scores(docs, {"en": sums}, 64)
+    assert len(got) == 4 and np.allclose(got, want, atol=1e-4)
