@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stockloom.functions.quantiles import exact_quantiles, quantile_values
 from stockloom.functions.running import carry_last, ordered_totals
 from stockloom.functions.sampling import hash_sample
+from stockloom.session import configure
 from stockloom.functions.scalars import parse_date, parse_double, parse_id, parse_iso_date, product_label
 
 PROBS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
@@ -106,3 +107,11 @@ def test_null_keys_are_groups_too(spark):
     turns = spark.createDataFrame([(None, 0, 7), (None, 1, None), (None, 2, None)], "k string, i int, v int")
     carried = carry_last(turns, ["k"], "i", {"prev": "v"}, block=1).orderBy("i").collect()
     assert [r["prev"] for r in carried] == [None, 7, 7]
+
+
+def test_a_task_reads_a_bounded_share_of_a_shuffle(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    assert configure(spark.newSession()).conf.get(key) == "16m"
+    other = spark.newSession()
+    other.conf.set(key, "8m")
+    assert configure(other).conf.get(key) == "8m"
