@@ -24,6 +24,8 @@ from stockloom.llm.common import fresh, strings, text_or_empty
 DIMENSIONS = 1024
 # Pieces of up to 2^12 trigrams show what longer texts reach.
 LENGTHS = 13
+# The first so many of them, up to 2^7 trigrams, are summed sign by sign.
+SHORT_LENGTHS = 8
 # Scores of pieces are told apart to 1 / SCORE_STEPS.
 SCORE_STEPS = 10_000
 MAX_LANGUAGES = 1000
@@ -106,26 +108,53 @@ class Profiles:
     def bundle_keys(self, ordered: np.ndarray) -> np.ndarray | None:
         """Sum of the vectors of these trigrams; None without any."""
         keys, counts = np.unique(ordered, return_counts=True)
-        if not len(keys):
-            return None
-        total = np.zeros(self.dimensions, dtype=np.float64)
+        return self.weighted(keys, counts[None])[0] if len(keys) else None
+
+    def vectors(self, keys: list[int]) -> np.ndarray:
+        """One row per trigram, for at most half as many as the table holds."""
+        rows = [self.place.get(key, -1) for key in keys]
+        if -1 in rows:
+            if len(self.place) + rows.count(-1) > _ROWS:
+                self.place.clear()
+            for k, key in enumerate(keys):
+                if key not in self.place:
+                    self.place[key] = len(self.place)
+                    self.rows[self.place[key]] = self.bound(key)
+                rows[k] = self.place[key]
+        return self.rows[rows].astype(np.float32)
+
+    def weighted(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sums of the vectors of these trigrams, one for each row of ``weights``."""
+        total = np.zeros((len(weights), self.dimensions), dtype=np.float64)
         for start in range(0, len(keys), _ROWS // 2):
-            part = keys[start : start + _ROWS // 2].tolist()
-            if len(self.place) + len(part) > _ROWS:
-                missing = sum(key not in self.place for key in part)
-                if len(self.place) + missing > _ROWS:
-                    self.place.clear()
-            rows = np.empty(len(part), dtype=np.int64)
-            for k, key in enumerate(part):
-                row = self.place.get(key)
-                if row is None:
-                    row = self.place[key] = len(self.place)
-                    self.rows[row] = self.bound(key)
-                rows[k] = row
-            weights = counts[start : start + _ROWS // 2].astype(np.float32)
-            total += weights @ self.rows[rows].astype(np.float32)
+            part = slice(start, start + _ROWS // 2)
+            vectors = self.vectors(keys[part].tolist())
+            # One product for each of the few rows: faster than one for all of them.
+            for row, weight in zip(total, weights[:, part].astype(np.float32)):
+                row += weight @ vectors
         return total
 
+    def nested(self, ordered: np.ndarray, lengths: int = LENGTHS) -> np.ndarray:
+        """Bundles of the middle 1, 2, 4, ... of these trigrams, at most ``lengths``, then of all.
+
+        The vectors of the text are fetched once for all pieces.
+        """
+        n = len(ordered)
+        starts = [(n - (1 << size)) // 2 for size in range(min(n.bit_length(), lengths))]
+        spans = [(start, start + (1 << size)) for size, start in enumerate(starts)]
+        short, long = spans[:SHORT_LENGTHS], [*spans[SHORT_LENGTHS:], (0, n)]
+        # Every short piece lies within the next one, which adds its two ends.
+        first, last = short[-1]
+        signs, out = self.vectors(ordered[first:last].tolist()), []
+        piece, left, right = np.zeros(self.dimensions), short[0][0], short[0][0]
+        for start, stop in short:
+            piece = piece + signs[start - first : left - first].sum(axis=0) + signs[right - first : stop - first].sum(axis=0)
+            left, right = start, stop
+            out.append(piece)
+        keys, at = np.unique(ordered, return_inverse=True)
+        counts = np.array([np.bincount(at[start:stop], minlength=len(keys)) for start, stop in long])
+        return np.concatenate([out, self.weighted(keys, counts)])
+
 
 def prototypes(
     labelled: DataFrame, dimensions: int = DIMENSIONS, per_language: int | None = None
@@ -212,21 +241,17 @@ def expected_scores(
             sizes, scores = [], []
             for lang, text in zip(strings(batch, "lang"), strings(batch, "text")):
                 keys = trigram_keys(text)
-                whole = profiles.bundle_keys(keys)
-                if whole is None or not whole.any() or lang not in sums:
+                if not len(keys) or lang not in sums:
+                    continue
+                *pieces, whole = profiles.nested(keys)
+                if not whole.any():
                     continue
                 others = sums[lang] - whole / np.linalg.norm(whole)
+                apart = np.linalg.norm(others)
                 # What rounding leaves of the only text of a language is no prototype.
-                if np.linalg.norm(others) < 1e-6:
+                if apart < 1e-6:
                     continue
-                # Every piece lies within the next one, which adds its two ends.
-                apart, piece, ends = np.linalg.norm(others), np.zeros(dimensions), (0, 0)
-                for size in range(min(len(keys).bit_length(), LENGTHS)):
-                    start = (len(keys) - (1 << size)) // 2
-                    stop = start + (1 << size)
-                    left, right = ends if size else (stop, stop)
-                    piece = piece + profiles.bundle_keys(np.concatenate([keys[start:left], keys[right:stop]]))
-                    ends = start, stop
+                for size, piece in enumerate(pieces):
                     norm = np.linalg.norm(piece) * apart
                     sizes.append(size)
                     scores.append(float(piece @ others / norm) if norm else 0.0)

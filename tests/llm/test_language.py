@@ -119,3 +119,21 @@ def test_models_and_cuts_come_from_all_labelled_texts(llm):
         want.append(sorted(scores)[(len(scores) - 1) // 2])
     got = L.expected_scores(docs, {"en": sums}, 64)
     assert len(got) == 4 and np.allclose(got, want, atol=1e-4)
+
+
+def test_nested_pieces_fetch_the_vectors_of_a_text_once(monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog; zwölf boxkämpfer jagen viktor " * 90
+    keys = L.trigram_keys(text)
+    for rows, n in ((L._ROWS, 1), (L._ROWS, 2), (L._ROWS, 3), (L._ROWS, 127), (L._ROWS, 256), (300, 1001), (L._ROWS, len(keys))):
+        monkeypatch.setattr(L, "_ROWS", rows)
+        profiles, fetched, part = L.Profiles(64), [], keys[:n]
+        vectors = profiles.vectors
+        profiles.vectors = lambda keys: fetched.append(len(keys)) or vectors(keys)
+        *pieces, whole = profiles.nested(part)
+        # Those of the whole text, and at most 2^7 for the short pieces.
+        assert sum(fetched) <= len(np.unique(part)) + 128 and len(pieces) == min(n.bit_length(), L.LENGTHS)
+        fresh = L.Profiles(64)
+        assert (whole == fresh.bundle_keys(part)).all()
+        for size, piece in enumerate(pieces):
+            start = (n - (1 << size)) // 2
+            assert (piece == fresh.bundle_keys(part[start : start + (1 << size)])).all()
