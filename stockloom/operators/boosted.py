@@ -312,7 +312,7 @@ class Fitting:
         rows = materialize(rows.where(F.col("_target").isNotNull()))
         self._look(rows, bin_sample)
         self.edges = bin_edges(self._sample(rows, bin_sample), bins)
-        self.blocks = self._pack(rows)
+        self.packed = self._pack(rows)
         self.local = self.rows + self.held <= local_rows
         self.models: dict[int, _Model] = {}
         self.state: RDD | None = None
@@ -339,7 +339,7 @@ class Fitting:
         chosen = hash_sample(rows.where(~F.col("_held")).select(*self.inputs), bin_sample, self.inputs, rows=self.rows)
         return np.stack([c.to_numpy() for c in chosen.toArrow().columns], axis=1).astype(float)
 
-    def _pack(self, rows: DataFrame) -> RDD:
+    def _pack(self, rows: DataFrame) -> DataFrame:
         edges, k = self.edges, len(self.inputs)
         schema = T.StructType([T.StructField(n, T.BinaryType()) for n in ("bins", "target", "key", "held")])
 
@@ -364,7 +364,11 @@ class Fitting:
                 yield one()
 
         keyed = rows.withColumn("_key", F.xxhash64(*self.inputs, "_target"))
-        packed = materialize(keyed.mapInArrow(pack, schema))
+        return materialize(keyed.mapInArrow(pack, schema))
+
+    def _blocks(self, packed: DataFrame) -> RDD:
+        """The blocks, read in the same Python process as what is mapped over them."""
+        k = len(self.inputs)
 
         def unpack(row) -> Block:
             target = np.frombuffer(row["target"])
@@ -393,7 +397,7 @@ class Fitting:
         def first(block: Block) -> Block:
             return replace(block, pred={k: np.full(len(block.target), start) for k in names})
 
-        self.state = self.blocks.map(first).persist(StorageLevel.MEMORY_AND_DISK)
+        self.state = self._blocks(self.packed).map(first).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(self, rounds: int) -> None:
         """Up to ``rounds`` more rounds of every model that is not done."""
@@ -418,7 +422,8 @@ class Fitting:
         if not active:
             return
         start, unit, square, held, columns = self.start, self.unit, self.unit * self.top, self.held, len(self.inputs)
-        one = self.blocks.coalesce(1)
+        # Brought together as a table: blocks would come through a second Python process a task.
+        one = self._blocks(self.packed.coalesce(1))
 
         def fit(k: int, model: _Model):
             def each(blocks: Iterator[Block]):

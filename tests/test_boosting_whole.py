@@ -197,3 +197,19 @@ def test_frequent_demand_takes_a_fitted_forecast(spark, small, tables):
     rows = fixed_results(tables)
     assert rows.where(frequent & (F.col("pred_hybrid") != F.col("pred_mean"))).count() > 0
     assert rows.where(~frequent & (F.col("pred_hybrid") != F.col("pred_sba"))).count() == 0
+
+
+def test_a_model_task_has_one_python_process(spark, monkeypatch):
+    df, names, _, _ = frame(spark)
+    fitting = Fitting(df.repartition(3), names, "daily_quantity")
+    for rate in (0.1, 0.3):
+        fitting.add(Settings(rounds=2, rate=rate))
+    union, steps = type(spark.sparkContext).union, []
+
+    def seen(context, parts):
+        steps.extend(part.toDebugString().decode().count("PythonRDD[") for part in parts)
+        return union(context, parts)
+
+    monkeypatch.setattr(type(spark.sparkContext), "union", seen)
+    fitting.run(2)
+    assert steps == [1, 1] and [len(m.trees) for m in fitting.models.values()] == [2, 2]
