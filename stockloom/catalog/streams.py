@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stockloom.catalog.quality import VALIDATED
 from stockloom.catalog.registry import query
-from stockloom.session import scratch_path
+from stockloom.session import scratch_path, short_lived_shuffles
 from stockloom.streaming import jobs
 
 
@@ -33,7 +33,8 @@ def _sale_lines(events):
 )
 def _(t):
     inbox, target = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "validated")
-    t.raw_sales.repartition(6).write.parquet(inbox)
+    with short_lived_shuffles(t.spark):
+        t.raw_sales.repartition(6).write.parquet(inbox)
     stream = jobs.read_stream(t.spark, inbox, t.raw_sales.schema, files_per_batch=2)
     jobs.stream_validate(stream, t.products, target, scratch_path(t.spark, "progress")).awaitTermination()
     good = t.spark.read.parquet(f"{target}/accepted").groupBy("city_name").agg(F.count(F.lit(1)).alias("row_count"))

@@ -61,7 +61,9 @@ def validate_rows(raw: DataFrame, products: DataFrame, by: list[str] | None = No
     unique = require_columns(raw).groupBy(*extra, *SALES_COLUMNS).agg(F.count(F.lit(1)).alias("_n"))
     known = products.select(F.col("product_id").alias("parsed_product_id")).distinct()
     known = known.withColumn("_known", F.lit(True))
-    rows = parse_sales(unique).join(known, "parsed_product_id", "left")
+    # The other columns are parsed behind the join, so its shuffle carries the text alone.
+    keyed = unique.withColumn("parsed_product_id", parse_id("product_id"))
+    rows = parse_sales(keyed.join(known, "parsed_product_id", "left"))
 
     errors = []
     for short, (column, _, signed) in _FIELDS.items():

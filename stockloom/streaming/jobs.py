@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from stockloom.operators.validation import accepted, rejected, validate_rows
 from stockloom.schemas import SALES_COLUMNS, SERIES_KEY
-from stockloom.session import ship_package
+from stockloom.session import ship_package, short_lived_shuffles, staged
 
 # Digests share this many state groups: enough to spread, few enough to keep groups large.
 STATE_GROUPS = 4096
@@ -38,18 +38,19 @@ def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 class _SeenRows(StatefulProcessor):
     """Tells whether a row came before; counts are kept in the state store."""
 
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int, digest: str):
         self.keep_ms = keep_ms
+        self.digest = digest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "digest string", "copies long", self.keep_ms)
+        self.seen = handle.getMapState("seen", f"digest {self.digest}", "copies long", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             new = [self._count(digest, copies) == 0 for digest, copies in zip(batch["digest"], batch["copies"])]
             yield batch.drop(columns="state_group").assign(new=new)
 
-    def _count(self, digest: str, copies: int) -> int:
+    def _count(self, digest: str | bytes, copies: int) -> int:
         found = self.seen.getValue((digest,))
         before = 0 if found is None else int(found[0])
         self.seen.updateValue((digest,), (before + int(copies),))
@@ -75,22 +76,23 @@ def seen_before(rows: DataFrame, keep_ms: int | None = None) -> DataFrame:
     digest; a batch touches the entries of its own rows alone, whatever came before.
     Spark itself looks the digests up, as a call into Python per row takes longer than
     all the rest.  Copies in one Arrow batch become one row before the shuffle, so a
-    row that comes very often is a few rows to its task.
+    row that comes very often is a few rows to its task.  Rows are dealt by digest once:
+    the look-up and the counts read the same shuffle, and grouping by digest needs none.
 
     ``keep_ms`` forgets a digest that has not come for so long.  Spark's own repeats
     expire by their first arrival, so these counts are kept row by row in Python.
     """
     counted = rows.mapInArrow(_copies, T.StructType([*rows.schema.fields, T.StructField("copies", T.LongType())]))
     if keep_ms is None:
-        first = counted.drop("copies").dropDuplicates(["digest"])
-        parts = [(rows, 1, False), (first, 0, True)]
-        lines = [df.withColumns({"copies": F.lit(n).cast("long"), "new": F.lit(new)}) for df, n, new in parts]
-        return lines[0].unionByName(lines[1])
+        dealt = counted.repartition("digest")
+        # Read from the column, so that both sides have the same columns and share one shuffle.
+        first = dealt.dropDuplicates(["digest"]).withColumn("copies", F.col("copies") * 0)
+        return dealt.withColumn("new", F.lit(False)).unionByName(first.withColumn("new", F.lit(True)))
     return (
         counted.withColumn("state_group", F.pmod(F.xxhash64("digest"), F.lit(STATE_GROUPS)))
         .groupBy("state_group")
         .transformWithStateInPandas(
-            _SeenRows(keep_ms),
+            _SeenRows(keep_ms, rows.schema["digest"].dataType.simpleString()),
             outputStructType=T.StructType([*counted.schema.fields, T.StructField("new", T.BooleanType())]),
             outputMode="Append",
             timeMode="ProcessingTime",
@@ -115,17 +117,17 @@ def stream_validate(
     before is a repeat however the files were dealt into batches, and the work of a
     batch depends on its own rows only.  Each micro-batch writes below its own batch
     number, so a batch repeated after a failure overwrites its first attempt; Spark
-    commits the state with the batch.
+    commits the state with the batch.  Of a row the state keeps the 32 bytes of its digest.
     """
     spark = raw.sparkSession
     ship_package(spark)
     use_state_store(spark)
     text = F.to_json(F.struct(*SALES_COLUMNS), {"ignoreNullFields": "false"})
-    rows = raw.select(*[F.col(c).cast("string").alias(c) for c in SALES_COLUMNS], F.sha2(text, 256).alias("digest"))
+    rows = raw.select(*[F.col(c).cast("string").alias(c) for c in SALES_COLUMNS], F.unhex(F.sha2(text, 256)).alias("digest"))
 
     def split(batch: DataFrame, number: int) -> None:
-        once = batch.groupBy(*SALES_COLUMNS).agg(F.sum("copies").alias("_total"), F.max("new").alias("_new"))
-        validated = validate_rows(once, products, by=["_total", "_new"])
+        once = batch.groupBy("digest", *SALES_COLUMNS).agg(F.sum("copies").alias("_total"), F.max("new").alias("_new"))
+        validated = validate_rows(once, products, by=["digest", "_total", "_new"])
 
         def copy(n: Column, repeated: bool) -> Column:
             return F.struct(n.alias("copies"), F.lit(repeated).alias("repeated"))
@@ -135,21 +137,15 @@ def stream_validate(
         parts = F.filter(parts, lambda p: p.isNotNull() & (p["copies"] > 0))
         validated = validated.drop("copies").withColumn("_c", F.explode(parts))
         errors = F.when(F.col("_c.repeated"), F.array_append("errors", F.lit("duplicate_row"))).otherwise(F.col("errors"))
-        validated = validated.withColumn("errors", errors).withColumn("copies", F.col("_c.copies")).persist()
-        try:
+        validated = validated.withColumn("errors", errors).withColumn("copies", F.col("_c.copies"))
+        with staged(validated.drop("digest", "_total", "_new", "_c")) as validated:
             accepted(validated).write.mode("overwrite").parquet(f"{target}/accepted/batch={number}")
             rejected(validated).write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
-        finally:
-            validated.unpersist()
 
-    return (
-        seen_before(rows, keep_ms)
-        .writeStream.foreachBatch(split)
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = seen_before(rows, keep_ms).writeStream.foreachBatch(split).outputMode("append")
+    writer = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with short_lived_shuffles(spark):  # the stream keeps the settings it is started with
+        return writer.start()
 
 
 # ---- daily demand with mergeable counts --------------------------------------

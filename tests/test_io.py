@@ -1,13 +1,16 @@
 """Sources, sinks, scratch folder, streaming and the end-to-end jobs."""
 
 import datetime as dt
+import os
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators import validation
 from stockloom.plans import jobs as plans
-from stockloom.session import materialize, scratch_root
+from stockloom.session import materialize, scratch_root, short_lived_shuffles, staged
 from stockloom.sources import readers, sinks
 from stockloom.streaming import jobs as streams
 
@@ -237,3 +240,57 @@ def test_repeats_are_looked_up_by_spark_itself(spark, tmp_path):
     # Files of one moment may come in any order, so only what does not depend on it.
     assert sum(x[2] for x in got) == 8
     assert sorted(x[0] for x in got if x[3]) == ["a", "b", "c", "d"] and len(got) == 6
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in files.mkString("\n").splitlines() if "/shuffle_" in f}
+
+
+def left_after(spark, before, seconds=10):
+    """Shuffle files beyond ``before``, once Spark had time to remove them."""
+    until = time.time() + seconds
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    return left
+
+
+def test_a_batch_of_the_validation_deals_its_rows_once_and_leaves_no_shuffle(tables, tmp_path, monkeypatch):
+    spark, inbox = tables.spark, str(tmp_path / "in")
+    rows = tables.raw_sales.where("order_id < 60")
+    rows.union(rows.where("order_id < 20")).repartition(3).write.parquet(inbox)
+    before, left, plans_, validate = shuffle_files(spark), [], [], streams.validate_rows
+
+    def looked_at(once, *args, **named):
+        left.append(left_after(spark, before))
+        validated = validate(once, *args, **named)
+        plans_.append(validated._jdf.queryExecution().executedPlan().toString())
+        return validated
+
+    monkeypatch.setattr(streams, "validate_rows", looked_at)
+    stream = streams.read_stream(spark, inbox, rows.schema, files_per_batch=1)
+    query = streams.stream_validate(stream, tables.products, str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    assert len(left) == 3 and not any(left) and not left_after(spark, before)
+    # Rows come dealt by digest; only the join with the products may deal them again.
+    assert {key for p in plans_ for key in re.findall(r"Exchange hashpartitioning\((\w+)#", p)} <= {"parsed_product_id"}
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("MapInArrow") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_staged_rows_are_removed_and_settings_put_back(spark):
+    key, paths = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    for fails in (False, True):
+        try:
+            with staged(spark.range(5).repartition(3)) as rows:
+                paths += [f.removeprefix("file://") for f in rows.inputFiles()]
+                assert rows.count() == 5 and all(map(os.path.exists, paths[-3:]))
+                if fails:
+                    raise KeyError
+        except KeyError:
+            assert fails
+    assert paths and not any(os.path.exists(os.path.dirname(p)) for p in paths)
+    with short_lived_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
